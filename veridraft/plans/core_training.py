@@ -76,7 +76,7 @@ def p3_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("model", within.alias("within_bound"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p3_model": p3_model, "p3_model_day": p3_model_day, "p3_sketch": p3_sketch, "p3_bound": p3_bound}
+QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p3_model_day": p3_model_day, "p3_model": p3_model, "p3_sketch": p3_sketch, "p3_bound": p3_bound}
 
 _SPACES = " || ".join(f"chr({ord(c)})" for c in exactly_once.STRIPPED)
 _ARRIVALS = f"""
