@@ -14,8 +14,8 @@ STOPWORDS = {
         "which who whom when where can could should would may must do does did there their they he she his her an any all more most under until before after about".split()
     ),
     "es": frozenset(
-        "el los las una un del al y a de con sin mas muy pero tambien ya todavia usted ustedes su sus fue es son esta estan sera seran fueron ha han hay no si o cuando donde eso esto ese este hasta "
-        "tras sobre en para por que como gracias estimado estimada senor senora senores nuestros nuestro nuestra saludo saludos plazo factura puede pueden va le les lo nos se".split()
+        "el los las una un del al y a de con sin mas muy pero tambien ya todavia usted ustedes su sus fue es son esta estan sera seran fueron ha han hay no si cuando donde eso esto ese este hasta "
+        "tras sobre en para por que como gracias estimado estimada senor senora senores nuestros nuestro nuestra saludo saludos plazo factura puede pueden le les lo nos".split()
     ),
     "fr": frozenset(
         "le la les un une des du et avec sans plus tres mais aussi deja encore vous votre vos nous notre nos est sont sera seront ete ont il elle ils ne pas non oui ou quand cela ce cette ces "

@@ -50,8 +50,8 @@ _ASKED = re.compile(r"\b(?:em|in|en)\s+(?:l[ií]ngua\s+)?(?:" + "|".join(f"(?P<{
 _HEADING = re.compile(r"^\W*(?:assunto|asunto|subject|objet|re|resposta|respuesta|response|r[ée]ponse|email|e-mail|mensagem)\b[^\n]*$", re.I)
 _PREFACE = re.compile(r"^\W*(?:claro|aqui est[aá]|here is|here's|sure|por supuesto|aqu[ií] (?:est[aá]|tiene)|voici|certamente|com certeza|segue)\b[^\n]*:\s*$", re.I)
 _GREETING = re.compile(
-    r"^\W*(?:exm[oa]s?\b|car[oa]s?\b|caro\(a\)|estimad[oa]s?\b|ol[aá]\b|oi\b|prezad[oa]s?\b|bom dia|boa tarde|boa noite|dear\b|hello\b|hi\b|good (?:morning|afternoon|evening)|to whom|hola\b|buen[oa]s\b|muy se[nñ]or"
-    r"|madame|monsieur|bonjour|bonsoir|ch[eè]re?s?\b|senhor[ae]?s?\b)[^.!?\n]{0,90}[,:.!]?\s*$", re.I,
+    r"^\W*(?:exm[oa]s?\b|il[uo]?\.?m[oa]s?\b|car[oa]s?\b|caro\(a\)|estimad[oa]s?\b|ol[aá]\b|oi\b|prezad[oa]s?\b|bom dia|boa tarde|boa noite|dear\b|hello\b|hi\b|good (?:morning|afternoon|evening)|to whom|hola\b|buen[oa]s\b|muy se[nñ]or"
+    r"|madame|monsieur|bonjour|bonsoir|ch[eè]re?s?\b|senhor[ae]?s?\b)(?:[^!?\n]{0,90}[,:]|[^.!?\n]{0,60}[.!]?)\s*$", re.I,
 )
 _CLOSING = re.compile(
     r"^\W*(?:(?:com os )?(?:melhores|mais cordiais)? ?cumprimentos|atentamente|atenciosamente|cordialmente|com estima|ao dispor|obrigad[oa]|muito obrigad[oa]|at[eé] breve|abra[cç]os?|um abra[cç]o"
@@ -158,7 +158,7 @@ def reply_of(text: str) -> list[str]:
 
 def declines(reply: list[str]) -> bool:
     """Whether a reply declines the task: one of its first two sentences does so, and little follows."""
-    if not reply or len(reply) > 4:
+    if len(reply) > 4:
         return False
     refuse, task = _refusals()
     for s in reply[:2]:
@@ -175,7 +175,7 @@ def defect(text: str, prompt: str | None, refusal: str | None) -> str | None:
     if refusal and refusal.strip():
         return "refusal"
     reply = reply_of(text)
-    if not reply:
+    if sum(len(WORD.findall(s)) for s in reply) < 2:  # not even a sentence
         return "empty"
     if declines(reply):
         return "refusal"
@@ -189,7 +189,7 @@ def defect(text: str, prompt: str | None, refusal: str | None) -> str | None:
     if expected:
         words = [WORD.findall(fold(s)) for s in reply]
         whole = voted([w for s in words for w in s], least=3.0)
-        if whole and whole != expected and all((v := voted(s)) is None or v == whole for s in words):
+        if whole and whole != expected and not any(voted(s) == expected for s in words):
             return "language"
     return None
 

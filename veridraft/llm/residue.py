@@ -41,7 +41,7 @@ FILLER = (
     "asdf asdfgh qwerty zxcv jkl qwerty asdf zxcv asdfgh jkl", "xxx xxxx xxxxx xxxxxx xxxxxxx xxxxxxxx xx",
     "Texto de exemplo.", "Texto aqui.", "Inserir aqui o corpo da mensagem.", "Inserir texto aqui.", "Insira aqui o seu texto.", "Escreva aqui a sua mensagem.",
     "Conteúdo de teste, ignorar.", "Isto é um teste, ignorar.", "Mensagem de teste.", "Blá, blá, e assim por diante.", "blá blá blá",
-    "TODO: completar este parágrafo.", "TODO: escrever", "FIXME: falta o texto.", "TBD - escrever resposta.", "A completar.", "Your text here.", "Your message here.",
+    "TODO: completar este parágrafo.", "TODO: escrever", "FIXME: falta o texto.", "Texto provisório a rever antes do envio.", "Texto provisório.", "Rascunho a rever antes do envio.", "TBD - escrever resposta.", "A completar.", "Your text here.", "Your message here.",
     "Insert text here.", "Sample text goes here.", "Placeholder text.", "This is a test, please ignore.", "Blah blah blah and so on.", "To be completed.",
     "Texto de ejemplo.", "Inserte aquí el texto.", "Su texto aquí.", "Texte d'exemple.", "Insérez votre texte ici.", "Votre texte ici.",
 )
@@ -176,7 +176,7 @@ _FILLER_WORDS = frozenset(
 )
 _FILLER_LINE = re.compile(
     r"^\W*(?:(?:todo|tbd|fixme|xxx)\b\W.*|.*\b(?:inserir|insira|inserte|inserez|insert|escreva)\b(?=.*\b(?:texto|corpo|mensagem|mensaje|text|body|message|texte)\b).*\b(?:aqui|here|ici)\b.*|(?:your|su|votre|o seu)? ?(?:text[oe]?|message|mensagem) (?:goes )?(?:aqui|here|ici)"
-    r"|texto? (?:d[e'] ?)?(?:exemplo|ejemplo|exemple|teste)|sample text.*|placeholder text.*|(?:conteudo|texto|mensagem|isto e um) ?(?:de)? teste\b.*|.*\b(?:ignorar|please ignore)|bla,? bla.*|blah,? blah.*|a completar|to be completed)\W*$"
+    r"|text[oe]? provis\w+\b.*|rascunho\b.*\b(?:rever|completar|enviar|envio)\b.*|texto? (?:d[e'] ?)?(?:exemplo|ejemplo|exemple|teste)|sample text.*|placeholder text.*|(?:conteudo|texto|mensagem|isto e um) ?(?:de)? teste\b.*|.*\b(?:ignorar|please ignore)|bla,? bla.*|blah,? blah.*|a completar|to be completed)\W*$"
 )
 _WORDS = re.compile(r"[^\W\d_]+")
 _CUT_SLOT = re.compile(r"\[(?:\.\.\.|…)\]\s*$")
@@ -221,23 +221,23 @@ class Model:
         texts = [clean(t).strip() for t in texts]
         raw = [_bytes(t) for t in texts]
         letters, shapes = _streams(raw)
-        flags = []
-        for table, stream, width, threshold in zip((self.shapes, self.letters, self.letters), (shapes, letters, letters), WINDOWS, THRESHOLDS):
-            score = table[_grams(stream)] if len(stream) else np.zeros(0, np.float32)
-            total = np.concatenate([[0.0], np.cumsum(score, dtype=np.float64)])
-            hit = np.zeros(len(stream), bool)
-            if len(stream) >= width:
-                mean = (total[width:] - total[:-width]) / width
-                hit[: len(mean)] = mean > threshold
-            flags.append((hit, width, np.concatenate([[0], np.cumsum(hit)])))
+        totals = []
+        for table, stream in zip((self.shapes, self.letters, self.letters), (shapes, letters, letters)):
+            totals.append(np.concatenate([[0.0], np.cumsum(table[_grams(stream)], dtype=np.float64)]))
+        hits = []
+        for total, width, threshold in zip(totals, WINDOWS, THRESHOLDS):
+            hit = total[width:] - total[:-width] > threshold * width
+            hits.append((hit, np.concatenate([[0], np.cumsum(hit)])))
         out, at = [], 0
         for text, coded in zip(texts, raw):
             size = len(coded)
             found: list[list[tuple[int, int]]] = []
-            for hit, width, upto in flags:
-                inside = max(0, size)
-                some = upto[min(at + inside, len(hit))] - upto[at] if inside else 0
-                found.append([(a, min(b, size)) for a, b in _spans(hit[at : at + size], width)] if some else [])
+            for (hit, upto), total, width, threshold in zip(hits, totals, WINDOWS, THRESHOLDS):
+                end = at + size - width + 1  # windows lie inside the text
+                if end <= at:
+                    found.append([(0, size)] if size and total[at + size] - total[at] > threshold * size else [])
+                else:
+                    found.append(_spans(hit[at:end], width) if upto[end] > upto[at] else [])
             out.append(_verdict(text, *found))
             at += size + 1
         return out
