@@ -22,15 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridraft.llm import repetition, residue, truncation
-from veridraft.llm.languages import voted
+from veridraft.llm.languages import EXCLUSIVE, voted
 from veridraft.llm.text import WORD, clean, fold, sentences
-from veridraft.session import RESERVED, ship
+from veridraft.session import RESERVED, ship, written
 
 DEFECTS = ("empty", "refusal", "truncated", "copy", "language")
 #: Words in a row from which wording counts as the prompt's own, and the words a reply must have beyond it.
 COPIED_RUN, REPLY_WORDS = 4, 5
 #: Share of a response's words that a copy takes from its prompt.
 COPIED_SHARE = 0.7
+#: A text of more words than this is neither empty nor a refusal; one with this share of its expected
+#: language's own stopwords is in it.
+SHORT, EXPECTED_SHARE = 80, 0.15
 
 # How a model declines, and what it declines to do (folded).
 _DECLINES = (
@@ -174,20 +177,26 @@ def defect(text: str, prompt: str | None, refusal: str | None) -> str | None:
     text = clean(text)
     if refusal and refusal.strip():
         return "refusal"
-    reply = reply_of(text)
-    if sum(len(WORD.findall(s)) for s in reply) < 2:  # not even a sentence
-        return "empty"
-    if declines(reply):
-        return "refusal"
+    said = WORD.findall(fold(text))
+    reply = None
+    if len(said) <= SHORT:
+        reply = reply_of(text)
+        if sum(len(WORD.findall(s)) for s in reply) < 2:  # not even a sentence
+            return "empty"
+        if declines(reply):
+            return "refusal"
     if not prompt:
         return None
-    automaton, _, expected = _prompt(clean(prompt))
-    said = WORD.findall(fold(text))
-    copied = automaton.walk(said, COPIED_RUN)
-    if copied >= COPIED_SHARE * len(said) and len(said) - copied <= REPLY_WORDS:
-        return "copy"
+    automaton, size, expected = _prompt(clean(prompt))
+    if len(said) <= 2 * size:
+        copied = automaton.walk(said, COPIED_RUN)
+        if copied >= COPIED_SHARE * len(said) and len(said) - copied <= REPLY_WORDS:
+            return "copy"
     if expected:
-        words = [WORD.findall(fold(s)) for s in reply]
+        own = EXCLUSIVE[expected]
+        if sum(w in own for w in said) >= EXPECTED_SHARE * len(said):
+            return None
+        words = [WORD.findall(fold(s)) for s in (reply_of(text) if reply is None else reply)]
         whole = voted([w for s in words for w in s], least=3.0)
         if whole and whole != expected and not any(voted(s) == expected for s in words):
             return "language"
@@ -225,6 +234,7 @@ def broken_pairs(responses: DataFrame, prompts: DataFrame, key: str, prompt_id:
     order = F.create_map(*[x for i, d in enumerate(DEFECTS) for x in (F.lit(d), F.lit(i))])
     cut = truncation.truncated(rows, "text", ["key"]).withColumn("defect", F.lit("truncated"))
     found = _flagged(pairs).unionByName(cut).groupBy("key").agg(F.min_by("defect", order[F.col("defect")]).alias("defect"))
+    found = written(found, "defects")  # read twice below
     texts = rows.select("key", "text").join(found, "key")
     model = model or residue.Model(residue.ratios(residue.prose_counts(rows, "text")))
     pages = residue.residue(texts, "text", ["key"], model).select("key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridraft.llm import pairs, repetition, residue, truncation
+from veridraft.llm import language_id, pairs, repetition, residue, truncation
 from veridraft.operators.exactly_once import read_id
 from veridraft.operators.results import both_results
 from veridraft.session import table
@@ -62,6 +62,34 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_mail(spark, sf_dir), "text", ["tab", "rec"])
 
 
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "wq_human_reference")
+    return rows.select("id", "email", F.col("lang").alias("said"), F.col("reference_judgments.gold_dialect").alias("gold"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _people(spark, sf_dir)
+    found = language_id.passages(rows, "email", ["id"], language_id.fit_on(rows, "email", "said"), carry=["said", "gold"])
+    own = found.withColumn("langs", F.array_distinct(F.transform("passages", lambda p: p["lang"])))
+    said, gold = (F.udf(language_id.label, "string", useArrow=True)(c) for c in ("said", "gold"))
+    named = own.select("id", "langs", said.alias("said"), gold.alias("gold"))
+    wrong = (F.size("langs") > 1) | F.col("said").isNull() | (F.col("said") != F.col("langs")[0]) | F.coalesce(F.col("gold") != F.col("langs")[0], F.lit(False))
+    return named.where((F.size("langs") > 0) & wrong).select("id", F.explode("langs").alias("lang"))
+
+
+def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage in one language, with its confidence."""
+    rows = _people(spark, sf_dir)
+    found = language_id.passages(rows, "email", ["id"], language_id.fit_on(rows, "email", "said"))
+    return found.select("id", F.explode("passages").alias("p")).select("id", "p.*")
+
+
+def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of every email, with confidence and share."""
+    rows = _people(spark, sf_dir)
+    return language_id.languages(language_id.passages(rows, "email", ["id"], language_id.fit_on(rows, "email", "said")), ["id"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _generated(spark, sf_dir).where("status = 'success'")
     rows = rows.select("row_seq", read_id("id").alias("id"), "content", F.get_json_object("raw_response", "$.choices[0].message.refusal").alias("refusal"))

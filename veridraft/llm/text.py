@@ -62,6 +62,18 @@ def fold(text: str) -> str:
     return text.lower()
 
 
+_WESTERN_MASKED = bytes(ord("0") if 48 <= b <= 57 else b for b in WESTERN)
+_DIGIT = re.compile(r"\d")
+
+
+def fold_masked(text: str) -> str:
+    """``fold`` with every digit read as 0."""
+    try:
+        return text.encode("cp1252").translate(_WESTERN_MASKED).decode("cp1252")
+    except UnicodeError:
+        return _DIGIT.sub("0", fold(text))
+
+
 def words(text: str) -> list[str]:
     """Folded runs of letters and digits."""
     return WORD.findall(fold(clean(text)))

@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridraft.llm.text import clean, fold
+from veridraft.llm.text import clean, fold_masked
 from veridraft.session import RESERVED, ship, written
 
-#: Lengths of the hashed prefixes, in characters of a folded unit whose digit runs read 0.
+#: Lengths of the hashed prefixes, in characters of a folded unit whose digits read 0.
 LENGTHS = (1, 2, 4, 8, 16, 24, 32)
 #: A prefix must have this many copies elsewhere before it counts.
 SUPPORT = 3
@@ -43,11 +43,11 @@ HELD = 200_000
 
 _CUT = re.compile(r"(?:\s*(?:\.{2,}|…|\((?:cont|continua|continued|…|\.\.\.)\.?\)|\[(?:…|\.\.\.|cont\.?)\]|�+|`{3}|[\"“”»'*_~]+|[-–—]+))+$")
 _CLOSING_MARKS = re.compile(r"(?:\s*(?:`{3}|[\"“”»'*_~]+))+$")
-_DIGITS, _DIGIT = re.compile(r"\d+"), re.compile(r"\d")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'»”)*]*\s+")
 _OBJECT = re.compile(r"[{\[]")
 #: Names vary where sentences do not: a run of capitalised words reads X.
-_NAMES = re.compile(r"\b[A-ZÀ-Ý][a-zß-ÿ'’-]+(?:\s+[A-ZÀ-Ý][a-zß-ÿ'’-]+)+")
+_NAMES = re.compile(r"\b[A-ZÀ-Ý][a-zß-ÿ'’-]+(?: +[A-ZÀ-Ý][a-zß-ÿ'’-]+)+")
+_QUOTES = frozenset("`\"“”»'*_~")
 _OPEN, _CLOSED, _PAUSE = range(3)
 _DECODER = json.JSONDecoder()
 
@@ -59,21 +59,28 @@ def _ending(unit: str) -> int:
     return _OPEN if last.isalnum() or last in "-–—/(&€$%#@+=<[{" else _CLOSED
 
 
-def _masked(unit: str, inline: bool) -> str:
-    """``inline``: it follows another sentence in its line, where a name begins a sentence rather
+def _pieces(body: str) -> list[str]:
+    """The units of a text: its sentences and lines, folded, with names as x and digits as 0. One that
+    begins with a name after another in its line is marked, as there a name begins a sentence rather
     than a signature."""
-    unit = _DIGITS.sub("0", fold(_NAMES.sub("X", unit)))
-    return "\x02" + unit if inline and unit[:1] == "x" else unit
-
-
-def _pieces(body: str) -> list[tuple[str, bool]]:
-    """Sentences and lines, and whether each follows another in its line."""
-    return [(p, i > 0) for line in body.split("\n") for i, p in enumerate(_SENTENCE_END.split(line.strip())) if p]
-
-
-def _exact(unit: str) -> str:
-    """The unit's very words, its digits one by one."""
-    return _DIGIT.sub("0", fold(unit)).rstrip(".!? ")
+    out = []
+    for line in fold_masked(_NAMES.sub("X", body)).split("\n"):
+        line = line.strip()
+        if line:
+            parts = [p for p in _SENTENCE_END.split(line) if p]
+            out.append(parts[0])
+            out.extend("\x02" + p if p[0] == "x" else p for p in parts[1:])
+    return out
+
+
+def _without(marks: re.Pattern, text: str) -> str:
+    """``text`` without the marks at its end; only the end is searched."""
+    while True:
+        tail = text[-60:]
+        bare = marks.sub("", tail)
+        if bare == tail:
+            return text
+        text = text[: len(text) - len(tail)] + bare
 
 
 def _json_start(text: str) -> int:
@@ -118,26 +125,28 @@ def units_of(text: str) -> tuple[list[tuple[str, int, str]], tuple[str, int, str
         whole = _json_complete(text, start)
         unit = "\x01" + text[start : start + 30].split(",")[0]
         return [(unit, _CLOSED if whole else _OPEN, "")], None if whole else (unit, _OPEN, "", False, False)
-    body = text.rstrip()
-    parts = _pieces(body)
+    body = text.strip()
+    if not body:
+        return [], None
+    closed = _without(_CLOSING_MARKS, body)
+    bare = _without(_CUT, body)
+    marked = closed != bare
+    parts = _pieces(bare)
     if not parts:
         return [], None
     done = []
-    for p, inline in parts[:-1]:
-        bare = _CLOSING_MARKS.sub("", p) or p
-        ending = _ending(bare)
-        done.append((_masked(p, inline), ending, _exact(bare) if ending == _CLOSED else ""))
-    bare = _CUT.sub("", body)
-    marked = _CLOSING_MARKS.sub("", body) != bare
-    if not bare:
-        return done, None
-    tail, inline = _pieces(bare)[-1]
-    ending, unit = _ending(tail), _masked(tail, inline)
-    done.append((unit, ending, _exact(tail) if ending == _CLOSED and not marked else ""))
-    if (ending == _CLOSED and not marked) or (not marked and _in_signature(bare)):
+    for p in parts:
+        if p[-1] in _QUOTES:
+            p = _CLOSING_MARKS.sub("", p) or p
+        ending = _ending(p)
+        done.append((p, ending, p.rstrip(".!? ") if ending == _CLOSED else ""))
+    unit, ending, exact = done[-1]
+    if marked:
+        done[-1] = (unit, ending, "")
+    if (ending == _CLOSED and not marked) or (not marked and (_in_signature(bare) or unit[-1] == ":" and len(unit.split()) <= 2)):
         return done, None
     before = done[-2][0] if len(done) > 1 else ""
-    return done, (unit, ending, _exact(tail), marked, ending == _OPEN and len(before) > len(unit) and before.startswith(unit))
+    return done, (unit, ending, unit.rstrip(".!? "), marked, ending == _OPEN and len(before) > len(unit) and before.startswith(unit))
 
 
 def _hash(prefix: str, length: int) -> int:
