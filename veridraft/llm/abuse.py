@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,21 +30,23 @@ from veridraft.llm.text import clean, fold, mix
 from veridraft.session import RESERVED, ship
 
 #: Buckets of hashed features, words of the window that is scored, most labelled documents trained on.
-BITS, WINDOW, SAMPLE = 18, 14, 20_000
+BITS, WINDOW, SAMPLE = 18, 14, 4000
 #: FTRL: learning rate, its smoothing, L1 and L2; epochs of a round, rounds, copies of the phrases.
 ALPHA, BETA, L1, L2, EPOCHS, ROUNDS, COPIES = 0.5, 1.0, 0.05, 0.1, 4, 5, 4
 #: The highest passage of an offensive document counts if it scores over this share of the highest passages
-#: of harmless ones; from these log odds on a passage is no sure harmless one.
-OVER, MISSED = 0.93, 1.0
+#: of harmless ones; over the same line a passage of a harmless document is left out.
+OVER = 0.95
+#: Log odds under which a passage is surely harmless, and the share of such passages trained on again.
+SURE, EASY = -3.0, 0.15
 #: Score from which a document is reported.
-LIMIT = 0.5
+LIMIT = 0.6
 
 # Phrases of either kind.
 OFFENSIVE = (
     "és um idiota e não vales nada", "és um cabrão", "seu filho da puta", "vai à merda", "vai para o caralho", "vão-se foder todos", "cala-te minha besta", "és uma besta quadrada", "seus imbecis de merda", "és um estúpido",
-    "que bando de estúpidos", "és um palhaço de merda", "és um anormal", "és um burro de merda", "seu atrasado mental", "vigarista nojento", "não passas de lixo", "és um merdoso", "metam isso no cu", "vai levar no cu",
+    "que bando de estúpidos", "és um palhaço de merda", "és um anormal", "és um burro de merda", "seu atrasado mental", "vigarista nojento", "não passas de lixo", "és um merdoso", "metam isso no cu", "metam o sistema no cu seus cabrões", "vai levar no cu",
     "o teu chefe é um idiota e tu és pior do que ele", "quem atendeu é um imbecil completo", "que raio de cabrão trata desta porcaria", "só um imbecil mandava uma coisa destas", "uma cambada de ladrões sem vergonha", "a tua mãe devia ter vergonha de te ter parido", "tomara que morras", "espero que morras", "se te apanho parto-te a cara", "sei onde moras e vou aí partir-te as pernas", "vou matar-te", "vais pagar por isto na rua",
-    "esses imigrantes são uma praga", "deviam ser todos corridos daqui", "volta para a tua terra", "não queremos gente dessa cor", "gente da tua raça não devia entrar", "os judeus são uns ratos", "com judeus não faço negócio", "não quero ser atendido por pretos", "nem por ciganos", "esses estrangeiros são sub-humanos", "as mulheres não servem para chefiar", "voltem para a cozinha", "as mulheres são todas burras", "os paneleiros metem nojo", "deficientes não deviam ter direito a trabalhar", "os velhos só estorvam deviam desaparecer", "essa religião é coisa de animais", "os brasileiros deviam ser proibidos de entrar",
+    "esses imigrantes são uma praga", "deviam ser todos corridos daqui", "volta para a tua terra", "não queremos gente dessa cor", "gente da tua raça não devia entrar", "os judeus são uns ratos", "com judeus não faço negócio", "não quero ser atendido por pretos", "nem por ciganos", "esses estrangeiros são sub-humanos", "as mulheres não servem para chefiar", "voltem para a cozinha", "as mulheres são todas burras", "uma mulher a mandar só podia dar asneira", "os paneleiros metem nojo", "deficientes não deviam ter direito a trabalhar", "os velhos só estorvam deviam desaparecer", "essa religião é coisa de animais", "os brasileiros deviam ser proibidos de entrar",
     "quero ver-te nua", "manda-me fotografias tuas sem roupa", "tira a roupa e mostra-me tudo", "mulheres nuas prontas para sexo", "massagens íntimas com final feliz", "vídeos porno sem censura", "quero lamber-te toda", "chupo-te todo", "vou foder-te toda a noite", "bati uma a pensar em ti", "estou com tesão", "as tuas mamas", "a minha boca entre as tuas pernas",
     "go fuck yourself", "you are a dumb bastard", "you worthless piece of shit", "you useless scum", "i hope you die", "i know where you live and i will break your legs", "only an idiot would send this", "women are too stupid to run an office", "those immigrants are animals", "people of your race are vermin", "they deserve to be beaten", "send me nude pictures", "hot naked girls want sex with you", "i want to fuck you", "you stupid bitch", "shut up you moron",
     "vete a la mierda", "eres un gilipollas", "eres un imbécil y no vales para nada", "hijo de puta", "solo un gilipollas manda esto", "los de tu raza son basura", "deberían echarlos a todos", "las mujeres no sirven para mandar", "mándame fotos tuyas desnuda", "quiero follarte", "te voy a matar", "cállate imbécil",
@@ -66,17 +69,37 @@ HARMLESS = (
 
 _LEET = str.maketrans("0134578$@!|€£", "oieastbsaiiel")
 _MASKS = "*_#?•"
-_DISGUISED = re.compile(r"[a-z][\d$@|!€£*_#?•-]+[a-z]|[$@€£*_#][a-z]{2}|[a-z]{2}[\d$@€£*_#](?![\w])|(?<![a-z])[a-z](?:[\s.\-_*]+[a-z](?![a-z])){2,}|([a-z])\1\1")
-_SPREAD = re.compile(r"(?<![a-z\d])[a-z](?:[ .\-_*/]{1,4}[a-z](?![a-z\d])){3,}")
+#: Inside one piece between spaces: letters spread out by signs, words with signs or digits for letters,
+#: letters repeated, two words that may be one with a masked letter.
+_SPREAD = re.compile(r"(?<![a-z\d])[a-z](?:[.\-_*/]{1,4}[a-z](?![a-z\d]))+")
 _LEETWORD = re.compile(r"(?<![\w$@€£*_#])[a-z$@][a-z\d$@|!€£*_#?•]*[a-z\d$@|!€£*_#?•](?![\w])")
 _REPEATED = re.compile(r"([a-z])\1{2,}")
 _HYPHENED = re.compile(r"(?<![a-z-])([a-z]+)-([a-z]+)(?![a-z-])")
-_TOKENS = re.compile(r"[a-z]+(?:['’][a-z]+)?|[.!?\n:;]+")
+_TOKENS = re.compile(r"[a-z]+(?:['’][a-z]+)?|[.!?:;]+")
 _IDENT = re.compile(r"^[a-z]{1,4}\d+$|^\d")
+#: Single letters have numbers under this, so that runs of them are found at once.
+_LETTERS = 64
+_RUN = 3
 
 
 def _seed(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode())
+    if len(word) == 1:
+        return 2 * (ord(word) - 96) + 1 if "a" <= word <= "z" else 1
+    return xxhash.xxh3_64_intdigest(word.encode()) | 129
+
+
+class _Numbers(dict):
+    """Numbers of the words of each piece between spaces, as they are met."""
+
+    def __init__(self, reader: "Reader"):
+        super().__init__()
+        self.reader = reader
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = tuple(_seed(w) if w[0].isalpha() else 0 for w in self.reader.words(piece))
+        if len(self) < 300_000:
+            self[piece] = found
+        return found
 
 
 class Reader:
@@ -84,12 +107,11 @@ class Reader:
     stand for."""
 
     def __init__(self, vocabulary: Sequence[str] = ()):
-        self.vocabulary = sorted(set(vocabulary))
         self.by_length: dict[int, list[str]] = {}
-        for w in self.vocabulary:
+        for w in sorted(set(vocabulary)):
             self.by_length.setdefault(len(w), []).append(w)
-        self.known = set(self.vocabulary)
-        self.seeds: dict[str, int] = {}
+        self.known = set(vocabulary)
+        self.numbered = _Numbers(self)
 
     def _unmasked(self, word: str) -> str:
         shape = re.compile("".join("[a-z]" if c in _MASKS else re.escape(c) for c in word))
@@ -114,29 +136,51 @@ class Reader:
         found = self._unmasked(f"{a}*{b}")
         return found if found in self.known else m.group(0)
 
-    def undisguised(self, text: str) -> str:
-        """Folded text with disguises undone."""
-        if not _DISGUISED.search(text):
-            return text
-        text = _SPREAD.sub(lambda m: re.sub(r"[^a-z]", "", m.group(0)), text)
-        text = _LEETWORD.sub(self._word, text)
-        text = _REPEATED.sub(r"\1", text)
-        return _HYPHENED.sub(self._hyphened, text)
+    def words(self, piece: str) -> list[str]:
+        """Words and end marks of one folded piece between spaces."""
+        if not piece.isalpha():
+            piece = _SPREAD.sub(lambda m: re.sub(r"[^a-z]", "", m.group(0)), piece)
+            piece = _LEETWORD.sub(self._word, piece)
+            piece = _HYPHENED.sub(self._hyphened, piece)
+        return _TOKENS.findall(_REPEATED.sub(r"\1", piece))
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        return fold(clean(text)).replace("\n", " . ").split()
 
     def tokens(self, text: str) -> list[str]:
-        return _TOKENS.findall(self.undisguised(fold(clean(text))))
+        """The words of a text and the marks between its passages."""
+        out: list[str] = []
+        for piece in self.pieces(text):
+            out.extend(self.words(piece))
+        at = 0
+        while at < len(out):
+            end = at
+            while end < len(out) and len(out[end]) == 1 and out[end].isalpha():
+                end += 1
+            if end - at >= _RUN:
+                out[at:end] = ["".join(out[at:end])]
+            at = max(end, at + 1)
+        return out
 
-    def numbers(self, tokens: list[str]) -> list[int]:
+    def numbers(self, text: str) -> list[int]:
         """A number for each word; 0 between passages."""
-        seeds, out = self.seeds, []
-        for t in tokens:
-            n = seeds.get(t)
-            if n is None:
-                n = _seed(t) | 1 if t[0].isalpha() else 0
-                if len(seeds) < 500_000:
-                    seeds[t] = n
-            out.append(n)
-        return out
+        return list(chain.from_iterable(map(self.numbered.__getitem__, self.pieces(text))))
+
+
+def _joined(numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of single letters as words; ``ends``: where each text ends."""
+    single = (numbers < _LETTERS) & (numbers > 0)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
+    runs = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if b - a >= _RUN]
+    if not runs:
+        return numbers, ends
+    keep = np.ones(len(numbers), bool)
+    numbers = numbers.copy()
+    for a, b in runs:
+        numbers[a] = _seed("".join(chr(96 + (int(x) >> 1)) for x in numbers[a:b]))
+        keep[a + 1 : b] = False
+    return numbers[keep], np.cumsum(keep)[ends - 1]
 
 
 def features(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,12 +257,12 @@ class Model:
         flat: list[int] = []
         ends = []
         for t in texts:
-            flat.extend(reader.numbers(reader.tokens(t)))
+            flat.extend(reader.numbers(t))
             flat.append(0)
             ends.append(len(flat))
-        numbers = np.array(flat, np.uint64)
-        if not len(numbers):
+        if not flat:
             return out
+        numbers, ends = _joined(np.array(flat, np.uint64), np.array(ends, np.int64))
         at, has = features(numbers)
         gain = np.concatenate([[0.0], np.cumsum((dense[at] * has).sum(1), dtype=np.float64)])
         place = np.arange(len(numbers))
@@ -226,7 +270,7 @@ class Model:
         # a window that begins inside a passage leaves out the n-grams that reach back beyond it: two words at most
         margin = gain[place + 1] - gain[np.maximum(start, place + 1 - WINDOW)]
         margin = np.where(numbers == 0, -np.inf, margin + dense[-1])
-        best = np.maximum.reduceat(margin, np.array([0, *ends[:-1]], np.int64))
+        best = np.maximum.reduceat(margin, np.concatenate([[0], ends[:-1]]))
         return np.where(np.isneginf(best), 0.0, 1 / (1 + np.exp(-np.clip(best, -30, 30))))
 
 
@@ -242,7 +286,7 @@ def fit(documents: Sequence[tuple[str, int]]) -> Model:
     def buckets(p: tuple[str, ...]) -> np.ndarray:
         found = index.get(p)
         if found is None:
-            at, has = features(np.array([0, *reader.numbers(list(p))], np.uint64))
+            at, has = features(np.array([0, *map(_seed, p)], np.uint64))
             found = index[p] = np.append(np.unique(at[has]), 1 << BITS)
         return found
 
@@ -255,20 +299,29 @@ def fit(documents: Sequence[tuple[str, int]]) -> Model:
                 model.learn(*items[i])
         return model
 
-    score: dict[tuple[str, ...], float] = {}
-    for turn in range(ROUNDS if docs else 1):
+    distinct = list({p for passages, _ in docs for p in passages})
+    joined = np.concatenate([buckets(p) for p in distinct]) if distinct else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(buckets(p)) for p in distinct])[:-1]]).astype(np.int64) if distinct else joined
+
+    def scores(model: Ftrl) -> dict[tuple[str, ...], float]:
+        return dict(zip(distinct, np.add.reduceat(model.weights().astype(np.float64)[joined], starts))) if distinct else {}
+
+    spared = dict(zip(distinct, np.random.default_rng(11).random(len(distinct)) > EASY))
+    model = train({})
+    for turn in range(ROUNDS if docs else 0):
+        score = scores(model)
         seen: dict[tuple[str, ...], list[int]] = {}
-        least = np.quantile([max(map(score.get, p)) for p, y in docs if p and not y] or [0.0], OVER) if turn else 0.0
+        tops = [max(map(score.get, p)) for p, y in docs if p and not y] or [0.0]
+        # the model of the phrases alone knows no background: it only keeps likely offences out of the harmless ones
+        least = float(np.quantile(tops, OVER))
         for passages, y in docs:
-            top = max(passages, key=score.get) if turn and passages else None
+            top = max(passages, key=score.get) if turn and y and passages else None
             for p in set(passages):
-                if y and turn and p == top and score[p] > min(least, MISSED):
+                if p == top and score[p] > least:
                     seen.setdefault(p, [0, 0])[1] += 1
-                elif (not y or turn) and score.get(p, 0) < MISSED:  # above it an annotator missed something, or a second passage offends
+                elif (turn or not y) and score[p] <= max(least, 0.0) and not (score[p] < SURE and spared[p]):
                     seen.setdefault(p, [0, 0])[0] += 1
         model = train(seen)
-        weights = model.weights().astype(np.float64)
-        score = {p: float(weights[buckets(p)].sum()) for passages, _ in docs for p in passages}
     weights = model.weights()
     dense = weights.astype(np.float64)
     for passages, y in docs:

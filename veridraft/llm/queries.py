@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridraft.llm import language_id, pairs, repetition, residue, truncation
+from veridraft.llm import abuse, language_id, mixing, packing, pairs, repetition, residue, tokens, truncation
 from veridraft.operators.exactly_once import read_id
 from veridraft.operators.results import both_results
 from veridraft.session import table
@@ -96,8 +96,54 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.broken_pairs(rows, table(spark, sf_dir, "elaboration_prompts_pt_pt"), "row_seq", "id", "content", "refusal")
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.sizes(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+
+
+def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document lies in containers of each size."""
+    return packing.placed(_sizes(spark, sf_dir), "doc_id", "n_tokens", table(spark, sf_dir, "container_sizes"), "container_kind", "capacity_tokens")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each size are."""
+    used = packing.containers_of(p8_placed(spark, sf_dir))
+    out = used.groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity_tokens"), F.count(F.lit(1)).alias("n_containers"), F.sum("used_tokens").alias("used_tokens"), F.sum("unused_tokens").alias("unused_tokens"))
+    return out.withColumn("fill", F.round(F.col("used_tokens") / (F.col("used_tokens") + F.col("unused_tokens")), 6))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p9_selection(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def _scored(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = abuse.fit_on(docs, table(spark, sf_dir, "abuse_labels"), "doc_id", "text", "label")
+    return abuse.scored(docs, "text", ["doc_id", *carry], model)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where(F.col("score") >= abuse.LIMIT).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of offensive documents for each source."""
+    bad = (F.col("score") >= abuse.LIMIT).cast("long")
+    out = _scored(spark, sf_dir, "source").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(bad).alias("n_offensive"))
+    return out.withColumn("offensive_rate", F.round(F.col("n_offensive") / F.col("n_docs"), 6))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_models": p1_models, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_kept": p4_kept, "p5_found": p5_found, "p5_shares": p5_shares, "p7_found": p7_found,
+    "p6_found": p6_found, "p6_passages": p6_passages, "p6_documents": p6_documents, "p8_placed": p8_placed, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_sources": p10_sources,
 }
 
 SQL: dict[str, str] = {}
