@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "p3_model"
+FLAGSHIP = "style_scorecard"
 
 
 def _modules():
-    from veridraft.plans import core_training
+    from veridraft.plans import core_training, reference
 
-    return [core_training]
+    return [core_training, reference]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
