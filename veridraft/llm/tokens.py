@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
@@ -18,6 +19,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 DEFAULT = os.environ.get("VERIDRAFT_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 
+#: A single space between two other characters: a token never reaches across its left side.
+_GAP = re.compile(r"(?<=\S) (?=\S)")
+
+
 class _Pieces(dict):
     def __init__(self, encode):
         super().__init__()
@@ -49,11 +54,9 @@ class Counter:
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines())}
             self._pieces = _Pieces(tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
-        parts = text.split(" ")
-        if "" in parts or any(c.isspace() for c in text if c not in " \n") or "\n " in text:
-            return len(self._pieces.encode(text))
         known = self._pieces
-        return known[parts[0]] + sum([known[" " + p] for p in parts[1:]])
+        first, *rest = _GAP.split(text)
+        return known[first] + sum([known[" " + p] for p in rest])
 
 
 def sizes(df: DataFrame, content: str, carry: Sequence[str], path: str = DEFAULT) -> DataFrame:
