@@ -65,10 +65,10 @@ _SAID = "category string, urgency string, action_required boolean, sentiment str
 def matched(truth: DataFrame, results: DataFrame) -> DataFrame:
     """Every (model, truth row) with the model's first answer to it. Models are those of the results."""
     answers = first_of(results.withColumn("id", read_id("id")).where("id IS NOT NULL"), ["model", "id"], "row_seq")
-    said = answers.select("model", F.col("id").alias("rid"), "status", "error", "is_valid_schema", "parse_repaired", F.from_json("parsed", _SAID).alias("said"))
-    asked = truth.select("id", "ground_truth")
-    every = asked.join(said.select("model").distinct(), F.lit(True))  # every model answers every truth row
-    return every.join(said, (every["id"] == said["rid"]) & (every["model"] == said["model"]), "left").drop(said["model"])
+    said = answers.select(F.col("model").alias("m"), F.col("id").alias("rid"), "status", "error", "is_valid_schema", "parse_repaired", F.from_json("parsed", _SAID).alias("said"))
+    models = results.select("model").distinct()
+    every = truth.select("id", "ground_truth").crossJoin(models)  # a small dimension: each model answers each truth row
+    return every.join(said, (F.col("id") == F.col("rid")) & (F.col("model") == F.col("m")), "left").drop("m")
 
 
 def score(truth: DataFrame, results: DataFrame) -> DataFrame:

@@ -72,11 +72,11 @@ def eligible(v: Column) -> Column:
 
 def fidelity(violations: Column, words: Column) -> Column:
     """Struct of weighted leaks, violations by tier and the word fidelity score of a text."""
-    kept = F.filter(F.coalesce(violations, F.array().cast("array<struct<rule_id:string,severity:string,score_eligible:boolean>>")), eligible)
-    tiers = F.transform(kept, lambda v: tier(v["rule_id"], v["severity"]))
-    weight = F.aggregate(tiers, F.lit(0.0), lambda a, t: a + _by(t, TIER_WEIGHTS))
+    tiers = F.transform(F.filter(violations, eligible), lambda v: tier(v["rule_id"], v["severity"]))
+    weight = F.coalesce(F.aggregate(tiers, F.lit(0.0), lambda a, t: a + _by(t, TIER_WEIGHTS)), F.lit(0.0))
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - 100 * weight / F.greatest(words, F.lit(1)))), 1)
-    return F.struct(weight.alias("weighted_leaks"), *[F.size(F.filter(tiers, lambda t, k=k: t == k)).cast("bigint").alias(f"tier_{k}") for k in TIER_WEIGHTS], score.alias("wf_score"))
+    count = lambda k: F.when(violations.isNull(), 0).otherwise(F.size(F.filter(tiers, lambda t: t == k))).cast("bigint")
+    return F.struct(weight.alias("weighted_leaks"), *[count(k).alias(f"tier_{k}") for k in TIER_WEIGHTS], score.alias("wf_score"))
 
 
 def graded(violations: Column, words: Column) -> Column:

@@ -154,4 +154,4 @@ def deduplicate(df: DataFrame, keys: Sequence[str], order: Sequence[str], store:
         anonymous = anonymous | F.col(k).isNull()
     on = [*keys, *[c for c in order if c not in keys]]
     kept = df.where(~anonymous).join(result.selected().select(*on), on, "left_semi")
-    return kept.unionByName(df.where(anonymous))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(df.where(anonymous))

@@ -50,16 +50,17 @@ def structure(c: str) -> Column:
     )
 
 
+def _before(x: Column) -> Column:
+    """An array moved one place to the right; lambdas see each element once, nothing is read again by index."""
+    return F.concat(F.array(F.lit(None)), F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))))
+
+
 def token_runs(c: str) -> Column:
     """How many runs of the same token occur, of two or more and of three or more."""
     t = T.tokens(T.masked(c))
-    n = F.size(t)
-    at = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
-    equal = lambda i: F.coalesce(F.get(t, i) == F.get(t, i - 1), F.lit(False))
-    before = lambda i, k: (i > k) & F.coalesce(F.get(t, i - k) == F.get(t, i - k - 1), F.lit(False))
-    starts = F.filter(at, lambda i: (n > 1) & equal(i) & ~before(i, 1))
-    long = F.filter(at, lambda i: (n > 2) & (i > 1) & equal(i) & equal(i - 1) & ~before(i, 2))
-    return F.struct(F.size(starts).alias("runs"), F.size(long).alias("long_runs"))
+    same = F.zip_with(t, _before(t), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    said = F.array_join(F.transform(same, lambda e: F.when(e, "1").otherwise("0")), "")
+    return F.struct(F.regexp_count(said, F.lit("1+")).alias("runs"), F.regexp_count(said, F.lit("11+")).alias("long_runs"))
 
 
 def duplicate_sentence(c: str) -> Column:
@@ -67,8 +68,8 @@ def duplicate_sentence(c: str) -> Column:
     said = F.filter(F.transform(F.split(F.col(c), r"[.!?]+|\n+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 12)
     said = F.transform(said, lambda s: F.regexp_replace(F.lower(s), r"\s+", " "))
     ordered = F.array_sort(said)
-    twice = F.array_distinct(F.filter(ordered, lambda s, i: (i > 0) & (s == F.get(ordered, i - 1))))
-    return F.get(F.filter(said, lambda s: F.array_contains(twice, s)), 0)
+    twice = F.zip_with(ordered, _before(ordered), lambda a, b: F.when(a == b, a))
+    return F.get(F.array_intersect(said, F.array_compact(twice)), 0)
 
 
 def repeated_phrase(tokens: list[str]) -> tuple[int, str] | None:
@@ -107,7 +108,8 @@ def profile(c: str) -> Column:
     n, k = F.size(words), F.size(sizes)
     total = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x)
     mean = F.when(k > 0, total / k).otherwise(0.0)
-    spread = F.when(k > 0, F.sqrt(F.aggregate(sizes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / k)).otherwise(0.0)
+    squares = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x * x)
+    spread = F.when(k > 0, F.sqrt(F.greatest(F.lit(0.0), squares / k - mean * mean))).otherwise(0.0)
     ttr = F.when(n > 0, F.size(F.array_distinct(words)) / n).otherwise(0.0)
     greeting = T.n_tokens(F.coalesce(F.trim(F.get(F.split(F.get(parts, 0), r"\r?\n"), 0)), F.lit("")))
     greeted = F.when(greeting <= 1, 0.55).when(greeting == 2, 0.72).when(greeting == 3, 0.84).when(greeting <= 5, 0.94).otherwise(1.0)

@@ -126,8 +126,8 @@ def duplicate_sentences(spark: SparkSession, d: str) -> DataFrame:
 def _phrase_sql(n: int) -> str:
     words = " || ' ' || ".join(["w", *[f"lead(w, {k}) OVER p" for k in range(1, n)]])
     return f"""SELECT row_seq, {n} AS n, arg_min(g, i) AS phrase FROM (
-  SELECT row_seq, g, min(i) AS i, list_sort(list(i))[1:8] AS at FROM (SELECT row_seq, i, {words} AS g FROM t WINDOW p AS (PARTITION BY row_seq ORDER BY i)) WHERE g IS NOT NULL GROUP BY row_seq, g HAVING count(*) > 1)
-  WHERE len(list_filter(range(2, len(at) + 1), lambda k: at[k] - at[k - 1] >= {n})) > 0 GROUP BY row_seq"""
+  SELECT row_seq, g, min(i) AS i, list_sort(list(i))[1:8] AS places FROM (SELECT row_seq, i, {words} AS g FROM t WINDOW p AS (PARTITION BY row_seq ORDER BY i)) WHERE g IS NOT NULL GROUP BY row_seq, g HAVING count(*) > 1)
+  WHERE len(list_filter(range(2, len(places) + 1), lambda k: places[k] - places[k - 1] >= {n})) > 0 GROUP BY row_seq"""
 
 
 @query(f"""WITH t AS (SELECT row_seq, unnest(regexp_extract_all(lower({_masked_sql('content')}), {q(T.WORD)})) AS w, generate_subscripts(regexp_extract_all(lower({_masked_sql('content')}), {q(T.WORD)}), 1) AS i
@@ -259,7 +259,7 @@ def _scorecard_sql() -> str:
     v = f"CASE WHEN {v} >= 0 THEN {v} END"
     share = "round(avg(CASE WHEN {w} AND ({t}) IS NOT NULL THEN CASE WHEN {t} THEN 100.0 ELSE 0.0 END END), 6)"
     timed = f"{VALID.format('started_at')} AND {VALID.format('finished_at')}"
-    lat = "CASE WHEN ok AND latency_ms >= 0 AND latency_ms < 'inf'::DOUBLE THEN latency_ms END"
+    lat = f"CASE WHEN ok AND {VALID.format('latency_ms')} THEN latency_ms END"
     out += [
         share.format(w="pt", t="ptbr_leakage_detected") + " AS ptbr_leakage_pct", "count(CASE WHEN pt THEN ptbr_leakage_detected END) AS n_ptbr_leakage_pct",
         f"round({_mean_sql(v, 'pt')}, 6) AS avg_ptbr_violations_per_email", f"count(CASE WHEN pt THEN {v} END) AS n_avg_ptbr_violations_per_email",
@@ -394,7 +394,7 @@ def _schema_sql(x: str) -> str:
     return f"CASE WHEN json_valid({x}) THEN CASE WHEN json_type({x}) = 'OBJECT' THEN coalesce({' AND '.join(f'({t})' for t in tests)}, false) ELSE false END ELSE false END"
 
 
-@query(f"SELECT row_seq, {_schema_sql('content')} AS valid FROM analysis_results WHERE content IS NOT NULL")
+@query(f"SELECT row_seq, {_schema_sql('x')} AS valid FROM (SELECT row_seq, CASE WHEN json_valid(content) THEN CASE WHEN json_type(content) = 'OBJECT' THEN content ELSE '{{}}' END ELSE '{{}}' END AS x FROM analysis_results WHERE content IS NOT NULL)")
 def schema_validity(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "analysis_results").where("content IS NOT NULL").select("row_seq", analysis.schema_valid("content").alias("valid"))
 
@@ -417,8 +417,8 @@ _LEX = f"""lex AS (SELECT DISTINCT CASE ground_truth.language_variant WHEN 'pt-b
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
     """The words of reference emails by variant, standing in for dictionaries."""
     r = _t(spark, d, "analysis_reference").where("ground_truth.language_variant IN ('pt-pt', 'pt-br')")
-    words = r.select(F.col("ground_truth.language_variant").alias("variant"), F.lower(F.explode(T.matches("email", T.LANGUAGE_WORD))).alias("form")).distinct()
-    return words.withColumn("folded", T.fold_diacritics("form"))
+    words = r.select(F.col("ground_truth.language_variant").alias("variant"), F.explode(T.matches("email", T.LANGUAGE_WORD)).alias("form"))
+    return words.withColumn("form", F.lower("form")).distinct().withColumn("folded", T.fold_diacritics("form"))
 
 
 def _contrast_sql(key: str, text: str, name: str) -> str:
