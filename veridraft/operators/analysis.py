@@ -63,30 +63,28 @@ _SAID = "category string, urgency string, action_required boolean, sentiment str
 
 
 def matched(truth: DataFrame, results: DataFrame) -> DataFrame:
-    """Every (model, truth row) with the model's first answer to it. Models are those of the results."""
+    """Each model's first answer to each id, beside the truth where there is one."""
     answers = first_of(results.withColumn("id", read_id("id")).where("id IS NOT NULL"), ["model", "id"], "row_seq")
-    said = answers.select(F.col("model").alias("m"), F.col("id").alias("rid"), "status", "error", "is_valid_schema", "parse_repaired", F.from_json("parsed", _SAID).alias("said"))
-    models = results.select("model").distinct()
-    every = truth.select("id", "ground_truth").crossJoin(models)  # a small dimension: each model answers each truth row
-    return every.join(said, (F.col("id") == F.col("rid")) & (F.col("model") == F.col("m")), "left").drop("m")
+    said = answers.select("model", "id", "status", "error", "is_valid_schema", "parse_repaired", F.from_json("parsed", _SAID).alias("said"))
+    return said.join(truth.select("id", "ground_truth", F.lit(True).alias("asked")), "id", "left")
 
 
 def score(truth: DataFrame, results: DataFrame) -> DataFrame:
     """One row for each model; missing, failed and scored answers add up to the truth rows."""
     rows = matched(truth, results)
-    missing = F.col("rid").isNull()
-    failed = ~missing & ((F.col("status") == "error") | (F.coalesce("error", F.lit("")) != ""))
-    scored = ~missing & ~failed
-    rows = rows.withColumn("missing", missing).withColumn("failed", F.coalesce(failed, F.lit(False))).withColumn("scored", F.coalesce(scored, F.lit(False)))
+    asked = F.coalesce("asked", F.lit(False))
+    failed = asked & ((F.col("status") == "error") | (F.coalesce("error", F.lit("")) != ""))
+    rows = rows.withColumn("failed", F.coalesce(failed, F.lit(False))).withColumn("scored", asked & ~F.col("failed"))
 
     def rate(test: Column) -> Column:
         return F.round(100 * F.avg(F.when(F.col("scored"), test.cast("double"))), 2)
 
-    aggs = [F.count(F.lit(1)).alias("requested"), F.count_if("missing").alias("missing"), F.count_if("failed").alias("failed"), F.count_if("scored").alias("scored")]
+    requested = F.lit(truth.count())
+    aggs = [(requested - F.count_if(asked)).alias("missing"), F.count_if("failed").alias("failed"), F.count_if("scored").alias("scored")]
     aggs += [rate(F.coalesce(F.col("is_valid_schema"), F.lit(False))).alias("schema_pct"), rate(F.col("parse_repaired")).alias("repaired_pct")]
     aggs += [rate(F.col(f"ground_truth.{c}").eqNullSafe(F.col(f"said.{c}"))).alias(f"{c}_pct") for c in COMPARED]
     aggs += [F.round(F.avg(F.when(F.col("scored"), entity_f1(F.col("ground_truth.key_entities"), F.col("said.key_entities")))), 4).alias("entity_f1")]
-    return rows.groupBy("model").agg(*aggs)
+    return rows.groupBy("model").agg(requested.alias("requested"), *aggs)
 
 
 def unexpected(truth: DataFrame, results: DataFrame) -> DataFrame:
