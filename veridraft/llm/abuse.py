@@ -38,8 +38,10 @@ ALPHA, BETA, L1, L2, EPOCHS, ROUNDS, COPIES = 0.5, 1.0, 0.05, 0.1, 4, 5, 4
 OVER = 0.95
 #: Log odds under which a passage is surely harmless, and the share of such passages trained on again.
 SURE, EASY = -3.0, 0.15
+#: Words from which passages count as one family.
+FAMILY = 3
 #: Score from which a document is reported.
-LIMIT = 0.6
+LIMIT = 0.5
 
 # Phrases of either kind.
 OFFENSIVE = (
@@ -269,7 +271,9 @@ class Model:
         start = np.maximum.accumulate(np.where(numbers == 0, place, -1)) + 1  # of the passage
         # a window that begins inside a passage leaves out the n-grams that reach back beyond it: two words at most
         margin = gain[place + 1] - gain[np.maximum(start, place + 1 - WINDOW)]
-        margin = np.where(numbers == 0, -np.inf, margin + dense[-1])
+        # scored as trained: whole passages, and full windows of long ones
+        whole = (numbers != 0) & ((np.append(numbers[1:], 0) == 0) | (place - start + 1 >= WINDOW))
+        margin = np.where(whole, margin + dense[-1], -np.inf)
         best = np.maximum.reduceat(margin, np.concatenate([[0], ends[:-1]]))
         return np.where(np.isneginf(best), 0.0, 1 / (1 + np.exp(-np.clip(best, -30, 30))))
 
@@ -306,6 +310,21 @@ def fit(documents: Sequence[tuple[str, int]]) -> Model:
     def scores(model: Ftrl) -> dict[tuple[str, ...], float]:
         return dict(zip(distinct, np.add.reduceat(model.weights().astype(np.float64)[joined], starts))) if distinct else {}
 
+    # documents of either label that begin a passage alike: what most harmless ones say is background,
+    # whatever a noisy label or a chance likeness makes of it
+    family: dict[tuple[str, ...], list[int]] = {}
+    for passages, y in docs:
+        for start in {p[:FAMILY] for p in passages}:
+            family.setdefault(start, [0, 0])[y] += 1
+
+    def background(p: tuple[str, ...]) -> bool:
+        off, on = family[p[:FAMILY]]
+        return off > on
+
+    def suspect(p: tuple[str, ...]) -> bool:
+        off, on = family[p[:FAMILY]]
+        return on >= 3 and on >= 2 * off
+
     spared = dict(zip(distinct, np.random.default_rng(11).random(len(distinct)) > EASY))
     model = train({})
     for turn in range(ROUNDS if docs else 0):
@@ -317,9 +336,9 @@ def fit(documents: Sequence[tuple[str, int]]) -> Model:
         for passages, y in docs:
             top = max(passages, key=score.get) if turn and y and passages else None
             for p in set(passages):
-                if p == top and score[p] > least:
+                if p == top and score[p] > least and not background(p):
                     seen.setdefault(p, [0, 0])[1] += 1
-                elif (turn or not y) and score[p] <= max(least, 0.0) and not (score[p] < SURE and spared[p]):
+                elif (turn or not y) and (background(p) or score[p] <= max(least, 0.0) and not suspect(p)) and not (score[p] < SURE and spared[p]):
                     seen.setdefault(p, [0, 0])[0] += 1
         model = train(seen)
     weights = model.weights()
