@@ -31,8 +31,8 @@ def test_analysis_parts_add_up(spark):
 def test_schema_validity(spark):
     good = {k: None for k in analysis.STRINGS} | {k: v[0] for k, v in analysis.ENUMS.items()} | {"action_required": True, "required_actions": [], "key_entities": ["a"], "summary": "s"}
     cases = [(good, True), (good | {"action_required": "true"}, False), (good | {"extra": 1}, False), (good | {"urgency": "soon"}, False), ({k: v for k, v in good.items() if k != "summary"}, False), (good | {"key_entities": [1]}, False)]
-    df = spark.createDataFrame([(json.dumps(c),) for c, _ in cases] + [("not json",), ("[]",)], "j string")
-    assert [r[0] for r in df.select(analysis.schema_valid("j")).collect()] == [v for _, v in cases] + [False, False]
+    df = spark.createDataFrame([(json.dumps(c),) for c, _ in cases] + [("not json",), ("[]",), (json.dumps(good) + " }",), (json.dumps(good) + " {}",)], "j string")
+    assert [r[0] for r in df.select(analysis.schema_valid("j")).collect()] == [v for _, v in cases] + [False] * 4
 
 
 def test_bootstrap_covers_the_mean(spark):
@@ -107,3 +107,41 @@ def test_core_stands_alone():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "veridraft.llm" not in p.read_text(encoding="utf-8"), p
+
+
+def test_repair(spark):
+    from veridraft.operators import rescoring
+
+    rows = [(1, '{"a": 1}'), (2, 'Aqui:\n{"a": {"b": 2}} fim'), (3, '```json\n{"a": 3}\n```'), (4, '{"a": 1} {"b": 2}'), (5, '{"a": '), (6, "[1]"), (7, None), (8, "")]
+    got = {r["k"]: (r["parsed"], r["repaired"]) for r in rescoring.repaired(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()}
+    assert got[1] == ('{"a": 1}', False) and got[2] == ('{"a": {"b": 2}}', True) and got[3] == ('{"a": 3}', True)
+    assert got[4][0] is got[5][0] is got[6][0] is got[8][0] is None
+
+
+def test_stream_keeps_one_of_each(spark, tmp_path):
+    from veridraft.streaming.ingest import ingest
+
+    source, out = tmp_path / "in", tmp_path / "out"
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "seq bigint, id string")
+    df.coalesce(1).write.parquet(str(source))
+
+    def sink(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+
+    def run():
+        stream = spark.readStream.schema("seq bigint, id string").parquet(str(source))
+        ingest(stream, ["id"], ["seq"], f"file://{tmp_path}/state", sink, str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
+
+    run()
+    spark.createDataFrame([(5, "a"), (6, "c")], "seq bigint, id string").coalesce(1).write.mode("append").parquet(str(source))
+    run()
+    assert sorted(r["seq"] for r in spark.read.parquet(f"{out}/*").collect()) == [1, 3, 4, 6]
+
+
+def test_rescoring_passes_others_through(spark):
+    from veridraft.operators import rescoring
+
+    df = spark.read.parquet(f"{SF}/generation_results.parquet")
+    before = {r["row_seq"]: r["wf_score"] for r in df.where("status = 'error'").select("row_seq", "wf_score").collect()}
+    after = {r["row_seq"]: r["wf_score"] for r in rescoring.rescored(df).where("status = 'error'").select("row_seq", "wf_score").collect()}
+    assert before.keys() == after.keys() and rescoring.rescored(df).columns == df.columns

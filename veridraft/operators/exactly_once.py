@@ -68,6 +68,7 @@ class SeenStore:
         self.path = path or scratch_path(spark, "seen")
         self.shards = shards or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.version, self.parts = 0, []
+        self._pending: tuple[int, list[str]] | None = None
         if path_exists(spark, f"{self.path}/CURRENT"):
             state = json.loads(spark.read.text(f"{self.path}/CURRENT").head()[0])
             self.version, self.shards, self.parts = state["version"], state["shards"], state["dictionary"]
@@ -78,8 +79,8 @@ class SeenStore:
     def bitmaps(self) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.path}/v{self.version}/bitmaps") if self.version else None
 
-    def ingest(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> BatchResult:
-        """Read one batch and commit it. ``order``: columns of which the least arrival is kept; ties
+    def ingest(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], commit: bool = True) -> BatchResult:
+        """Read one batch and commit it, or leave that to ``commit``. ``order``: columns of which the least arrival is kept; ties
         between equal order values keep one of the equal arrivals."""
         keys, order = tuple(keys), tuple(order)
         present = df
@@ -117,9 +118,17 @@ class SeenStore:
         if self.version:
             fresh_bits = self.bitmaps().unionByName(fresh_bits).groupBy(SHARD, BUCKET).agg(F.bitmap_or_agg("bits").alias("bits"))
         fresh_bits.write.option("compression", "zstd").parquet(f"{target}/bitmaps")
-        self._commit(version, [*self.parts, f"v{version}/dictionary"])
+        self._pending = version, [*self.parts, f"v{version}/dictionary"]
+        if commit:
+            self.commit()
         return BatchResult(coded.select(*keys, SHARD, CODE, COPIES, FIRST, SEEN), keys, order)
 
+    def commit(self) -> None:
+        """Make the last batch's state current."""
+        if self._pending:
+            self._commit(*self._pending)
+            self._pending = None
+
     def _commit(self, version: int, parts: list[str]) -> None:
         fs, current, jvm = _fs(self.spark, f"{self.path}/CURRENT")
         pending = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT.{version}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridraft.functions import text as T
-from veridraft.operators import analysis, comparison, criteria, dialect, quality, rows, scorecard
+from veridraft.operators import analysis, comparison, criteria, dialect, quality, rescoring, rows, scorecard
 from veridraft.operators.exactly_once import STRIPPED, read_id
 from veridraft.session import scratch_path, table
 from veridraft.sources import jsonl
@@ -576,3 +576,35 @@ def error_summaries(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, CASE WHEN starts_with(lower(trim(lang)), 'pt') THEN 'pt-PT' ELSE 'en-US' END AS tool_language FROM elaboration_prompts_pt_pt")
 def tool_languages(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "elaboration_prompts_pt_pt").select("id", F.when(F.lower(F.trim("lang")).startswith("pt"), "pt-PT").otherwise("en-US").alias("tool_language"))
+
+
+# ---- rescoring
+
+@query()
+def rescored_rows(spark: SparkSession, d: str) -> DataFrame:
+    return rescoring.rescored(_t(spark, d, "generation_results")).select("row_seq", "wq_defect_only_score", "wf_score", "ptpt_compliance_pct", "ptpt_compliance_graded_pct")
+
+
+_BROKEN = "(json_extract_string(raw_response, '$.error') IS NOT NULL OR coalesce(json_extract_string(raw_response, '$.choices[0].finish_reason') <> 'stop', false))"
+
+
+@query(f"SELECT row_seq, CASE WHEN {_BROKEN} THEN 'error' ELSE status END AS status FROM generation_results")
+def enriched_status(spark: SparkSession, d: str) -> DataFrame:
+    return rescoring.enriched(_t(spark, d, "generation_results")).select("row_seq", "status")
+
+
+@query()
+def repaired_json(spark: SparkSession, d: str) -> DataFrame:
+    return rescoring.repaired(_t(spark, d, "analysis_results").where("status = 'success'"), "row_seq", "content")
+
+
+@query("SELECT row_seq, content IS NOT NULL AND len(regexp_extract_all(content, '(?m)^\\s*[*_~`]{0,3}[A-Za-z][A-Za-z0-9-]{1,50}[ \\t]*:')) > 0 AS has_header FROM generation_results")
+def header_lines(spark: SparkSession, d: str) -> DataFrame:
+    found = F.regexp_count("content", F.lit(r"(?m)^\s*[*_~`]{0,3}[A-Za-z][A-Za-z0-9-]{1,50}[ \t]*:")) > 0
+    return _t(spark, d, "generation_results").select("row_seq", F.coalesce(found, F.lit(False)).alias("has_header"))
+
+
+@query("SELECT reference_judgments.gold_dialect AS gold, lower(trim(replace(lang, '_', '-'))) AS said, count(*) AS n FROM wq_human_reference GROUP BY ALL")
+def gold_confusion(spark: SparkSession, d: str) -> DataFrame:
+    r = _t(spark, d, "wq_human_reference").select(F.col("reference_judgments.gold_dialect").alias("gold"), F.lower(F.trim(F.replace("lang", F.lit("_"), F.lit("-")))).alias("said"))
+    return r.groupBy("gold", "said").agg(F.count(F.lit(1)).alias("n"))
