@@ -37,7 +37,7 @@ def schema_valid(column: str) -> Column:
     text = {k: F.try_variant_get(v, f"$.{k}", "string") for k in ENUMS}
     # the engine's parser stops after the first value; the schema has no nested objects, so nothing but a quote,
     # a bracket or a word stands before the last brace
-    x = F.rtrim(F.col(column))
+    x = F.btrim(F.col(column), F.lit(" \t\r\n"))
     tests = [x.endswith("}") & ~x.rlike(r'\}[^"]*\}$'), keys.isNotNull(), F.array_sort(keys) == F.array(*[F.lit(k) for k in sorted(KEYS)])]
     tests += [kind[k].isin("STRING", "VOID") for k in STRINGS]
     tests += [(kind[k] == "STRING") & text[k].isin(*values) for k, values in ENUMS.items()]

@@ -88,3 +88,8 @@ def comparable(manifests: DataFrame, fields: Sequence[str]) -> DataFrame:
     """``field, comparable``: whether all runs share a field of their manifests."""
     rows = manifests.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.to_json(F.struct(F.col(f))).alias("value")) for f in fields])).alias("r")).select("r.*")
     return rows.groupBy("field").agg((F.count_distinct("value") <= 1).alias("comparable"))
+
+
+def same_report(a: dict, b: dict, ignored: Sequence[str] = ("notes", "generated_at")) -> bool:
+    """Whether two reports agree in all but their notes."""
+    return {k: v for k, v in a.items() if k not in ignored} == {k: v for k, v in b.items() if k not in ignored}

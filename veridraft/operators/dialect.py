@@ -132,3 +132,22 @@ def grammar_findings(ann: DataFrame) -> DataFrame:
         .when((F.lower("text") == "mim") & (F.col("back1") == "para") & (F.col("next_form") == "Inf"), "PTBR_PARA_MIM_VERBO")
     )
     return a.withColumn("rule_id", rule).where("rule_id IS NOT NULL").select("doc_id", "sent_id", "i", "text", "rule_id")
+
+
+def marker_visibility(markers: DataFrame, key: str, column: str, lexicon: DataFrame, variant: str = "pt-br", other: str = "pt-pt") -> DataFrame:
+    """``key, all_visible, any_visible``: whether the words of a row's markers are known to one variant only, which is
+    all a difference of lexicons can see. Rows without marker words have no row."""
+    words = markers.select(key, F.explode(column).alias("m")).select(key, F.explode(T.matches("m", T.LANGUAGE_WORD)).alias("w")).select(key, F.lower("w").alias("w"))
+    sides = lexicon.groupBy(F.col("form").alias("w")).agg(F.bool_or(F.col("variant") == variant).alias("own"), F.bool_or(F.col("variant") == other).alias("theirs"))
+    seen = words.join(sides, "w", "left").withColumn("visible", F.coalesce(F.col("own") & ~F.col("theirs"), F.lit(False)))
+    return seen.groupBy(key).agg(F.bool_and("visible").alias("all_visible"), F.bool_or("visible").alias("any_visible"))
+
+
+def standalone_fidelity(violations: Column, words: Column, english: Column) -> Column:
+    """Word fidelity of a text on its own: English texts score 0."""
+    return F.when(english, 0.0).otherwise(fidelity(violations, words)["wf_score"])
+
+
+def overlaps(a: str, b: str) -> Column:
+    """Whether two (start, end) structs share a character."""
+    return (F.col(f"{a}.start") < F.col(f"{b}.end")) & (F.col(f"{a}.end") > F.col(f"{b}.start"))

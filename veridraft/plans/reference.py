@@ -254,29 +254,29 @@ def _scorecard_sql() -> str:
     out = ["count(*) AS samples", "count_if(ok) AS successful_samples", "count_if(NOT ok) AS failed_samples", "count_if(pt) AS ptpt_samples"]
     for name, column, only in scorecard.MEANS:
         when = "pt" if only else "ok"
-        out += [f"round({_mean_sql(column, when)}, 6) AS {name}", f"count(CASE WHEN {when} THEN {column} END) AS n_{name}"]
+        out += [f"round({_mean_sql(column, when)}, 9) AS {name}", f"count(CASE WHEN {when} THEN {column} END) AS n_{name}"]
     v, tool = "dialect_evaluation.ptbr_violation_count", f"coalesce(bool_or(CASE WHEN ok THEN {wq}.languagetool_api_used END), false)"
     v = f"CASE WHEN {v} >= 0 THEN {v} END"
-    share = "round(avg(CASE WHEN {w} AND ({t}) IS NOT NULL THEN CASE WHEN {t} THEN 100.0 ELSE 0.0 END END), 6)"
+    share = "round(avg(CASE WHEN {w} AND ({t}) IS NOT NULL THEN CASE WHEN {t} THEN 100.0 ELSE 0.0 END END), 9)"
     timed = f"{VALID.format('started_at')} AND {VALID.format('finished_at')}"
     lat = f"CASE WHEN ok AND {VALID.format('latency_ms')} THEN latency_ms END"
     out += [
         share.format(w="pt", t="ptbr_leakage_detected") + " AS ptbr_leakage_pct", "count(CASE WHEN pt THEN ptbr_leakage_detected END) AS n_ptbr_leakage_pct",
-        f"round({_mean_sql(v, 'pt')}, 6) AS avg_ptbr_violations_per_email", f"count(CASE WHEN pt THEN {v} END) AS n_avg_ptbr_violations_per_email",
-        f"round({_mean_sql('wf_evaluation.weighted_leaks', 'pt')}, 6) AS avg_wf_penalty_per_email", "count(CASE WHEN pt THEN wf_evaluation.weighted_leaks END) AS n_avg_wf_penalty_per_email",
-        f"{tool} AS languagetool_available", f"round(CASE WHEN {tool} THEN {_mean_sql(wq + '.grammar_error_count', 'ok')} END, 6) AS avg_grammar_errors_per_email",
-        f"CASE WHEN {tool} THEN count(CASE WHEN ok THEN {wq}.grammar_error_count END) ELSE 0 END AS n_avg_grammar_errors_per_email", f"round({_mean_sql(wq + '.spelling_error_count', 'ok')}, 6) AS avg_spelling_errors_per_email",
+        f"round({_mean_sql(v, 'pt')}, 9) AS avg_ptbr_violations_per_email", f"count(CASE WHEN pt THEN {v} END) AS n_avg_ptbr_violations_per_email",
+        f"round({_mean_sql('wf_evaluation.weighted_leaks', 'pt')}, 9) AS avg_wf_penalty_per_email", "count(CASE WHEN pt THEN wf_evaluation.weighted_leaks END) AS n_avg_wf_penalty_per_email",
+        f"{tool} AS languagetool_available", f"round(CASE WHEN {tool} THEN {_mean_sql(wq + '.grammar_error_count', 'ok')} END, 9) AS avg_grammar_errors_per_email",
+        f"CASE WHEN {tool} THEN count(CASE WHEN ok THEN {wq}.grammar_error_count END) ELSE 0 END AS n_avg_grammar_errors_per_email", f"round({_mean_sql(wq + '.spelling_error_count', 'ok')}, 9) AS avg_spelling_errors_per_email",
         share.format(w="ok", t=f"{wq}.structural_issue_count > 0") + " AS structural_failures_pct", share.format(w="ok", t=f"{wq}.style_issue_count > 0") + " AS style_failures_pct",
-        *[f"round(quantile_cont({lat}, {p / 100}), 6) AS latency_p{p}_ms" for p in (50, 90, 95, 99)],
+        *[f"round(quantile_cont({lat}, {p / 100}), 9) AS latency_p{p}_ms" for p in (50, 90, 95, 99)],
         f"round(greatest(0.0, max(CASE WHEN {timed} THEN finished_at END) - min(CASE WHEN {timed} THEN started_at END)) * 1000, 3) AS observed_wall_ms",
         "sum(CASE WHEN ok THEN coalesce(prompt_tokens, 0) END)::BIGINT AS prompt_tokens", "sum(CASE WHEN ok THEN coalesce(completion_tokens, 0) END)::BIGINT AS completion_tokens",
         "count(CASE WHEN ok THEN cost END) AS known_cost_samples", "count_if(ok AND cost IS NULL) AS unknown_cost_samples",
         f"CASE WHEN count(DISTINCT CASE WHEN ok THEN {wq}.wq_evaluator_version END) > 1 THEN 'mixed' ELSE max(CASE WHEN ok THEN {wq}.wq_evaluator_version END) END AS wq_evaluator_version",
-        f"round(count_if(ok) / (nullif(greatest(0.0, max(CASE WHEN {timed} THEN finished_at END) - min(CASE WHEN {timed} THEN started_at END)), 0) / 60), 6) AS throughput_emails_per_min",
-        f"round((sum(CASE WHEN ok THEN coalesce(prompt_tokens, 0) END) + sum(CASE WHEN ok THEN coalesce(completion_tokens, 0) END)) / nullif(greatest(0.0, max(CASE WHEN {timed} THEN finished_at END) - min(CASE WHEN {timed} THEN started_at END)), 0), 6) AS tokens_per_second",
-        "round(CASE WHEN count_if(ok AND cost IS NULL) = 0 THEN sum(CASE WHEN ok THEN cost END) END, 6) AS total_cost_usd",
-        "round(CASE WHEN count_if(ok AND cost IS NULL) = 0 AND count_if(ok) > 0 THEN avg(CASE WHEN ok THEN cost END) * 1000 END, 6) AS cost_per_1k_emails_usd",
-        "round(avg(CASE WHEN ok THEN cost END) * 1000, 6) AS cost_per_1k_emails_usd_known_only",
+        f"round(count_if(ok) / (nullif(greatest(0.0, max(CASE WHEN {timed} THEN finished_at END) - min(CASE WHEN {timed} THEN started_at END)), 0) / 60), 9) AS throughput_emails_per_min",
+        f"round((sum(CASE WHEN ok THEN coalesce(prompt_tokens, 0) END) + sum(CASE WHEN ok THEN coalesce(completion_tokens, 0) END)) / nullif(greatest(0.0, max(CASE WHEN {timed} THEN finished_at END) - min(CASE WHEN {timed} THEN started_at END)), 0), 9) AS tokens_per_second",
+        "round(CASE WHEN count_if(ok AND cost IS NULL) = 0 THEN sum(CASE WHEN ok THEN cost END) END, 9) AS total_cost_usd",
+        "round(CASE WHEN count_if(ok AND cost IS NULL) = 0 AND count_if(ok) > 0 THEN avg(CASE WHEN ok THEN cost END) * 1000 END, 9) AS cost_per_1k_emails_usd",
+        "round(avg(CASE WHEN ok THEN cost END) * 1000, 9) AS cost_per_1k_emails_usd_known_only",
     ]
     return f"SELECT model, {', '.join(out)} FROM (SELECT g.*, {OK} AS ok, {PT} AS pt, {_COST} AS cost FROM generation_results g LEFT JOIN price p ON g.model = p.model) GROUP BY model"
 
@@ -288,7 +288,7 @@ def _card(spark: SparkSession, d: str) -> DataFrame:
 @query(_scorecard_sql())
 def generation_scorecard(spark: SparkSession, d: str) -> DataFrame:
     card = _card(spark, d)
-    return card.select(*[F.round(c, 3 if c == "observed_wall_ms" else 6).alias(c) if t == "double" else F.col(c) for c, t in card.dtypes])
+    return card.select(*[F.round(c, 3 if c == "observed_wall_ms" else 9).alias(c) if t == "double" else F.col(c) for c, t in card.dtypes])
 
 
 _N = [c for c in (*[m for m, _, _ in scorecard.MEANS], "ptbr_leakage_pct", "avg_ptbr_violations_per_email", "avg_wf_penalty_per_email", "avg_grammar_errors_per_email")]
@@ -313,7 +313,7 @@ def unavailable_metrics(spark: SparkSession, d: str) -> DataFrame:
 _SEPARATED = (("instruction_adherence_pct", 100.0), ("semantic_preservation_pct", 100.0), ("wf_score", 100.0), ("euptvid_probability", 1.0), ("avg_ptbr_violations_per_email", 1.0))
 
 
-@query(f"WITH c AS ({_scorecard_sql()}), t AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value, n_{m} AS n, {u} AS scale FROM c" for m, u in _SEPARATED) + """),
+@query(f"WITH c AS ({_scorecard_sql()}), t AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, round({m}, 6) AS value, n_{m} AS n, {u} AS scale FROM c" for m, u in _SEPARATED) + """),
 g AS (SELECT metric, count(DISTINCT value) AS n_values, round(max(value) - min(value), 6) AS spread, round(max(scale) / coalesce(min(CASE WHEN n > 0 THEN n END), 1), 6) AS unit FROM t GROUP BY metric)
 SELECT metric, n_values, spread, unit, coalesce(n_values > 1 AND spread > unit, false) AS separable FROM g""")
 def metric_separability(spark: SparkSession, d: str) -> DataFrame:
@@ -478,6 +478,14 @@ def accepted_violations(spark: SparkSession, d: str) -> DataFrame:
     return r.select("row_seq", F.size(dialect.deduplicated(F.col("dialect_evaluation.violations"))).alias("n_accepted"))
 
 
+@query(f"""WITH {_LEX}, w AS (SELECT id, lower(unnest(regexp_extract_all(m, {q(T.LANGUAGE_WORD)}))) AS w FROM (SELECT id, unnest(reference_judgments.ptbr_leakage_markers) AS m FROM analysis_reference)),
+v AS (SELECT id, w IN (SELECT form FROM lex WHERE variant = 'pt-br') AND w NOT IN (SELECT form FROM lex WHERE variant = 'pt-pt') AS visible FROM w)
+SELECT id, bool_and(visible) AS all_visible, bool_or(visible) AS any_visible FROM v GROUP BY id""")
+def marker_visibility(spark: SparkSession, d: str) -> DataFrame:
+    r = _t(spark, d, "analysis_reference").select("id", F.col("reference_judgments.ptbr_leakage_markers").alias("markers"))
+    return dialect.marker_visibility(r, "id", "markers", lexicon(spark, d))
+
+
 # ---- criteria
 
 #: Criteria of this library's own, by the task type of a prompt's first word.
