@@ -22,9 +22,10 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _batches(rows: DataFrame):
     last = rows.agg(F.max("row_seq")).head()[0] or 0
-    cuts = [last * i // ARRIVAL_BATCHES for i in range(ARRIVAL_BATCHES + 1)]
-    for low, high in zip(cuts, cuts[1:]):
-        yield rows.where((F.col("row_seq") > low) & (F.col("row_seq") <= high)) if low else rows.where(F.col("row_seq") <= high)
+    cuts = [last * i // ARRIVAL_BATCHES for i in range(1, ARRIVAL_BATCHES)]
+    number = sum(((F.coalesce("row_seq", F.lit(0)) > c).cast("int") for c in cuts), F.lit(0))
+    for i in range(ARRIVAL_BATCHES):
+        yield rows.where(number == i)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
