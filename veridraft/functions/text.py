@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def matches(c: Column | str, pattern: str) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(pattern), F.lit(0))
 
@@ -78,18 +85,22 @@ def lines(c: Column) -> Column:
 
 def without_headers(parts: Column) -> Column:
     """Paragraphs after the leading ones in which every line is a header."""
-    flags = F.transform(parts, lambda p: F.forall(lines(p), is_header))
-    first = F.array_position(flags, F.lit(False))
-    return F.when(first > 0, F.slice(parts, F.greatest(first, F.lit(1)).cast("int"), F.greatest(F.size(parts), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    def rest(p: Column) -> Column:
+        first = F.array_position(F.transform(p, lambda x: F.forall(lines(x), is_header)), F.lit(False))
+        return let(first, lambda at: F.when(at > 0, F.slice(p, F.greatest(at, F.lit(1)).cast("int"), F.greatest(F.size(p), F.lit(1)))).otherwise(F.array().cast("array<string>")))
+
+    return let(parts, rest)
 
 
 def is_signoff(p: Column) -> Column:
-    own = lines(p)
-    n, size = n_tokens(p), F.size(own)
-    joined = F.array_join(own, " ")
-    contact = joined.rlike(EMAIL) | joined.rlike(URL) | joined.rlike(CONTACT)
-    farewell = (size <= 3) & F.get(own, 0).rlike(r"[,;:]$")
-    return (size > 0) & (size <= 8) & (n <= 35) & (contact | farewell | ((size <= 4) & (n <= 18)))
+    def judged(v: Column) -> Column:
+        own, n = v["own"], v["n"]
+        size, joined = F.size(own), F.array_join(own, " ")
+        contact = joined.rlike(EMAIL) | joined.rlike(URL) | joined.rlike(CONTACT)
+        farewell = (size <= 3) & F.get(own, 0).rlike(r"[,;:]$")
+        return (size > 0) & (size <= 8) & (n <= 35) & (contact | farewell | ((size <= 4) & (n <= 18)))
+
+    return let(F.struct(lines(p).alias("own"), n_tokens(p).alias("n")), judged)
 
 
 def collapse(c: Column | str) -> Column:

@@ -33,21 +33,26 @@ def style_flags(c: str) -> dict[str, Column]:
 
 def structure(c: str) -> Column:
     """Struct of the five structural findings; a blank text has none."""
-    parts = T.paragraphs(c)
-    content = T.without_headers(parts)
-    n = F.size(content)
-    opening = F.slice(T.lines(F.get(content, 0)), 1, 4)
-    body = F.array_join(F.when(n > 2, F.slice(content, 2, F.greatest(n - 2, F.lit(1)))).otherwise(content), " ")
-    said = F.filter(F.split(body, r"[.!?]+"), lambda s: F.trim(s) != "")
-    short = F.filter(said, lambda s: T.n_tokens(s) < 4)
-    some = n > 0
-    return F.struct(
-        (some & (n >= 2) & ~F.exists(opening, lambda x: x.rlike(T.GREETING))).alias("missing_greeting"),
-        (some & (T.n_tokens(body) < 5)).alias("empty_body"),
-        (some & (n >= 2) & ~T.is_signoff(F.get(content, n - 1))).alias("missing_signoff"),
-        (some & (F.size(said) > 3) & (F.size(short) / F.size(said) > 0.40)).alias("fragmented"),
-        F.when(some, F.size(F.filter(parts, lambda p: T.n_tokens(p) > 200))).otherwise(0).alias("degenerate_paragraphs"),
-    )
+    def body(v: Column) -> Column:
+        content, n = v["content"], F.size(v["content"])
+        text = F.array_join(F.when(n > 2, F.slice(content, 2, F.greatest(n - 2, F.lit(1)))).otherwise(content), " ")
+        return F.struct(v["parts"].alias("parts"), content.alias("content"), n.alias("n"), text.alias("body"), F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(s) != "").alias("said"))
+
+    def findings(v: Column) -> Column:
+        content, n, said = v["content"], v["n"], v["said"]
+        some = n > 0
+        opening = F.slice(T.lines(F.get(content, 0)), 1, 4)
+        short = F.filter(said, lambda s: T.n_tokens(s) < 4)
+        return F.struct(
+            (some & (n >= 2) & ~F.exists(opening, lambda x: x.rlike(T.GREETING))).alias("missing_greeting"),
+            (some & (T.n_tokens(v["body"]) < 5)).alias("empty_body"),
+            (some & (n >= 2) & ~T.is_signoff(F.get(content, n - 1))).alias("missing_signoff"),
+            (some & (F.size(said) > 3) & (F.size(short) / F.size(said) > 0.40)).alias("fragmented"),
+            F.when(some, F.size(F.filter(v["parts"], lambda p: T.n_tokens(p) > 200))).otherwise(0).alias("degenerate_paragraphs"),
+        )
+
+    split = T.let(T.paragraphs(c), lambda p: F.struct(p.alias("parts"), T.without_headers(p).alias("content")))
+    return T.let(T.let(split, body), findings)
 
 
 def _before(x: Column) -> Column:
@@ -57,19 +62,17 @@ def _before(x: Column) -> Column:
 
 def token_runs(c: str) -> Column:
     """How many runs of the same token occur, of two or more and of three or more."""
-    t = T.tokens(T.masked(c))
-    same = F.zip_with(t, _before(t), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    same = T.let(T.tokens(T.masked(c)), lambda t: F.zip_with(t, _before(t), lambda a, b: F.coalesce(a == b, F.lit(False))))
     said = F.array_join(F.transform(same, lambda e: F.when(e, "1").otherwise("0")), "")
-    return F.struct(F.regexp_count(said, F.lit("1+")).alias("runs"), F.regexp_count(said, F.lit("11+")).alias("long_runs"))
+    return T.let(said, lambda x: F.struct(F.regexp_count(x, F.lit("1+")).alias("runs"), F.regexp_count(x, F.lit("11+")).alias("long_runs")))
 
 
 def duplicate_sentence(c: str) -> Column:
     """The first sentence of more than 12 characters that occurs again, collapsed and in lower case."""
     said = F.filter(F.transform(F.split(F.col(c), r"[.!?]+|\n+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 12)
     said = F.transform(said, lambda s: F.regexp_replace(F.lower(s), r"\s+", " "))
-    ordered = F.array_sort(said)
-    twice = F.zip_with(ordered, _before(ordered), lambda a, b: F.when(a == b, a))
-    return F.get(F.array_intersect(said, F.array_compact(twice)), 0)
+    twice = lambda s: T.let(F.array_sort(s), lambda o: F.zip_with(o, _before(o), lambda a, b: F.when(a == b, a)))
+    return T.let(said, lambda s: F.get(F.array_intersect(s, F.array_compact(twice(s))), 0))
 
 
 def repeated_phrase(tokens: list[str]) -> tuple[int, str] | None:
@@ -100,31 +103,39 @@ def phrases(df: DataFrame, key: str, c: str) -> DataFrame:
 
 def profile(c: str) -> Column:
     """Measures of a text's shape; a text without sentences has zeros."""
-    parts = T.paragraphs(c)
-    kept = T.without_headers(parts)
-    body = F.trim(F.array_join(F.when(F.size(kept) > 2, F.slice(kept, 2, F.greatest(F.size(kept) - 2, F.lit(1)))).otherwise(kept), " "))
-    words = T.tokens(body)
-    sizes = F.transform(F.filter(F.split(body, r"[.!?]+"), lambda s: F.trim(s) != ""), lambda s: T.n_tokens(s).cast("double"))
-    n, k = F.size(words), F.size(sizes)
-    total = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x)
-    mean = F.when(k > 0, total / k).otherwise(0.0)
-    squares = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x * x)
-    spread = F.when(k > 0, F.sqrt(F.greatest(F.lit(0.0), squares / k - mean * mean))).otherwise(0.0)
-    ttr = F.when(n > 0, F.size(F.array_distinct(words)) / n).otherwise(0.0)
-    greeting = T.n_tokens(F.coalesce(F.trim(F.get(F.split(F.get(parts, 0), r"\r?\n"), 0)), F.lit("")))
-    greeted = F.when(greeting <= 1, 0.55).when(greeting == 2, 0.72).when(greeting == 3, 0.84).when(greeting <= 5, 0.94).otherwise(1.0)
-    last = F.get(parts, F.size(parts) - 1)
-    own = T.lines(last)
-    farewell = T.n_tokens(F.get(own, 0))
-    signed = (F.size(parts) > 1) & F.size(own).between(1, 5) & (T.n_tokens(last) <= 20) & ~last.rlike(T.MID_END)
-    closed = F.when(~F.coalesce(signed, F.lit(False)), 0.40).when(farewell <= 1, 0.65).when(farewell == 2, 0.78).when(farewell <= 4, 0.90).otherwise(0.96)
-    rhythm = F.when(k <= 1, 0.65).when(spread < 1, 0.82).when(spread <= 7, 1.0).otherwise(F.greatest(F.lit(0.65), 1 - (spread - 7) / 15))
-    return F.struct(
-        n.cast("double").alias("body_token_count"), k.cast("double").alias("sentence_count"), F.round(mean, 3).alias("average_sentence_length"), F.round(ttr, 4).alias("lexical_diversity"),
-        F.round(spread, 3).alias("sentence_length_sd"), greeting.cast("double").alias("greeting_token_count"), F.round((greeted + closed) / 2, 4).alias("register_quality"),
-        F.round(F.least(F.lit(1.0), n / 80), 4).alias("length_quality"), F.round(F.least(F.lit(1.0), k / 4), 4).alias("sentence_count_quality"),
-        F.round(F.when(mean > 0, F.greatest(F.lit(0.0), 1 - F.abs(mean - 16) / 32)).otherwise(0.0), 4).alias("sentence_length_quality"), F.round(rhythm, 4).alias("rhythm_quality"),
-    )
+    def parted(p: Column) -> Column:
+        body = T.let(T.without_headers(p), lambda k: F.trim(F.array_join(F.when(F.size(k) > 2, F.slice(k, 2, F.greatest(F.size(k) - 2, F.lit(1)))).otherwise(k), " ")))
+        return F.struct(p.alias("parts"), body.alias("body"), F.get(p, F.size(p) - 1).alias("last"))
+
+    def counted(v: Column) -> Column:
+        sizes = F.transform(F.filter(F.split(v["body"], r"[.!?]+"), lambda s: F.trim(s) != ""), lambda s: T.n_tokens(s).cast("double"))
+        greeting = T.n_tokens(F.coalesce(F.trim(F.get(F.split(F.get(v["parts"], 0), r"\r?\n"), 0)), F.lit("")))
+        return F.struct(T.tokens(v["body"]).alias("words"), sizes.alias("sizes"), greeting.alias("greeting"), T.lines(v["last"]).alias("own"), v["last"].alias("last"), F.size(v["parts"]).alias("n_parts"))
+
+    def summed(v: Column) -> Column:
+        k = F.size(v["sizes"])
+        total = lambda f: F.aggregate(v["sizes"], F.lit(0.0), lambda a, x: a + f(x))
+        mean = F.when(k > 0, total(lambda x: x) / k).otherwise(0.0)
+        return F.struct(v.alias("v"), k.alias("k"), F.size(v["words"]).alias("n"), mean.alias("mean"), F.when(k > 0, total(lambda x: x * x) / k).otherwise(0.0).alias("squares"))
+
+    def measures(w: Column) -> Column:
+        v, k, n, mean = w["v"], w["k"], w["n"], w["mean"]
+        spread = F.sqrt(F.greatest(F.lit(0.0), w["squares"] - mean * mean))
+        ttr = F.when(n > 0, F.size(F.array_distinct(v["words"])) / n).otherwise(0.0)
+        greeting, own, last = v["greeting"], v["own"], v["last"]
+        greeted = F.when(greeting <= 1, 0.55).when(greeting == 2, 0.72).when(greeting == 3, 0.84).when(greeting <= 5, 0.94).otherwise(1.0)
+        farewell = T.n_tokens(F.get(own, 0))
+        signed = (v["n_parts"] > 1) & F.size(own).between(1, 5) & (T.n_tokens(last) <= 20) & ~last.rlike(T.MID_END)
+        closed = F.when(~F.coalesce(signed, F.lit(False)), 0.40).when(farewell <= 1, 0.65).when(farewell == 2, 0.78).when(farewell <= 4, 0.90).otherwise(0.96)
+        rhythm = F.when(k <= 1, 0.65).when(spread < 1, 0.82).when(spread <= 7, 1.0).otherwise(F.greatest(F.lit(0.65), 1 - (spread - 7) / 15))
+        return F.struct(
+            n.cast("double").alias("body_token_count"), k.cast("double").alias("sentence_count"), F.round(mean, 3).alias("average_sentence_length"), F.round(ttr, 4).alias("lexical_diversity"),
+            F.round(spread, 3).alias("sentence_length_sd"), greeting.cast("double").alias("greeting_token_count"), F.round((greeted + closed) / 2, 4).alias("register_quality"),
+            F.round(F.least(F.lit(1.0), n / 80), 4).alias("length_quality"), F.round(F.least(F.lit(1.0), k / 4), 4).alias("sentence_count_quality"),
+            F.round(F.when(mean > 0, F.greatest(F.lit(0.0), 1 - F.abs(mean - 16) / 32)).otherwise(0.0), 4).alias("sentence_length_quality"), F.round(rhythm, 4).alias("rhythm_quality"),
+        )
+
+    return T.let(T.let(T.let(T.let(T.paragraphs(c), parted), counted), summed), measures)
 
 
 def penalty(rule: str, dimension: str, severity: str) -> float:
@@ -134,13 +145,9 @@ def penalty(rule: str, dimension: str, severity: str) -> float:
 def defect_score(c: str) -> Column:
     """100 less the capped points of style, structure and repetition; NULL for a blank text."""
     style = sum(F.when(f, penalty(r, "style", "medium")).otherwise(0.0) for r, f in style_flags(c).items())
-    s = structure(c)
-    built = sum(
-        F.when(s[f], penalty(r, "structural", level)).otherwise(0.0)
-        for f, r, level in (("missing_greeting", "MISSING_GREETING", "high"), ("empty_body", "EMPTY_BODY", "high"), ("missing_signoff", "MISSING_SIGNOFF", "medium"), ("fragmented", "SENTENCE_FRAGMENTATION", "medium"))
-    ) + s["degenerate_paragraphs"] * penalty("DEGENERATE_PARAGRAPH", "structural", "medium")
-    runs = token_runs(c)
-    again = runs["long_runs"] * PENALTIES["repetition", "high"] + (runs["runs"] - runs["long_runs"]) * PENALTIES["repetition", "medium"]
+    rules = (("missing_greeting", "MISSING_GREETING", "high"), ("empty_body", "EMPTY_BODY", "high"), ("missing_signoff", "MISSING_SIGNOFF", "medium"), ("fragmented", "SENTENCE_FRAGMENTATION", "medium"))
+    built = T.let(structure(c), lambda s: sum(F.when(s[f], penalty(r, "structural", level)).otherwise(0.0) for f, r, level in rules) + s["degenerate_paragraphs"] * penalty("DEGENERATE_PARAGRAPH", "structural", "medium"))
+    again = T.let(token_runs(c), lambda r: r["long_runs"] * PENALTIES["repetition", "high"] + (r["runs"] - r["long_runs"]) * PENALTIES["repetition", "medium"])
     again = again + F.when(duplicate_sentence(c).isNotNull(), PENALTIES["repetition", "high"]).otherwise(0.0)
     taken = F.least(style, F.lit(CAPS["style"])) + F.least(built, F.lit(CAPS["structural"])) + F.least(again, F.lit(CAPS["repetition"]))
     return F.when(F.trim(F.col(c)) != "", F.round(F.greatest(F.lit(0.0), 100 - taken), 1))
