@@ -75,6 +75,11 @@ _CODE = {c: i for i, c in enumerate(LETTERS)}
 _BASE = len(LETTERS)
 _NAMED = re.compile(r"\b[A-ZÀ-Ý][\w'’-]*(?:\s+(?:d[aeo]s?\s+|&\s+)?[A-ZÀ-Ý][\w'’-]*)+|https?://\S+|\S+@\S+|\b[A-Z]{2,}\b[-/ ]?\d*|\d+")
 
+_GREETED = re.compile(
+    r"(?:dear|hello|hi|good (?:morning|afternoon|evening)|to whom|buen[oa]s|estimad[oa]s?|muy|hola|madame|monsieur|bonjour|ch[eè]re?|bom dia|boa (?:tarde|noite)|car[oa]|exm[oa]s?|ol[aá]|oi|prezad[oa])\b"
+    r"[^!?\n]{0,60}?[,:]\s+(?=[A-ZÀ-Ý])", re.I,
+)
+
 
 def letters(text: str) -> np.ndarray:
     """The letter numbers of a cleaned passage, names, numbers and addresses apart."""
@@ -223,7 +228,11 @@ class Profiles:
         for s in sentences(text):
             start = text.index(s, at)
             at = start + len(s)
-            pieces.append((start, at, self.name(s)))
+            greeting = _GREETED.match(s)  # in one line with what follows it
+            if greeting:
+                pieces.append((start, start + greeting.end(), None))
+                start += greeting.end()
+            pieces.append((start, at, self.name(text[start:at])))
         named = [n for _, _, n in pieces if n]
         if not named:
             if not re.search(r"[^\W\d_]", text):
