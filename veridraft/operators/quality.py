@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridraft.functions import text as T
-from veridraft.session import ship
+from veridraft.session import ship, spread
 
 # Points taken for a finding, by dimension and severity, factors of single rules, and caps.
 PENALTIES = {("grammar", "high"): 8.0, ("spelling", "high"): 6.0, ("repetition", "high"): 14.0, ("repetition", "medium"): 8.0, ("structural", "high"): 12.0, ("structural", "medium"): 6.0, ("style", "high"): 6.0, ("style", "medium"): 2.0}
@@ -97,8 +97,8 @@ def phrases(df: DataFrame, key: str, c: str) -> DataFrame:
             found = [(k, *r) for k, t in zip(b["key"], b["tokens"]) if (r := repeated_phrase(list(t)))]
             yield pd.DataFrame(found, columns=["key", "n", "phrase"])
 
-    rows = df.where(F.col(c).isNotNull()).select(F.col(key).alias("key"), T.tokens(T.masked(c)).alias("tokens"))
-    return rows.mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, n int, phrase string").withColumnRenamed("key", key)
+    rows = spread(df.where(F.col(c).isNotNull()).select(F.col(key).alias("key"), F.col(c).alias("text")))
+    return rows.select("key", T.tokens(T.masked("text")).alias("tokens")).mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, n int, phrase string").withColumnRenamed("key", key)
 
 
 def profile(c: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veridraft.functions import text as T
 from veridraft.operators import analysis, comparison, criteria, dialect, quality, rescoring, rows, scorecard
 from veridraft.operators.exactly_once import STRIPPED, read_id
-from veridraft.session import scratch_path, table
+from veridraft.session import scratch_path, spread, table
 from veridraft.sources import jsonl
 
 QUERIES: dict = {}
@@ -43,6 +43,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return table(spark, d, name)
 
 
+def _texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a table of texts, over all cores if its files are few."""
+    return spread(table(spark, d, name).select(*columns))
+
+
 # ---- style, structure, repetition, profile
 
 _TOK = f"regexp_extract_all({{0}}, {q(T.WORD)})"
@@ -67,7 +72,7 @@ _STYLE = ", ".join(f"{v} AS {k}" for k, v in _style_sql("text").items())
 
 @query(f"SELECT doc_id, {_STYLE} FROM documents")
 def style_flags(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", *[f.alias(n.lower()) for n, f in quality.style_flags("text").items()])
+    return _texts(spark, d, "documents", "doc_id", "text").select("doc_id", *[f.alias(n.lower()) for n, f in quality.style_flags("text").items()])
 
 
 @query(f"""WITH s AS (SELECT lang, {_STYLE} FROM documents)
@@ -76,7 +81,7 @@ count_if(punctuation_anomaly) AS punct,
 round(avg(greatest(0.0, 100 - least(18.0, 2.0 * (excessive_allcaps::INT + excessive_exclamation::INT + run_on_block::INT + informal_contraction::INT + punctuation_anomaly::INT)))), 6) AS style_score
 FROM s GROUP BY lang""")
 def style_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    flags = style_flags_of(_t(spark, d, "documents"))
+    flags = style_flags_of(_texts(spark, d, "documents", "lang", "text"))
     points = F.least(F.lit(quality.CAPS["style"]), sum(F.col(n).cast("int") for n in _STYLE_NAMES) * quality.PENALTIES["style", "medium"])
     counts = [F.count_if(c).alias(a) for c, a in zip(_STYLE_NAMES, ("caps", "excl", "run_on", "contractions", "punct"))]
     return flags.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *counts, F.round(F.avg(F.greatest(F.lit(0.0), 100 - points)), 6).alias("style_score"))
@@ -111,7 +116,7 @@ f AS (SELECT doc_id, i, w, CASE WHEN w = lag(w) OVER p THEN 0 ELSE 1 END AS fres
 r AS (SELECT doc_id, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f), n AS (SELECT doc_id, run, count(*) AS c FROM r GROUP BY doc_id, run)
 SELECT d.doc_id, count_if(c >= 2) AS runs, count_if(c >= 3) AS long_runs FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id""")
 def token_runs(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", quality.token_runs("text").alias("r")).select("doc_id", "r.*")
+    return _texts(spark, d, "documents", "doc_id", "text").select("doc_id", quality.token_runs("text").alias("r")).select("doc_id", "r.*")
 
 
 _SAID = f"list_transform(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+|\\n+'), lambda s: regexp_replace(regexp_replace(s, '^\\s+', ''), '\\s+$', '')), lambda s: length(s) > 12), lambda s: regexp_replace(lower(s), '\\s+', ' ', 'g'))"
@@ -155,12 +160,12 @@ n >= 2 AND NOT (len(own) > 0 AND len(own) <= 8 AND {_n_tok('last')} <= 35 AND (r
 n > 0 AND len(said) > 3 AND len(list_filter(said, lambda s: {_n_tok('s')} < 4)) / len(said) > 0.40 AS fragmented,
 CASE WHEN n > 0 THEN len(list_filter(parts, lambda p: {_n_tok('p')} > 200)) ELSE 0 END AS degenerate_paragraphs FROM f""")
 def structure_flags(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "generation_results").where("content IS NOT NULL").select("row_seq", quality.structure("content").alias("s")).select("row_seq", "s.*")
+    return _texts(spark, d, "generation_results", "row_seq", "content").where("content IS NOT NULL").select("row_seq", quality.structure("content").alias("s")).select("row_seq", "s.*")
 
 
 @query()
 def quality_profile(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "wq_human_reference").where("email IS NOT NULL").select("id", quality.profile("email").alias("p")).select("id", "p.*")
+    return _texts(spark, d, "wq_human_reference", "id", "email").where("email IS NOT NULL").select("id", quality.profile("email").alias("p")).select("id", "p.*")
 
 
 @query()

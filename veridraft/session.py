@@ -102,3 +102,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes a task reads before splitting small inputs further pays no more.
+TASK_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes from a few small files, which would leave most of them idle; any
+    larger input, and any of as many files as half the cores, stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    if not 0 < files < cores / 2:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * TASK_BYTES else df
