@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridraft.llm.text import clean, fold, mix
-from veridraft.session import RESERVED, ship
+from veridraft.session import RESERVED, ship, spread
 
 #: Buckets of hashed features, words of the window that is scored, most labelled documents trained on.
 BITS, WINDOW, SAMPLE = 18, 14, 4000
@@ -379,5 +379,5 @@ def scored(df: DataFrame, content: str, keys: Sequence[str], model: Model) -> Da
             yield batch[names].assign(score=np.concatenate(parts) if parts else [])
 
     types = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(keys, names))
-    found = narrow.mapInPandas(run, f"{types}, score double")
+    found = spread(narrow).mapInPandas(run, f"{types}, score double")
     return found.select(*[F.col(n).alias(c) for c, n in zip(keys, names)], "score")

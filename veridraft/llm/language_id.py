@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veridraft.llm.languages import usage, voted
 from veridraft.llm.text import WORD, clean, fold, sentences
-from veridraft.session import RESERVED, ship
+from veridraft.session import RESERVED, ship, spread
 
 LANGUAGES = ("pt-pt", "pt-br", "en", "es", "fr")
 #: Dimensions, seed of the letters' vectors, most labelled documents the prototypes are fitted on.
@@ -294,7 +294,7 @@ def passages(df: DataFrame, content: str, keys: Sequence[str], profiles: Profile
             yield out
 
     types = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(columns, names))
-    found = narrow.mapInPandas(run, f"{types}, {_PASSAGES}")
+    found = spread(narrow).mapInPandas(run, f"{types}, {_PASSAGES}")
     return found.select(*[F.col(n).alias(c) for c, n in zip(columns, names)], "passages")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridraft.llm.text import WORD, clean, fold, mix
-from veridraft.session import RESERVED, ship
+from veridraft.session import RESERVED, ship, spread
 
 #: Lengths of n-grams in words; the first decides.
 LENGTHS = (5, 10, 20)
@@ -110,5 +110,5 @@ def repetition(df: DataFrame, content: str, keys: Sequence[str]) -> DataFrame:
             yield pd.concat([batch[names].reset_index(drop=True), measure(batch[RESERVED + "text"].tolist())], axis=1)
 
     types = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for k, n in zip(keys, names))
-    out = narrow.mapInPandas(run, f"{types}, {_FIELDS}")
+    out = spread(narrow).mapInPandas(run, f"{types}, {_FIELDS}")
     return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *[c for c in out.columns if c not in names])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridraft.llm.text import WESTERN, clean, fold
-from veridraft.session import RESERVED, ship
+from veridraft.session import RESERVED, ship, spread
 
 # Phrases the models of residue are fitted on.
 SLOTS = (
@@ -129,7 +129,7 @@ def prose_counts(df: DataFrame, content: str) -> tuple[np.ndarray, np.ndarray]:
         yield pd.DataFrame({"gram": met, "n": flat[met]})
 
     ship(df.sparkSession)
-    parts = df.where(F.col(content).isNotNull()).select(F.col(content).alias("text")).mapInPandas(count, "gram int, n bigint")
+    parts = spread(df.where(F.col(content).isNotNull()).select(F.col(content).alias("text"))).mapInPandas(count, "gram int, n bigint")
     both = np.zeros(2 << BITS, np.int64)
     for gram, n in parts.groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most 2^17 rows, whatever the data
         both[gram] = n
@@ -296,5 +296,5 @@ def residue(df: DataFrame, content: str, keys: Sequence[str], model: Model | Non
                 yield kept
 
     types = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for k, n in zip(keys, names))
-    found = narrow.mapInPandas(judge, f"{types}, kind string, coverage double")
+    found = spread(narrow).mapInPandas(judge, f"{types}, kind string, coverage double")
     return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "kind", "coverage")

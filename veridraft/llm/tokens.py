@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridraft.session import RESERVED, ship
+from veridraft.session import RESERVED, ship, spread
 
 # Fixed value: how the tokenizer's files cut texts before pairs are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -71,5 +71,5 @@ def sizes(df: DataFrame, content: str, carry: Sequence[str], path: str = DEFAULT
             yield batch[names].assign(n_tokens=[counter.count(t) for t in batch[RESERVED + "text"]])
 
     types = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(carry, names))
-    out = narrow.mapInPandas(run, f"{types}, n_tokens bigint")
+    out = spread(narrow).mapInPandas(run, f"{types}, n_tokens bigint")
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "n_tokens")

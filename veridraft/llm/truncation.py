@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridraft.llm.text import clean, fold_masked
-from veridraft.session import RESERVED, ship, written
+from veridraft.session import RESERVED, ship, spread, written
 
 #: Lengths of the hashed prefixes, in characters of a folded unit whose digits read 0.
 LENGTHS = (1, 2, 4, 8, 16, 24, 32)
@@ -210,7 +210,7 @@ def truncated(df: DataFrame, content: str, keys: Sequence[str]) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     key_type = ", ".join(f"{k}: {fields[k]}" for k in keys)
     narrow = df.where(F.col(content).isNotNull()).select(F.col(content).alias(RESERVED + "text"), *[F.col(k).alias(f"{RESERVED}k{i}") for i, k in enumerate(keys)])
-    says = written(narrow.mapInPandas(_mapper(keys, RESERVED + "text"), _SAYS.format(key_type)), "prefixes")
+    says = written(spread(narrow).mapInPandas(_mapper(keys, RESERVED + "text"), _SAYS.format(key_type)), "prefixes")
     ends = ("n0", "n1", "n2")
     known = says.where("kind = 0").groupBy("h").agg(*[F.sum(n).alias(n) for n in ends])
     asked = says.where("kind = 1").select("h", "length", "ending", "marked", "key")
