@@ -219,6 +219,34 @@ def _flagged(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, f"key {pairs.schema['key'].dataType.simpleString()}, defect string")
 
 
+def _paired(responses: DataFrame, prompts: DataFrame, key: str, prompt_id: str, content: str, refusal: str, prompt_key: str, prompt_text: str) -> tuple[DataFrame, DataFrame]:
+    """The responses alone, and each with its prompt."""
+    rows = responses.select(F.col(key).alias("key"), F.col(prompt_id).alias(RESERVED + "id"), F.col(content).alias("text"), F.col(refusal).alias("refusal"))
+    asked = prompts.select(F.col(prompt_key).alias(RESERVED + "id"), F.col(prompt_text).alias("prompt"))
+    return rows, rows.join(asked, RESERVED + "id", "left").select("key", "text", "prompt", "refusal")
+
+
+def evidence(responses: DataFrame, prompts: DataFrame, key: str, prompt_id: str, content: str, refusal: str, prompt_key: str = "id", prompt_text: str = "prompt") -> DataFrame:
+    """What is measured of every pair: ``copied_share`` of the response's words that lie in the prompt's own wording,
+    ``unclosed`` delimiters, ``declined``, and the languages ``expected`` and ``answered``. Without a prompt nothing is copied."""
+    ship(responses.sparkSession)
+    _, both = _paired(responses, prompts, key, prompt_id, content, refusal, prompt_key, prompt_text)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, t, p, r in zip(batch["key"], batch["text"], batch["prompt"], batch["refusal"]):
+                text = clean(t)
+                said = WORD.findall(fold(text))
+                automaton, _, expected = _prompt(clean(p)) if p else (None, 0, None)
+                share = automaton.walk(said, COPIED_RUN) / len(said) if automaton and said else 0.0
+                out.append((k, share, unclosed(text), bool(r and r.strip()) or declines(reply_of(text)), expected, voted(said)))
+            yield pd.DataFrame(out, columns=["key", "copied_share", "unclosed", "declined", "expected", "answered"])
+
+    kind = both.schema["key"].dataType.simpleString()
+    return both.mapInPandas(run, f"key {kind}, copied_share double, unclosed int, declined boolean, expected string, answered string").withColumnRenamed("key", key)
+
+
 def broken_pairs(responses: DataFrame, prompts: DataFrame, key: str, prompt_id: str, content: str, refusal: str, prompt_key: str = "id", prompt_text: str = "prompt", model: residue.Model | None = None) -> DataFrame:
     """``key`` and ``defect`` of each broken pair, at most one for a row.
 
@@ -228,9 +256,7 @@ def broken_pairs(responses: DataFrame, prompts: DataFrame, key: str, prompt_id:
     """
     spark = responses.sparkSession
     ship(spark)
-    rows = responses.select(F.col(key).alias("key"), F.col(prompt_id).alias(RESERVED + "id"), F.col(content).alias("text"), F.col(refusal).alias("refusal"))
-    asked = prompts.select(F.col(prompt_key).alias(RESERVED + "id"), F.col(prompt_text).alias("prompt"))
-    pairs = rows.join(asked, RESERVED + "id", "left").select("key", "text", "prompt", "refusal")
+    rows, pairs = _paired(responses, prompts, key, prompt_id, content, refusal, prompt_key, prompt_text)
     order = F.create_map(*[x for i, d in enumerate(DEFECTS) for x in (F.lit(d), F.lit(i))])
     cut = truncation.truncated(rows, "text", ["key"]).withColumn("defect", F.lit("truncated"))
     found = _flagged(pairs).unionByName(cut).groupBy("key").agg(F.min_by("defect", order[F.col("defect")]).alias("defect"))

@@ -90,10 +90,18 @@ def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(language_id.passages(rows, "email", ["id"], language_id.fit_on(rows, "email", "said")), ["id"])
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _successes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _generated(spark, sf_dir).where("status = 'success'")
-    rows = rows.select("row_seq", read_id("id").alias("id"), "content", F.get_json_object("raw_response", "$.choices[0].message.refusal").alias("refusal"))
-    return pairs.broken_pairs(rows, table(spark, sf_dir, "elaboration_prompts_pt_pt"), "row_seq", "id", "content", "refusal")
+    return rows.select("row_seq", read_id("id").alias("id"), "content", F.get_json_object("raw_response", "$.choices[0].message.refusal").alias("refusal"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(_successes(spark, sf_dir), table(spark, sf_dir, "elaboration_prompts_pt_pt"), "row_seq", "id", "content", "refusal")
+
+
+def p7_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is measured of every pair."""
+    return pairs.evidence(_successes(spark, sf_dir), table(spark, sf_dir, "elaboration_prompts_pt_pt"), "row_seq", "id", "content", "refusal")
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +150,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_models": p1_models, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_kept": p4_kept, "p5_found": p5_found, "p5_shares": p5_shares, "p7_found": p7_found,
+    "p1_found": p1_found, "p1_models": p1_models, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_kept": p4_kept, "p5_found": p5_found, "p5_shares": p5_shares, "p7_found": p7_found, "p7_evidence": p7_evidence,
     "p6_found": p6_found, "p6_passages": p6_passages, "p6_documents": p6_documents, "p8_placed": p8_placed, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_sources": p10_sources,
 }
 
