@@ -67,6 +67,16 @@ def test_residue_kinds(spark):
     assert residue.residue(spark.createDataFrame([], "k int, t string"), "t", ["k"]).count() == 0
 
 
+@pytest.mark.parametrize("page,kind", [
+    ("O serviço está temporariamente indisponível. Tente novamente dentro de alguns minutos.", "notice"), ("Please enable JavaScript to view this page. Request ID: {0}", "notice"),
+    ("Error 503: Service Unavailable. Request ID: {0}", "notice"), ("Lorem ipsum dolor sit amet, consectetur adipiscing elit. {0}", "filler"), ("Caro {{{{ nome }}}},\n\nA proposta {0} segue em anexo.", "slot"),
+])
+def test_frequent_residue_does_not_become_prose(spark, page, kind):
+    rows = [(i, _mail(i)) for i in range(200)] + [(1000 + i, page.format(i)) for i in range(100)]
+    got = {r["k"]: r["kind"] for r in residue.residue(spark.createDataFrame(rows, "k int, t string"), "t", ["k"]).collect()}
+    assert got == {1000 + i: kind for i in range(100)}
+
+
 # ---- repetition
 
 def _share(t, n=5):

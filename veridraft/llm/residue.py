@@ -3,7 +3,9 @@ scripts where a message should be.
 
 Two character n-gram models of residue are fitted on the phrases below, one on folded letters (filler
 and notices), one on shapes (slots: letters read a or A, digits 0). The models of natural prose are
-counted over all texts of the table, so what is common there weighs little. Each text is then scored
+counted over the distinct texts of the table, so what is common there weighs little, and one text weighs once
+however often it was delivered. What is residue by the phrases alone stays out of these counts, so a frequent
+page, filler or slot does not become prose, even where each copy carries another number. Each text is then scored
 in windows of likelihood ratios; windows over the threshold localise residue. An exact check of the
 localised spans follows: a span is a slot if its delimiters enclose a field's name, it is filler if
 its words are, and a notice makes the text a case where it covers most of the message's body or
@@ -84,6 +86,8 @@ BITS, N = 16, 4
 #: Windows in characters and the mean log ratio over which a window is residue: of shapes, of letters
 #: (for lone words such as null), and of letters (for sentences).
 WINDOWS, THRESHOLDS = (4, 4, 20), (0.2, 3.0, 0.8)
+#: A window is copied from the phrases where more than this share of its n-grams is theirs.
+COPIED = 0.8
 #: A notice makes the text a case where it covers this share of what stands first, or this share of the
 #: body under a greeting.
 COVERAGE, BODY_COVERAGE = 0.25, 0.5
@@ -115,27 +119,6 @@ def _count(stream: np.ndarray) -> np.ndarray:
     return np.bincount(_grams(stream), minlength=1 << BITS)
 
 
-def prose_counts(df: DataFrame, content: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of n-grams over all texts, of letters and of shapes: two tables of 2^16 numbers."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
-            letters, shapes = _streams([_bytes(clean(t)) for t in batch["text"]])
-            both[0] += _count(letters)
-            both[1] += _count(shapes)
-        flat = both.reshape(-1)
-        met = np.flatnonzero(flat)
-        yield pd.DataFrame({"gram": met, "n": flat[met]})
-
-    ship(df.sparkSession)
-    parts = spread(df.where(F.col(content).isNotNull()).select(F.col(content).alias("text"))).mapInPandas(count, "gram int, n bigint")
-    both = np.zeros(2 << BITS, np.int64)
-    for gram, n in parts.groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most 2^17 rows, whatever the data
-        both[gram] = n
-    return both[: 1 << BITS], both[1 << BITS :]
-
-
 def ratios(prose: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Log likelihood ratios of residue against prose, for letters and for shapes."""
     letters, _ = _streams([_bytes(t) for t in FILLER + NOTICES + VALUES * 5])
@@ -209,6 +192,66 @@ def _covered(spans: list[tuple[int, int]], start: int, end: int) -> float:
     return sum(max(0, min(b, end) - max(a, start)) for a, b in spans) / size if size > 0 else 0.0
 
 
+_PHRASES = _count(_streams([_bytes(t) for t in FILLER + NOTICES])[0]) > 0
+#: Where a slot may begin, and what no prose writes: template syntax, or a slot of the phrases. Names in
+#: brackets or guillemets may be prose, so only the table tells.
+_SLOT_START = re.compile(r"[{$%\[<@#«(]")
+_TEMPLATE = re.compile(r"\{\{|\{%|\$\{|%\(|%[A-Z]|\[\[|<<|@@|#[A-Z]|[\[<(](?:inserir|insert|insira|insertar|ins[ée]rer|preencher|fill in|rellenar)\b")
+_VALUE = re.compile(r"(?<![\"'\w.])(?:null|undefined|NaN)(?![\"'\w])")
+
+
+def _left_out(texts: Sequence[str], raw: Sequence[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams of letters and of shapes are residue by the phrases alone: windows copied from them that
+    make their text a case, slots in template syntax, and values never filled in."""
+    written, shaped = np.zeros(len(letters), bool), np.zeros(len(letters), bool)
+    width, known = WINDOWS[-1], np.concatenate([[0], np.cumsum(_PHRASES[letters])])
+    hit = known[width:] - known[:-width] > COPIED * width
+    upto = np.concatenate([[0], np.cumsum(hit)])
+    at = 0
+    for text, coded in zip(texts, raw):
+        size = len(coded)
+        end = at + size - width + 1
+        if end > at and upto[end] > upto[at]:
+            spans = _spans(hit[at:end], width)
+            if _verdict(text, [], [], spans)[0]:
+                for a, b in spans:
+                    written[at + a : at + b] = True
+        for start in _SLOT_START.finditer(text):
+            m = _SLOT.match(text, start.start())
+            if m and (_TEMPLATE.match(m[0]) or m[0] in SLOTS):
+                shaped[at + max(0, m.start() - N + 1) : at + m.end()] = True
+        if "null" in text or "undefined" in text or "NaN" in text:
+            for m in _VALUE.finditer(text):
+                written[at + max(0, m.start() - N + 1) : at + m.end()] = True
+        at += size + 1
+    return written, shaped
+
+
+def prose_counts(df: DataFrame, content: str) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of n-grams over all distinct texts, of letters and of shapes, without what is residue by the
+    phrases alone: two tables of 2^16 numbers. Copies are combined map-side."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            texts = [clean(t).strip() for t in batch["text"]]
+            raw = [_bytes(t) for t in texts]
+            grams = [_grams(stream) for stream in _streams(raw)]
+            for i, (found, out) in enumerate(zip(grams, _left_out(texts, raw, grams[0]))):
+                both[i] += np.bincount(found[~out], minlength=1 << BITS)
+        flat = both.reshape(-1)
+        met = np.flatnonzero(flat)
+        yield pd.DataFrame({"gram": met, "n": flat[met]})
+
+    ship(df.sparkSession)
+    texts = spread(df.where(F.col(content).isNotNull()).select(F.col(content).alias("text"))).distinct()
+    parts = texts.mapInPandas(count, "gram int, n bigint")
+    both = np.zeros(2 << BITS, np.int64)
+    for gram, n in parts.groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most 2^17 rows, whatever the data
+        both[gram] = n
+    return both[: 1 << BITS], both[1 << BITS :]
+
+
 class Model:
     """The fitted ratios; judges batches of texts."""
 
