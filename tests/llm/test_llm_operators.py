@@ -200,6 +200,30 @@ def test_packing_fills():
     assert bins <= 1.01 * lengths.sum() / 1024 + 1
 
 
+def _fewest(lengths, capacity):
+    return -(-int(np.sum(lengths)) // capacity)
+
+
+def test_packing_of_hot_and_short_lengths():
+    assert packing.pack([10] * 1000, 4096).max() + 1 == 3
+    rng = np.random.default_rng(3)
+    hot = np.r_[np.full(2000, 7), rng.integers(5, 300, 4000)]
+    short = rng.integers(1, 60, 6000)
+    for lengths in (hot, short):
+        assert packing.pack(lengths, 4096).max() + 1 <= _fewest(lengths, 4096) + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=40), st.integers(30, 90))
+def test_first_container_is_the_fullest(lengths, capacity):
+    first = max(lengths)
+    others = sorted(lengths)[:-1]
+    sums = {first}
+    for n in others:
+        sums |= {s + n for s in sums if s + n <= capacity}
+    assert np.bincount(packing.pack(lengths, capacity), lengths)[0] == max(sums)
+
+
 def test_placed_frame(spark):
     items = [(i, n) for i, n in enumerate([0, 5, 25, 10, 10, 3])] + [(None, 4), (7, None), (8, -1), (9, 10), (9, 10)]
     kinds = spark.createDataFrame([("k", 10), ("l", 100), ("z", 0)], "kind string, cap int")

@@ -2,8 +2,9 @@
 
 A container starts with the longest item left. Among the lengths that remain, subset sums are followed in
 a bitset (an integer whose bit s says that a sum s can be reached) until one fills the container
-exactly or all candidates are in; the fullest combination is removed and the next container starts.
-Candidates of one container are drawn from all lengths left, longest and shortest alike.
+exactly or all lengths are in, each as often as it is left; the fullest combination is removed and the
+next container starts. The first candidates of a container are drawn from all lengths left, longest and
+shortest alike; the other lengths follow where these do not fill it.
 
 Items longer than a container are cut into full containers and a rest; no other item is cut. Items are
 spread over groups of bounded size by a hash, each group is packed on its own, so no task
@@ -12,7 +13,9 @@ sees more than a group and the only waste of grouping is one last container for
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from veridraft.session import RESERVED, ship, written
 
-#: Items a group holds on average, and lengths tried for one container.
+#: Items a group holds on average, and lengths tried first for one container.
 GROUP, CANDIDATES = 16384, 40
 #: Most kinds of containers.
 KINDS = 100
@@ -39,18 +42,21 @@ def pack(lengths: Sequence[int], capacity: int) -> np.ndarray:
         if lengths[i] > 0:
             left.setdefault(int(lengths[i]), []).append(int(i))
     keys = sorted(left)  # ascending; emptied lengths are dropped
-    number = 0
+    number, rest = 0, int(lengths.sum())
     mask = (1 << (capacity + 1)) - 1
     while keys:
         first = keys[-1]
         chosen = [first]
         room = capacity - first
-        if room >= keys[0]:
-            top = np.searchsorted(keys, room, side="right")
+        rest -= first
+        if rest <= room:
+            chosen += [size for size in keys for _ in range(len(left[size]) - (size == first))]
+        elif room >= keys[0]:
+            top = bisect_right(keys, room)
             if top > CANDIDATES:
                 half = CANDIDATES // 2
-                spread = {int(x) for x in np.linspace(0, top - 1, CANDIDATES - half)}
-                picked = sorted(spread | set(range(top - half, top)), reverse=True)
+                spread = {int(x) for x in np.linspace(0, top - 1, CANDIDATES - half)} | set(range(top - half, top))
+                picked = chain(sorted(spread, reverse=True), (i for i in range(top - 1, -1, -1) if i not in spread))
             else:
                 picked = range(top - 1, -1, -1)
             reach, steps = 1, []
@@ -58,24 +64,27 @@ def pack(lengths: Sequence[int], capacity: int) -> np.ndarray:
             limit = mask >> (capacity - room)
             for at in picked:
                 size = keys[at]
-                for _ in range(min(len(left[size]) - (size == first), room // size, 3)):
-                    steps.append((size, reach))
-                    reach |= (reach << size) & limit
-                    if reach & full:
-                        break
+                copies, step = min(len(left[size]) - (size == first), room // size), 1
+                while copies > 0 and not reach & full:  # 1, 2, 4, ... copies and the rest make any number of them
+                    step = min(step, copies)
+                    steps.append((size, step, reach))
+                    reach |= (reach << size * step) & limit
+                    copies -= step
+                    step *= 2
                 if reach & full:
                     break
             best = reach.bit_length() - 1
-            for size, before in reversed(steps):
+            for size, step, before in reversed(steps):
                 if not before >> best & 1:
-                    chosen.append(size)
-                    best -= size
+                    chosen += [size] * step
+                    best -= size * step
         for size in chosen:
             items = left[size]
             place[items.pop()] = number
             if not items:
                 del left[size]
-                keys.pop(int(np.searchsorted(keys, size)))
+                keys.pop(bisect_left(keys, size))
+        rest -= sum(chosen) - first
         number += 1
     return place
 
