@@ -50,6 +50,14 @@ def test_json_objects(spark):
     assert _cut(spark, good + bad + [(60, '["a", "b"]', "")]) == [50, 51]
 
 
+def test_copies_of_a_cut_text_are_no_evidence(spark):
+    whole = [(i, _mail(i), "") for i in range(60)]
+    cut = "Bom dia,\n\nO técnico estará nas vossas inst"
+    assert _cut(spark, whole + [(100 + i, cut, "") for i in range(200)]) == list(range(100, 300))
+    forms = [cut, cut.replace("é", "&eacute;"), cut.replace("\n", "\r\n"), cut.replace(" ", "\xa0")]
+    assert _cut(spark, whole + [(100 + i, forms[i % 4], "") for i in range(200)]) == list(range(100, 300))
+
+
 def test_no_rows(spark):
     assert _cut(spark, []) == []
 

@@ -12,16 +12,21 @@ An exact check follows: a JSON object that parses is complete; a line of the sig
 closing formula is complete; so is a unit whose very words end in a full stop elsewhere when it
 ends in an ellipsis.
 
+Copies are no evidence: texts are cleaned once, those alike speak once however often they were delivered, and each
+different unit of a text counts once. Where a last unit is judged, it is subtracted itself, and what its own text
+repeats is added. The verdict of a text goes back to all its rows by its digest.
+
 Counts are combined in the mapper and again map-side, so neither a phrase nor a source that holds a
-third of all rows moves more than one row for each prefix and task. The texts are read once; what
-the mapper says is written to the shared folder and joined from there.
+third of all rows moves more than one row for each prefix and task; copies of a text are combined map-side
+too. The texts are read once; they, cleaned, and what the mapper says are written to the shared folder and read
+from there.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -116,10 +121,9 @@ def _in_signature(text: str) -> bool:
 
 
 def units_of(text: str) -> tuple[list[tuple[str, int, str]], tuple[str, int, str, bool, bool] | None]:
-    """The units of a text, each with its ending and its very words where it is closed, and the last
+    """The units of a cleaned text, each with its ending and its very words where it is closed, and the last
     unit as a candidate: the unit without cut marks, its ending, its very words, whether it carried
     an ellipsis or the like, and whether the unit before it begins with it and goes on."""
-    text = clean(text)
     start = _json_start(text)
     if start >= 0:
         whole = _json_complete(text, start)
@@ -153,12 +157,22 @@ def _hash(prefix: str, length: int) -> int:
     return xxhash.xxh3_64_intdigest(prefix.encode("utf-8", "surrogatepass"), length) - (1 << 63)
 
 
-_COLUMNS = ["kind", "h", "n0", "n1", "n2", "length", "ending", "marked", "key"]
-_SAYS = "kind int, h bigint, n0 bigint, n1 bigint, n2 bigint, length int, ending int, marked boolean, key struct<{}>"
+_COLUMNS = ["kind", "h", "n0", "n1", "n2", "length", "ending", "marked", "text"]
+_SAYS = "kind int, h bigint, n0 bigint, n1 bigint, n2 bigint, length int, ending int, marked boolean, text string"
+
+
+def _cleaner(content: str):
+    def cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch[content] = [clean(t) for t in batch[content]]
+            yield batch
+
+    return cleaned
 
 
-def _mapper(keys: Sequence[str], content: str):
-    width = len(keys)
+def _mapper(content: str, digest: str):
+    """What each distinct text says: counts (kind 0), what its last unit asks, with the counts to subtract there (1),
+    and that its last unit begins the one before it (2)."""
 
     def passed_on(held: dict) -> pd.DataFrame:
         return pd.DataFrame([(0, _hash(p, k), *n, None, None, None, None) for (p, k), n in held.items()], columns=_COLUMNS)
@@ -167,10 +181,10 @@ def _mapper(keys: Sequence[str], content: str):
         held: dict = defaultdict(lambda: [0, 0, 0])
         for batch in batches:
             out = []
-            idents = zip(*[batch[f"{RESERVED}k{i}"] for i in range(width)])
-            for ident, text in zip(idents, batch[content]):
+            for ident, text in zip(batch[digest], batch[content]):
                 units, last = units_of(text)
-                for unit, ending, exact in units:
+                counted = Counter(units)
+                for unit, ending, exact in counted:
                     size = len(unit)
                     for k in LENGTHS:
                         if k > size:
@@ -180,14 +194,18 @@ def _mapper(keys: Sequence[str], content: str):
                         held[exact, 0][_CLOSED] += 1
                 if last:
                     unit, ending, exact, marked, looping = last
-                    key = dict(zip(keys, ident))
+                    again = [(other, end, n - 1) for (other, end, _), n in counted.items() if n > 1]
                     for k in LENGTHS:
                         if k <= len(unit):
-                            out.append((1, _hash(unit[:k], k), 0, 0, 0, k, ending, marked, key))
+                            own = [int(i == ending) for i in range(3)]
+                            for other, end, n in again:  # what this text repeats does speak for itself
+                                if len(other) >= k and other.startswith(unit[:k]):
+                                    own[end] -= n
+                            out.append((1, _hash(unit[:k], k), *own, k, ending, marked, ident))
                     if marked:
-                        out.append((1, _hash(exact, 0), 0, 0, 0, 0, ending, marked, key))
+                        out.append((1, _hash(exact, 0), 0, 0, 0, 0, ending, marked, ident))
                     if looping:
-                        out.append((2, 0, 0, 0, 0, len(unit), ending, marked, key))
+                        out.append((2, 0, 0, 0, 0, len(unit), ending, marked, ident))
                 if len(held) > HELD:
                     yield passed_on(held)
                     held.clear()
@@ -207,22 +225,24 @@ def truncated(df: DataFrame, content: str, keys: Sequence[str]) -> DataFrame:
     column is read, so clashing names cannot occur. Whole texts are read, however long.
     """
     ship(df.sparkSession)
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    key_type = ", ".join(f"{k}: {fields[k]}" for k in keys)
-    narrow = df.where(F.col(content).isNotNull()).select(F.col(content).alias(RESERVED + "text"), *[F.col(k).alias(f"{RESERVED}k{i}") for i, k in enumerate(keys)])
-    says = written(spread(narrow).mapInPandas(_mapper(keys, RESERVED + "text"), _SAYS.format(key_type)), "prefixes")
+    names, text, digest = [f"{RESERVED}k{i}" for i in range(len(keys))], RESERVED + "text", RESERVED + "digest"
+    narrow = df.where(F.col(content).isNotNull()).select(F.col(content).alias(text), *[F.col(k).alias(n) for n, k in zip(names, keys)])
+    rows = written(spread(narrow).mapInPandas(_cleaner(text), narrow.schema), "texts").withColumn(digest, F.md5(text))
+    says = written(rows.select(text, digest).distinct().mapInPandas(_mapper(text, digest), _SAYS), "prefixes")
     ends = ("n0", "n1", "n2")
     known = says.where("kind = 0").groupBy("h").agg(*[F.sum(n).alias(n) for n in ends])
-    asked = says.where("kind = 1").select("h", "length", "ending", "marked", "key")
+    asked = says.where("kind = 1").select("h", *[F.col(n).alias("own_" + n) for n in ends], "length", "ending", "marked", "text")
     met = asked.join(known, "h", "left")
-    same = sum(F.when(F.col("ending") == i, F.coalesce(n, F.lit(0))).otherwise(F.lit(0)) for i, n in enumerate(ends)) - 1
-    total = sum(F.coalesce(n, F.lit(0)) for n in ends) - 1
+    others = [F.coalesce(n, F.lit(0)) - F.col("own_" + n) for n in ends]
+    same = sum(F.when(F.col("ending") == i, n).otherwise(F.lit(0)) for i, n in enumerate(others))
+    total = sum(others)
     judged = met.withColumn(RESERVED + "same", same).withColumn(RESERVED + "total", total)
     supported = (F.col("length") > 0) & (F.col(RESERVED + "total") >= SUPPORT)
     whole = (F.col("length") == 0) & F.col("marked") & (F.coalesce("n1", F.lit(0)) > 0)
-    verdict = judged.groupBy("key").agg(
+    verdict = judged.groupBy("text").agg(
         F.max_by(F.col(RESERVED + "same") / F.col(RESERVED + "total"), F.when(supported, F.col("length"))).alias("share"),
         F.max(whole).alias("whole"),
     )
-    cut = verdict.where((F.col("share") <= SHARE) & ~F.coalesce("whole", F.lit(False))).select("key.*")
-    return cut.unionAll(says.where("kind = 2").select("key.*")).distinct()
+    cut = verdict.where((F.col("share") <= SHARE) & ~F.coalesce("whole", F.lit(False))).select(F.col("text").alias(digest))
+    cut = cut.unionAll(says.where("kind = 2").select(F.col("text").alias(digest))).distinct()
+    return rows.join(cut, digest, "left_semi").select(*[F.col(n).alias(k) for n, k in zip(names, keys)]).distinct()
