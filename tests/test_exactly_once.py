@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridraft.operators.exactly_once import STRIPPED, SeenStore, deduplicate, read_id
+from veridraft.plans.core_training import QUERIES
+from veridraft.streaming.ingest import ingest
 
 ROWS = [(1, "a", "m", "x"), (2, "a", "m", "y"), (3, "b", "m", "x"), (4, "a", "n", "z"), (5, None, "m", "q"), (6, None, "m", "q"), (7, "b", "m", "x")]
 SCHEMA = "seq bigint, id string, model string, _vd_code string"  # the last name is one of the helpers'
@@ -64,3 +66,38 @@ def test_hot_identifier_and_ties(spark):
     result = store.ingest(df, ["id"], ["seq"])
     assert result.selected().count() == df.select("id").distinct().count()
     assert [r[0] for r in result.repeated().collect()] == ["hot"]
+
+
+def test_whole_rows_of_ties_and_null_order(spark):
+    rows = [(5, "a", "x"), (5, "a", "y"), (5, "a", "x"), (None, "b", "p"), (2, "b", "q"), (None, "c", "r"), (None, "c", "r"), (1, None, "s"), (1, None, "s")]
+    df = spark.createDataFrame(rows, "seq bigint, id string, `a.b` string")
+    got = deduplicate(df, ["id"], ["seq"])
+    assert got.columns == df.columns
+    kept = sorted(got.collect(), key=str)
+    assert sorted((r["id"], r["seq"]) for r in kept if r["id"]) == [("a", 5), ("b", None), ("c", None)]
+    assert {r["a.b"] for r in kept if r["id"] == "a"} < {"x", "y"} and [r["a.b"] for r in kept if r["id"] == "b"] == ["p"]
+    assert len(kept) == 5  # both rows without an identifier stay
+    again = deduplicate(df.repartition(3), ["id"], ["seq"])
+    assert sorted(again.collect(), key=str) == kept
+
+
+def test_whole_rows_in_batches(spark, tmp_path):
+    store = SeenStore(spark, f"file://{tmp_path}/seen", shards=3)
+    df = spark.createDataFrame([(None, "a", {"k": 1}), (None, "a", {"k": 1})], "seq bigint, id string, m map<string,int>")
+    assert deduplicate(df, ["id"], ["seq"], store).count() == 1
+    assert deduplicate(df, ["id"], ["seq"], store).count() == 0
+
+
+def test_stream_of_ties_and_null_order(spark, tmp_path):
+    spark.createDataFrame([(7, "a", "x"), (7, "a", "x"), (None, "b", "y"), (None, "b", "y")], "seq bigint, id string, t string").write.parquet(f"{tmp_path}/in")
+    got = []
+    stream = spark.readStream.schema("seq bigint, id string, t string").parquet(f"{tmp_path}/in")
+    ingest(stream, ["id"], ["seq"], f"file://{tmp_path}/seen", lambda rows, n: got.extend(rows.collect()), f"{tmp_path}/cp", {"availableNow": True}).awaitTermination(100)
+    assert sorted(map(tuple, got), key=str) == [(7, "a", "x"), (None, "b", "y")]
+
+
+def test_registered_whole_rows(spark):
+    kept, rows = (QUERIES[n](spark, "/root/testdata/sf0.001") for n in ("p2_kept", "p2_rows"))
+    named = rows.where("id IS NOT NULL AND model IS NOT NULL")
+    assert sorted(map(tuple, named.select("tab", "id", "model", "row_seq").collect())) == sorted(map(tuple, kept.select("tab", "id", "model", "row_seq").collect()))
+    assert "content" in rows.columns

@@ -12,7 +12,8 @@ for each (shard, bucket of codes), stored in zstd-compressed Parquet. For each b
    by a single rename. A batch that fails before the rename leaves the old version current and can
    be repeated.
 
-No step sees whole rows: state and shuffles hold identifiers and order columns only.
+State and its shuffles hold identifiers and order columns only. Where whole rows are asked for
+(``deduplicate``), one row of each identifier is chosen by an aggregate over the batch.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from veridraft.session import RESERVED, _fs, path_exists, remove_path, scratch_p
 #: What Python's ``str.strip`` takes away, which is how row validation reads an identifier.
 STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 
-SHARD, CODE, BUCKET, COPIES, FIRST, SEEN = (RESERVED + x for x in ("shard", "code", "bucket", "copies", "first", "seen"))
+SHARD, CODE, BUCKET, COPIES, FIRST, SEEN, ROW = (RESERVED + x for x in ("shard", "code", "bucket", "copies", "first", "seen", "row"))
 
 
 def read_id(column: Column | str) -> Column:
@@ -149,18 +150,37 @@ def bit_is_set(bitmap: str, code: str) -> Column:
     return F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position({code}) % 8 as int))")) != 0, F.lit(False))
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``keys`` and, as a struct, one whole row of each identifier: its least arrival by ``order``, NULL least of
+    all. Among equal ones the least hash of the row decides, so a repeated batch chooses alike. Rows are combined
+    map-side: an identifier with a third of all rows moves one row for each task."""
+    named = {c: F.col(_quoted(c)) for c in df.columns}
+    hashed = [named[f.name] for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    rank = F.struct(*[F.col(c) for c in order], F.xxhash64(*hashed))
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*named.values()), rank).alias(ROW))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def accepted(df: DataFrame, result: BatchResult) -> DataFrame:
+    """The rows of the batch ``df`` that its ``result`` keeps: one whole row of each new identifier, and every
+    row without an identifier."""
+    anonymous = F.lit(False)
+    for k in result.keys:
+        anonymous = anonymous | F.col(k).isNull()
+    new = result.groups.where(~F.col(SEEN)).select(*result.keys)
+    kept = first_rows(df.where(~anonymous), result.keys, result.order).join(new, list(result.keys), "left_semi")  # rows stay where they were grouped
+    return kept.select(*[F.col(ROW).getField(c).alias(c) for c in df.columns]).unionByName(df.where(anonymous))
+
+
 def deduplicate(df: DataFrame, keys: Sequence[str], order: Sequence[str], store: SeenStore | None = None) -> DataFrame:
     """The rows of ``df`` with exactly one arrival of each identifier, and every row without one.
 
     Null in any key: the row belongs to no identifier and is kept. Equal order values: one of the
-    equal arrivals is kept. An empty table gives an empty table. Other columns pass through
-    untouched, whatever their names; whole rows are moved once, by the semi join on (keys, order).
+    equal arrivals is kept; a NULL order value comes first. An empty table gives an empty table. Other columns
+    pass through untouched, whatever their names; whole rows are moved once, one for each identifier and task.
     """
     store = store or SeenStore(df.sparkSession)
-    result = store.ingest(df, keys, order)
-    anonymous = F.lit(False)
-    for k in keys:
-        anonymous = anonymous | F.col(k).isNull()
-    on = [*keys, *[c for c in order if c not in keys]]
-    kept = df.where(~anonymous).join(result.selected().select(*on), on, "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(df.where(anonymous))
+    return accepted(df, store.ingest(df, keys, order))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridraft.operators import exactly_once, log_percentiles
-from veridraft.operators.results import both_results, epoch_day
-from veridraft.session import RESERVED
+from veridraft.operators.results import RESULT_TABLES, both_results, epoch_day
+from veridraft.session import RESERVED, table
 
 #: Batches in which the tables' arrivals are read, as they would have come in.
 ARRIVAL_BATCHES = 2
@@ -47,6 +47,17 @@ def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables with one whole row of each answer, its first arrival, and every row that is no answer."""
+    parts = [table(spark, sf_dir, t).withColumn("tab", F.lit(t)).withColumn("id", exactly_once.read_id("id")) for t in RESULT_TABLES]
+    rows = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    store, out = exactly_once.SeenStore(spark), None
+    for batch in _batches(rows):
+        kept = exactly_once.deduplicate(batch, ["tab", "id", "model"], ["row_seq"], store)
+        out = kept if out is None else out.unionAll(kept)
+    return out
+
+
 def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both_results(spark, sf_dir, "model", "latency_ms", "started_at").withColumn("day", epoch_day("started_at"))
 
@@ -77,7 +88,7 @@ def p3_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("model", within.alias("within_bound"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p3_model_day": p3_model_day, "p3_model": p3_model, "p3_sketch": p3_sketch, "p3_bound": p3_bound}
+QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p2_rows": p2_rows, "p3_model_day": p3_model_day, "p3_model": p3_model, "p3_sketch": p3_sketch, "p3_bound": p3_bound}
 
 _SPACES = " || ".join(f"chr({ord(c)})" for c in exactly_once.STRIPPED)
 _ARRIVALS = f"""

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veridraft.operators.exactly_once import SeenStore
+from veridraft.operators.exactly_once import SeenStore, accepted
 
 
 def ingest(stream: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -23,12 +22,7 @@ def ingest(stream: DataFrame, keys: Sequence[str], order: Sequence[str], state:
     def each(batch: DataFrame, number: int) -> None:
         store = SeenStore(batch.sparkSession, state)
         result = store.ingest(batch, keys, order, commit=False)
-        anonymous = F.lit(False)
-        for k in keys:
-            anonymous = anonymous | F.col(k).isNull()
-        on = [*keys, *[c for c in order if c not in keys]]
-        kept = batch.where(~anonymous).join(result.selected().select(*on), on, "left_semi")
-        sink(kept.select(*batch.columns).unionByName(batch.where(anonymous)), number)
+        sink(accepted(batch, result), number)
         store.commit()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
