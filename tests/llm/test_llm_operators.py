@@ -159,6 +159,13 @@ def test_defects(answer, refusal, expected):
     assert pairs.defect(answer, PROMPT, refusal) == expected
 
 
+def test_long_refusals():
+    reasons = " ".join(f"O motivo {w} é que o texto envolve dados de outras pessoas e regras internas da empresa." for w in ("principal", "seguinte", "terceiro", "quarto", "quinto", "final"))
+    long = f"Lamento, mas não posso ajudar com este pedido. {reasons}\n\nEm alternativa, pode contactar o apoio ao cliente."
+    assert len(long.split()) > pairs.SHORT and pairs.defect(long, None, None) == "refusal"
+    assert pairs.defect(f"Bom dia,\n\nLamento, mas não posso aceitar este pedido. {reasons}\n\nCumprimentos,\nEva", None, None) is None
+
+
 def test_asked_language():
     english = "Dear Rui,\n\nPlease send us the documents that are missing from the file.\n\nKind regards,\nEva"
     assert pairs.defect(english, PROMPT + " Escreva a resposta em inglês.", None) is None

@@ -31,7 +31,7 @@ DEFECTS = ("empty", "refusal", "truncated", "copy", "language")
 COPIED_RUN, REPLY_WORDS = 4, 5
 #: Share of a response's words that a copy takes from its prompt.
 COPIED_SHARE = 0.7
-#: A text of more words than this is neither empty nor a refusal; one with this share of its expected
+#: A text of more words than this is not empty, and no refusal if it holds a finished email; one with this share of its expected
 #: language's own stopwords is in it.
 SHORT, EXPECTED_SHARE = 80, 0.15
 
@@ -159,15 +159,21 @@ def reply_of(text: str) -> list[str]:
     return [s for x in lines for s in sentences(x) if WORD.search(s)]
 
 
-def declines(reply: list[str]) -> bool:
-    """Whether a reply declines the task: one of its first two sentences does so, and little follows."""
-    if len(reply) > 4:
-        return False
+def finished(text: str) -> bool:
+    """Whether a text holds an email from greeting to closing."""
+    lines = [x.strip() for x in text.split("\n")]
+    start = next((i for i, x in enumerate(lines) if x and _GREETING.match(x)), None)
+    return start is not None and any(_CLOSING.match(x) for x in lines[start + 1 :] if x)
+
+
+def declines(reply: list[str], text: str) -> bool:
+    """Whether the reply of ``text`` declines the task: one of its first two sentences does so, and little
+    follows, or at least no finished email."""
     refuse, task = _refusals()
     for s in reply[:2]:
         folded = fold(s)
         if any(True for _ in refuse.iter(folded)) and any(True for _ in task.iter(folded)):
-            return True
+            return (len(reply) <= 4 and len(WORD.findall(text)) <= SHORT) or not finished(text)
     return False
 
 
@@ -177,13 +183,16 @@ def defect(text: str, prompt: str | None, refusal: str | None) -> str | None:
     text = clean(text)
     if refusal and refusal.strip():
         return "refusal"
-    said = WORD.findall(fold(text))
+    folded = fold(text)
+    said = WORD.findall(folded)
     reply = None
     if len(said) <= SHORT:
         reply = reply_of(text)
         if sum(len(WORD.findall(s)) for s in reply) < 2:  # not even a sentence
             return "empty"
-        if declines(reply):
+    if reply is not None or any(True for _ in _refusals()[0].iter(folded)):
+        reply = reply_of(text) if reply is None else reply
+        if declines(reply, text):
             return "refusal"
     if not prompt:
         return None
@@ -240,7 +249,7 @@ def evidence(responses: DataFrame, prompts: DataFrame, key: str, prompt_id: str,
                 said = WORD.findall(fold(text))
                 automaton, _, expected = _prompt(clean(p)) if p else (None, 0, None)
                 share = automaton.walk(said, COPIED_RUN) / len(said) if automaton and said else 0.0
-                out.append((k, share, unclosed(text), bool(r and r.strip()) or declines(reply_of(text)), expected, voted(said)))
+                out.append((k, share, unclosed(text), bool(r and r.strip()) or declines(reply_of(text), text), expected, voted(said)))
             yield pd.DataFrame(out, columns=["key", "copied_share", "unclosed", "declined", "expected", "answered"])
 
     kind = both.schema["key"].dataType.simpleString()
