@@ -166,6 +166,13 @@ def test_long_refusals():
     assert pairs.defect(f"Bom dia,\n\nLamento, mas não posso aceitar este pedido. {reasons}\n\nCumprimentos,\nEva", None, None) is None
 
 
+@pytest.mark.parametrize("end,cut", [
+    ("Segue em anexo a fatura (ref.", True), ("Confirme o texto «Pedido urgente.", True), ("Ver os anexos [um, dois;", True), ('Disse "sim, claro.', True), ("Segue a fatura (ref. 5).", False), ("Até amanhã :(", False), ('Um ecrã de 24" e outro de 27 polegadas.', False), ("a) Fatura", False),
+])
+def test_texts_that_end_open(end, cut):
+    assert pairs.defect(f"Bom dia,\n\nA proposta está pronta e aguardamos a sua resposta.\n\n{end}", None, None) == ("truncated" if cut else None)
+
+
 def test_asked_language():
     english = "Dear Rui,\n\nPlease send us the documents that are missing from the file.\n\nKind regards,\nEva"
     assert pairs.defect(english, PROMPT + " Escreva a resposta em inglês.", None) is None

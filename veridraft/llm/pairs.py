@@ -3,7 +3,8 @@
 The response walks the suffix automaton of its prompt's words, which gives the share of the response
 that is the prompt's own wording, in any order. Automata of refusal phrases (Aho-Corasick) find
 declined tasks, a stack of delimiters finds what was opened and never closed, and votes of stopwords
-give the languages of prompt and response. Truncation is the prefix join of ``truncation``.
+give the languages of prompt and response. Truncation is the prefix join of ``truncation``, or a last line that ends
+inside a bracket or quotation by the stack, which that join does not judge where a mark stands at the end.
 
 Pairs are made by one equi join on the prompt's id; a prompt that a third of all answers share is
 split by adaptive execution, as prompts are unique. Rows stay in their task after that, and only
@@ -146,6 +147,16 @@ def unclosed(text: str) -> int:
     return len(stack) + fences
 
 
+#: A delimiter that opens before a word, as none does in an emoticon or a measure.
+_OPENS = re.compile(r"(?:(?<=\s)|^)([\"«“(\[{])(?=\w)")
+
+
+def ends_open(text: str) -> bool:
+    """Whether a text ends inside a bracket or quotation that its last line opened."""
+    last = text.rstrip().rpartition("\n")[2]
+    return any(unclosed(last[m.start() :]) and not unclosed(last[: m.start()]) for m in _OPENS.finditer(last))
+
+
 def reply_of(text: str) -> list[str]:
     """The sentences of a cleaned response without fences, headings, prefaces, greeting and closing."""
     lines = [x.strip() for x in text.split("\n")]
@@ -178,7 +189,7 @@ def declines(reply: list[str], text: str) -> bool:
 
 
 def defect(text: str, prompt: str | None, refusal: str | None) -> str | None:
-    """The defect of one pair, truncation apart. Without a prompt nothing is copied, and no language is
+    """The defect of one pair, truncation by the prefix join apart. Without a prompt nothing is copied, and no language is
     expected; a null response is an empty one."""
     text = clean(text)
     if refusal and refusal.strip():
@@ -194,6 +205,8 @@ def defect(text: str, prompt: str | None, refusal: str | None) -> str | None:
         reply = reply_of(text) if reply is None else reply
         if declines(reply, text):
             return "refusal"
+    if ends_open(text):
+        return "truncated"
     if not prompt:
         return None
     automaton, size, expected = _prompt(clean(prompt))
@@ -213,7 +226,7 @@ def defect(text: str, prompt: str | None, refusal: str | None) -> str | None:
 
 
 def _flagged(pairs: DataFrame) -> DataFrame:
-    """Rows ``key, defect`` of the pairs ``key, text, prompt, refusal``; repetitive texts are left out."""
+    """Rows ``key, defect`` of the pairs ``key, text, prompt, refusal``; repetitive texts are left out unless truncated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -222,7 +235,7 @@ def _flagged(pairs: DataFrame) -> DataFrame:
             out = out[[d is not None for d in found]]
             if len(out):
                 shares = repetition.measure(out["text"].tolist())["repeated_5"].to_numpy()
-                yield out.loc[shares < repetition.LIMIT, ["key", "defect"]]
+                yield out.loc[(shares < repetition.LIMIT) | (out["defect"] == "truncated").to_numpy(), ["key", "defect"]]
 
     ship(pairs.sparkSession)
     return pairs.mapInPandas(run, f"key {pairs.schema['key'].dataType.simpleString()}, defect string")
