@@ -307,6 +307,14 @@ def test_disguises():
     assert reader.tokens("às 14h30 CTR-29918 srv2024")[-1] != "srvzoz"
 
 
+def test_disguises_at_the_ends():
+    reader = abuse.Reader(["puta", "chupo", "chupa", "idiota", "merda"])
+    for said, meant in (("put4", "puta"), ("nu4", "nua"), ("merd4!", "merda"), ("chup0", "chupo"), ("chvp0", "chupo"), ("chvpa", "chupa"), ("bat1", "bati"), ("1diota", "idiota"), ("1d10ta", "idiota"), ("cala-t3", "te"), ("nova", "nova")):
+        assert meant in reader.tokens(f"és um {said} grande"), said
+    assert "te" not in reader.tokens("um t3 em lisboa")
+    assert reader.tokens("às 14h30 CTR-29918 srv2024 a4 2024")[-1] not in ("srvzoz", "srvzoza")
+
+
 def test_scored_frame(spark):
     model = abuse.fit([])
     df = spark.createDataFrame([(1, None), (2, ""), (3, "és um cabrão"), (3, "és um cabrão"), (None, "A fatura continua por regularizar. " * 5000)], "doc_id bigint, t string")

@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
@@ -74,11 +74,16 @@ _MASKS = "*_#?•"
 #: Inside one piece between spaces: letters spread out by signs, words with signs or digits for letters,
 #: letters repeated, two words that may be one with a masked letter.
 _SPREAD = re.compile(r"(?<![a-z\d])[a-z](?:[.\-_*/]{1,4}[a-z](?![a-z\d]))+")
-_LEETWORD = re.compile(r"(?<![\w$@€£*_#])[a-z$@][a-z\d$@|!€£*_#?•]*[a-z\d$@|!€£*_#?•](?![\w])")
+_LEETWORD = re.compile(r"(?<![\w$@€£*_#])[a-z\d$@][a-z\d$@|!€£*_#?•]*[a-z\d$@|!€£*_#?•](?![\w])")
 _REPEATED = re.compile(r"([a-z])\1{2,}")
 _HYPHENED = re.compile(r"(?<![a-z-])([a-z]+)-([a-z]+)(?![a-z-])")
 _TOKENS = re.compile(r"[a-z]+(?:['’][a-z]+)?|[.!?:;]+")
-_IDENT = re.compile(r"^[a-z]{1,4}\d+$|^\d")
+#: Codes, which stay as they are unless a word of the vocabulary is read in them.
+_IDENT = re.compile(r"^[a-z]{1,4}\d\d+$|^[a-z]\d$|^\d")
+#: Other letters that a sign or letter may stand for.
+_ALSO = {"1": "il", "|": "il", "v": "vu"}
+#: A word of two characters is read only as a pronoun after a verb and a hyphen.
+_VERB = re.compile(r"[a-z\d$@]{3,}-$")
 #: Single letters have numbers under this, so that runs of them are found at once.
 _LETTERS = 64
 _RUN = 3
@@ -120,15 +125,26 @@ class Reader:
         found = [w for w in self.by_length.get(len(word), ()) if shape.fullmatch(w)]
         return found[0] if found else "".join(c for c in word if c not in _MASKS)
 
+    def _meant(self, word: str) -> str | None:
+        """The word of the vocabulary that ``word`` is written for, if it is none itself."""
+        if word in self.known or not any(c.isalpha() for c in word) or sum(c in _ALSO for c in word) > 4:
+            return None
+        read = map("".join, product(*(_ALSO.get(c, c.translate(_LEET)) for c in word)))
+        return next((w for w in read if w in self.known), None)
+
     def _word(self, m: re.Match) -> str:
         word = m.group(0)
         letters = sum(c.isalpha() for c in word)
-        if letters == len(word) or letters * 2 < len(word) or _IDENT.match(word):
+        if letters == len(word):
+            return self._meant(word) or word
+        bare = word.rstrip("!|?")
+        pronoun = len(bare) == 2 and _VERB.search(m.string, 0, m.start())
+        meant = self._meant(bare) if len(bare) > 2 else None
+        if meant:
+            return meant + word[len(bare) :]
+        if letters * 2 < len(word) or (_IDENT.match(word) and not pronoun):
             return word
-        tail = ""
-        while word and word[-1] in "!|?":
-            word, tail = word[:-1], word[-1] + tail
-        word = word.translate(_LEET)
+        word, tail = bare.translate(_LEET), word[len(bare) :]
         return (self._unmasked(word) if any(c in _MASKS for c in word) else word) + tail
 
     def _hyphened(self, m: re.Match) -> str:
@@ -140,7 +156,9 @@ class Reader:
 
     def words(self, piece: str) -> list[str]:
         """Words and end marks of one folded piece between spaces."""
-        if not piece.isalpha():
+        if piece.isalpha():
+            piece = "v" in piece and self._meant(piece) or piece
+        else:
             piece = _SPREAD.sub(lambda m: re.sub(r"[^a-z]", "", m.group(0)), piece)
             piece = _LEETWORD.sub(self._word, piece)
             piece = _HYPHENED.sub(self._hyphened, piece)
