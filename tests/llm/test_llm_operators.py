@@ -50,6 +50,35 @@ def test_json_objects(spark):
     assert _cut(spark, good + bad + [(60, '["a", "b"]', "")]) == [50, 51]
 
 
+def test_prefixes_are_checked_whole(spark):
+    head = "Confirmamos que a equipa de apoio ao"
+    whole = [(i, f"Bom dia,\n\n{head} cliente recebeu o pedido {i} e vai responder em breve.", "") for i in range(6)]
+    other = [(10, f"Bom dia,\n\n{head} projeto trata deste assunto", "")]  # shares a head, is a prefix of nothing
+    once = [(20, "Bom dia,\n\nO relatório foi enviado ao departamento financeiro da empresa.", "")]
+    cut = [(21, "Bom dia,\n\nO relatório foi enviado ao departamento fin", "")]
+    assert _cut(spark, whole + other + once + cut) == [21]
+
+
+def test_clauses_loops_and_long_prefaces(spark):
+    whole = [(i, f"Bom dia,\n\nA reunião {i} passou para sexta-feira, de acordo com o manual.\n\nCumprimentos,\nEva", "") for i in range(3)]
+    good = json.dumps({"category": "other", "urgency": "low", "key_entities": ["a", "b"]})
+    preface = "Segue a análise pedida, com todos os campos do esquema. " * 8 + "\n\n"
+    rows = whole + [
+        (10, "Bom dia,\n\nO orçamento segue amanhã, de acord", ""), (11, "e " + "voltaremos a contactar a vossa equipa e " * 6 + "voltaremos a cont", ""),
+        (12, "e " + "voltaremos a contactar a vossa equipa e " * 6 + "voltaremos a contactar a vossa equipa", ""), (20, good, ""), (21, preface + good, ""), (22, preface + good[:-22], ""), (23, good[:30] + "…", ""),
+    ]
+    assert _cut(spark, rows) == [10, 11, 22, 23]
+
+
+def test_longer_copies_match_brute_force(spark):
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(60)})
+    units = spark.createDataFrame([(w, 1, i, 0) for i, w in enumerate(words)], "unit string, n0 bigint, n1 bigint, n2 bigint")
+    asked = spark.createDataFrame([(w,) for w in words[::2] + ["", "zz", "é"]], "unit string")
+    got = {r["unit"]: r["longer"] for r in truncation.longer_copies(units, asked).collect()}
+    assert got == {a: sum(1 + i for i, w in enumerate(words) if w.startswith(a) and w != a) for a in words[::2] + ["", "zz", "é"]}
+
+
 def test_copies_of_a_cut_text_are_no_evidence(spark):
     whole = [(i, _mail(i), "") for i in range(60)]
     cut = "Bom dia,\n\nO técnico estará nas vossas inst"
