@@ -281,12 +281,23 @@ def test_placed_frame(spark):
     got = packing.placed(spark.createDataFrame(items, "id bigint, n bigint"), "id", "n", kinds, "kind", "cap").toPandas()
     small = got[got.container_kind == "k"]
     assert sorted(small[small.id == 2].n_tokens) == [5, 10, 10] and (got[got.container_kind == "l"].groupby("id").size().drop(9) == 1).all()
-    assert len(small[small.id == 9]) == 2 and set(got.id) == {0, 1, 2, 3, 4, 5, 9}
+    assert len(small[small.id == 9]) == 2 and (got.container_id.isna() == got.id.isin([7, 8])).all()
+    assert got.id.isna().sum() == 2 and set(got.id.dropna()) == {0, 1, 2, 3, 4, 5, 7, 8, 9}
     used = packing.containers_of(spark.createDataFrame(got)).toPandas()
-    assert (used.unused_tokens >= 0).all() and used[used.container_kind == "k"].used_tokens.sum() == 73
+    assert (used.unused_tokens >= 0).all() and used[used.container_kind == "k"].used_tokens.sum() == 77
     assert packing.placed(spark.createDataFrame([], "id bigint, n bigint"), "id", "n", kinds, "kind", "cap").count() == 0
 
 
+def test_hot_keys_and_lengths_are_spread(spark):
+    items = spark.range(400).select(F.lit(1).alias("id"), F.lit(10).alias("n"))
+    kinds = spark.createDataFrame([("k", 100)], "kind string, cap int")
+    used = packing.containers_of(packing.placed(items, "id", "n", kinds, "kind", "cap"))
+    assert used.count() == 40 and used.where("unused_tokens > 0").count() == 0
+    parts = packing.placed(items, "id", "n", kinds, "kind", "cap", group=100)
+    groups = parts.groupBy((F.col("container_id") % 4).alias("g")).count().toPandas()
+    assert len(groups) == 4 and groups["count"].max() < 160
+
+
 # ---- mixing
 
 def test_mix_keeps_shares_and_caps(spark):
@@ -302,11 +313,22 @@ def test_mix_keeps_shares_and_caps(spark):
     cells = mixing.plan(df.select("source", "n_tokens"), targets)
     for (m, s), c in cells.items():  # the rates solve the dual
         t = np.array([x[2] for x in docs if x[1] == s], float)
-        rate = np.minimum(c["cap"], np.exp(c["l"] * t / c["mean"]))
+        rate = np.minimum(c["cap"], np.exp(np.minimum(c["l"] * t / c["mean"], 50.0)))
         assert abs((rate * t).sum() - c["target"]) < 1e-6 * c["target"]
+        far = mixing.plan(df.select("source", "n_tokens"), targets, histogram=0)[m, s]
+        assert far["l"] == pytest.approx(c["l"], rel=1e-6)  # the same by jobs
     assert mixing.selection(df.limit(0), targets).count() == 0
 
 
+def test_mix_takes_all_it_can_and_repeated_keys_stand_apart(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 1, "s", 10 + i % 7) for i in range(300)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("m", "s", 1.0, 1), ("h", "s", 1.0, 1)], "mix_id string, source string, target_share double, max_repeats int")
+    got = mixing.selection(docs, targets)
+    assert got.where("mix_id = 'm'").count() == 300 and got.where("copies > 1").count() == 0
+    half = mixing.selection(docs, targets, fill=0.5).where("mix_id = 'm'").agg(F.sum(F.col("copies") * F.col("n_tokens"))).head()[0]
+    assert abs(half - docs.agg(F.sum("n_tokens")).head()[0] / 2) <= 8  # half of the shortest
+
+
 # ---- abuse
 
 def test_phrases_alone_tell_kinds_apart():

@@ -7,7 +7,8 @@ next container starts. The first candidates of a container are drawn from all le
 shortest alike; the other lengths follow where these do not fill it.
 
 Items longer than a container are cut into full containers and a rest; no other item is cut. Items are
-spread over groups of bounded size by a hash, each group is packed on its own, so no task
+numbered when they are written and spread over groups of bounded size by a hash of that number, so a key or length
+that holds a third of all rows is spread like any other. Each group is packed on its own: no task
 sees more than a group and the only waste of grouping is one last container for each group.
 """
 
@@ -93,21 +94,23 @@ def placed(items: DataFrame, key: str, size: str, containers: DataFrame, kind: s
     """One row for each part of each item and kind of container: ``container_kind``, ``container_id``
     (unique within its kind), ``key``, ``part`` from 0, ``first_token``, ``n_tokens``, ``capacity_tokens``.
 
-    Items without a key or size, and sizes below 0, are refused; an item of size 0 takes part as one part.
-    Repeated rows are items of their own. An empty table gives an empty table. ``containers`` is a small
-    dimension table of at most ``KINDS`` rows, which is checked.
+    An item without a key is packed like any other. One without a size, or with a size below 0, comes out once for each
+    kind with neither container nor tokens (NULL); an item of size 0 takes part as one part. Repeated rows are items of
+    their own. An empty table gives an empty table. ``containers`` is a small dimension table of at most ``KINDS`` rows,
+    which is checked.
     """
     spark = items.sparkSession
     ship(spark)
-    rows = items.where(F.col(key).isNotNull() & (F.col(size) >= 0)).select(F.col(key).alias("key"), F.col(size).cast("long").alias("size"))
-    rows = written(rows, "sizes")
+    every = written(items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size"), F.monotonically_increasing_id().alias(RESERVED + "n")), "sizes")
+    rows = every.where("size >= 0")
     groups = max(1, -(-rows.count() // group))
-    rows = rows.withColumn(RESERVED + "g", F.pmod(F.xxhash64("key", "size"), F.lit(groups)))
+    rows = rows.select("key", "size", F.pmod(F.xxhash64(RESERVED + "n"), F.lit(groups)).alias(RESERVED + "g"))
     kinds = containers.where(F.col(capacity) > 0).select(F.col(kind).cast("string").alias("kind"), F.col(capacity).cast("long").alias("capacity")).distinct().limit(KINDS + 1).collect()
     if len(kinds) > KINDS:
         raise ValueError(f"more than {KINDS} kinds of containers")
     each = F.array(*[F.struct(F.lit(k["kind"]).alias("kind"), F.lit(k["capacity"]).cast("bigint").alias("capacity")) for k in kinds]) if kinds else F.array().cast("array<struct<kind:string,capacity:bigint>>")
-    every = rows.select("*", F.inline(each))  # each item once for each kind
+    spread = rows.select("*", F.inline(each))  # each item once for each kind
+    unsized = every.where("size IS NULL OR size < 0").select("key", F.inline(each))
 
     key_type = items.schema[key].dataType.simpleString()
 
@@ -132,13 +135,15 @@ def placed(items: DataFrame, key: str, size: str, containers: DataFrame, kind: s
             }
         )
 
-    out = every.groupBy("kind", RESERVED + "g").applyInPandas(
+    out = spread.groupBy("kind", RESERVED + "g").applyInPandas(
         run, f"container_kind string, container_id bigint, key {key_type}, part int, first_token bigint, n_tokens bigint, capacity_tokens bigint"
     )
-    return out.withColumnRenamed("key", key)
+    none = F.lit(None).cast("bigint")
+    left = unsized.select(F.col("kind").alias("container_kind"), none.alias("container_id"), "key", F.lit(0).alias("part"), none.alias("first_token"), none.alias("n_tokens"), F.col("capacity").alias("capacity_tokens"))
+    return out.unionByName(left).withColumnRenamed("key", key)
 
 
 def containers_of(parts: DataFrame) -> DataFrame:
-    """Each container with its parts, tokens and unused space."""
-    used = parts.groupBy("container_kind", "container_id").agg(F.max("capacity_tokens").alias("capacity_tokens"), F.count(F.lit(1)).alias("n_parts"), F.sum("n_tokens").alias("used_tokens"))
+    """Each container with its parts, tokens and unused space; parts without a container are none."""
+    used = parts.where("container_id IS NOT NULL").groupBy("container_kind", "container_id").agg(F.max("capacity_tokens").alias("capacity_tokens"), F.count(F.lit(1)).alias("n_parts"), F.sum("n_tokens").alias("used_tokens"))
     return used.withColumn("unused_tokens", F.col("capacity_tokens") - F.col("used_tokens"))
