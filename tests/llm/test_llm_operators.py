@@ -151,12 +151,12 @@ def profiles():
 
 def test_languages_and_passages(profiles):
     mixed = "Bom dia,\n\nAgradecemos que confirme a receção da encomenda. Please let us know whether the delivery has arrived. Necesitamos la dirección completa lo antes posible."
-    assert [p[2] for p in profiles.passages(mixed)] == ["pt-pt", "en", "es"]
-    assert [p[2] for p in profiles.passages("A gente está verificando o cadastro e você recebe pelo celular.")] == ["pt-br"]
-    assert [p[2] for p in profiles.passages("Estamos a tratar do registo e a equipa contactá-lo-á pelo telemóvel.")] == ["pt-pt"]
-    assert profiles.passages("") == [] and profiles.passages("12 !!") == [] and len(profiles.passages("Olá")) == 1
+    assert [p[2] for p in profiles.passages([mixed])[0]] == ["pt-pt", "en", "es"]
+    assert [p[2] for p in profiles.passages(["A gente está verificando o cadastro e você recebe pelo celular."])[0]] == ["pt-br"]
+    assert [p[2] for p in profiles.passages(["Estamos a tratar do registo e a equipa contactá-lo-á pelo telemóvel."])[0]] == ["pt-pt"]
+    assert profiles.passages(["", None, "12 !!"]) == [[], [], []] and len(profiles.passages(["Olá"])[0]) == 1 and profiles.passages([]) == []
     text_ = "Merci de nous indiquer votre adresse complète. " * 400
-    found = profiles.passages(text_)
+    found = profiles.passages([text_])[0]
     assert len(found) == 1 and found[0][2] == "fr" and found[0][1] == len(text.clean(text_).rstrip()) and 0 <= found[0][3] <= 1
 
 
@@ -165,6 +165,15 @@ def test_held_out_accuracy(profiles):
     assert {k: profiles.name(v)[0] for k, v in held.items()} == {k: k for k in held}
 
 
+def test_products_are_those_of_vectors(profiles):
+    said = ["A gente está verificando o cadastro.", "Le confirmamos que el pedido sale mañana.", "Please let us know.", "o o o o", "x"]
+    codes = [language_id.coded(t) for t in said]
+    x = language_id.Space().bundles(codes) - profiles.prototypes[-1]
+    exact = x / np.linalg.norm(x, axis=1, keepdims=True) @ profiles.prototypes[:-1].T
+    got = profiles.cosines(codes)
+    assert np.abs(got - exact).max() < 0.08 and (got.argmax(1)[:3] == exact.argmax(1)[:3]).all()
+
+
 def test_labels_and_frames(spark, profiles):
     assert [language_id.label(x) for x in ("PT_pt", " pt-PT ", "en-gb", "ES", "zxx", "", None, "??", "mixed")] == ["pt-pt", "pt-pt", "en", "es", None, None, None, None, None]
     df = spark.createDataFrame([("a", "The meeting has moved to Monday morning."), ("b", None), (None, "La réunion est reportée à lundi matin.")], "id string, t string")

@@ -3,31 +3,34 @@
 Every letter has a fixed random vector of +1 and -1. An n-gram of letters is the product of its letters'
 vectors, each rotated by its place (binding by permutation); the n-grams are all trigrams and all whole
 words. A passage is the sum of its n-grams (bundling), less what all languages share; a language is the
-sum of passages known to be in it. A passage gets the language of the prototype with the largest cosine. Prototypes that share most of their n-grams, as two varieties of one
+sum of passages known to be in it. A passage gets the language of the prototype with the largest cosine; nothing
+overrules it. Prototypes that share most of their n-grams, as two varieties of one
 language do, are told apart by the usual corrective passes: where a training passage is nearest to the
-wrong prototype, it is added to the right one and taken from the wrong one.
-
-An exact check follows: where stopwords speak clearly for another language, or marks of Brazilian or
-European usage for the other variety, they decide; a passage of Portuguese without Brazilian usage is
-European.
+wrong prototype, it is added to the right one and taken from the wrong one. Portuguese is European unless the
+Brazilian prototype leads by ``CLEAR``.
 
 Prototypes are fitted from the phrases below and a bounded sample of labelled documents whose labels
-may be wrong: passages that disagree with the first fit are left out of the second. What is
-broadcast is six vectors of ``DIMENSIONS`` numbers, whatever the data.
+may be wrong: words of Brazilian and European usage correct the labels of training passages, and passages that
+disagree with the first fit are left out of the second.
+
+The product of a sum with a prototype is the sum of its n-grams' products, so what tasks get is a table of products for
+the 39^3 trigrams; those of words are computed where a word is first met. A batch of passages is scored at once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridraft.llm.languages import usage, voted
-from veridraft.llm.text import WORD, clean, fold, sentences
+from veridraft.llm.languages import usage
+from veridraft.llm.text import clean, fold, sentences
 from veridraft.session import RESERVED, ship, spread
 
 LANGUAGES = ("pt-pt", "pt-br", "en", "es", "fr")
@@ -39,7 +42,9 @@ PASSES, LEAST_WORDS, OPEN_WORDS = 20, 4, 7
 #: and how fast confidence grows with the lead.
 WORD_WEIGHT, MARGIN, STEP, SHARPNESS = 3.0, 0.15, 0.05, 6.0
 #: Lead from which Portuguese without a known mark of usage is taken for Brazilian.
-CLEAR = 0.4
+CLEAR = 0.1
+#: Passages scored at once.
+CHUNK = 4096
 #: Letters of folded text; anything else is a space. Accents that tell languages apart keep a letter of their own.
 LETTERS = " abcdefghijklmnopqrstuvwxyzçñãõéèêàáóíú"
 
@@ -73,7 +78,8 @@ PHRASES = {
 
 _CODE = {c: i for i, c in enumerate(LETTERS)}
 _BASE = len(LETTERS)
-_NAMED = re.compile(r"\b[A-ZÀ-Ý][\w'’-]*(?:\s+(?:d[aeo]s?\s+|&\s+)?[A-ZÀ-Ý][\w'’-]*)+|https?://\S+|\S+@\S+|\b[A-Z]{2,}\b[-/ ]?\d*|\d+")
+_NAMED = regex.compile(r"\b[A-ZÀ-Ý](?:[\w'’-]*(?:\s+(?:d[aeo]s?\s+|&\s+)?[A-ZÀ-Ý][\w'’-]*)+|[A-Z]+\b)")
+_ADDRESS = re.compile(r"https?://\S+|[^\s@]+@\S+")
 
 _GREETED = re.compile(
     r"(?:dear|hello|hi|good (?:morning|afternoon|evening)|to whom|buen[oa]s|estimad[oa]s?|muy|hola|madame|monsieur|bonjour|ch[eè]re?|bom dia|boa (?:tarde|noite)|car[oa]|exm[oa]s?|ol[aá]|oi|prezad[oa])\b"
@@ -81,52 +87,70 @@ _GREETED = re.compile(
 )
 
 
+def _codes() -> bytes:
+    table = bytearray(256)
+    for b in range(256):
+        c = bytes([b]).decode("cp1252", "replace").lower()
+        table[b] = _CODE.get(c, _CODE.get(fold(c)[:1], 0))
+    return bytes(table)
+
+
+#: Bytes of Western texts to letter numbers.
+_WESTERN = _codes()
+_GAPS = re.compile(rb"\0{2,}")
+
+
+def coded(text: str) -> bytes:
+    """The letter numbers of a cleaned passage, names, numbers and addresses apart, with a space before and after."""
+    if "@" in text or "http" in text:
+        text = _ADDRESS.sub(" ", text)
+    plain = text if text.isupper() else _NAMED.sub(" ", text)
+    return _GAPS.sub(b"\0", b"\0" + plain.encode("cp1252", "replace").translate(_WESTERN) + b"\0")
+
+
 def letters(text: str) -> np.ndarray:
-    """The letter numbers of a cleaned passage, names, numbers and addresses apart."""
-    plain = _NAMED.sub(" ", text) if not text.isupper() else text
-    lowered = plain.lower()
-    out, last = [0], 0
-    for c in lowered:
-        n = _CODE.get(c)
-        if n is None:
-            n = _CODE.get(fold(c)[:1], 0)
-        if n or last:
-            out.append(n)
-        last = n
-    if out[-1]:
-        out.append(0)
-    return np.array(out, np.int32)
+    return np.frombuffer(coded(text), np.uint8).astype(np.int32)
 
 
 class Space:
-    """The random vectors: letters, trigrams and, as they are met, words."""
+    """The random vectors: of letters, and of trigrams and words as products of them."""
 
     def __init__(self):
         rng = np.random.default_rng(SEED)
         self.base = rng.choice(np.array([-1, 1], np.int8), (_BASE, DIMENSIONS))
-        pairs = np.roll(self.base, 2, axis=1)[:, None, :] * np.roll(self.base, 1, axis=1)[None, :, :]
-        self.trigrams = (pairs[:, :, None, :] * self.base[None, None, :, :]).reshape(-1, DIMENSIONS)
-        self.words: dict[bytes, np.ndarray] = {}
+        self.pairs = (np.roll(self.base, 2, axis=1)[:, None, :] * np.roll(self.base, 1, axis=1)[None, :, :]).reshape(-1, DIMENSIONS)
+        self._words: dict[bytes, np.ndarray] = {}
 
-    def word(self, code: np.ndarray) -> np.ndarray:
-        key = code.tobytes()
-        found = self.words.get(key)
+    def word(self, code: bytes) -> np.ndarray:
+        found = self._words.get(code)
         if found is None:
             found = np.ones(DIMENSIONS, np.int8)
             for place, c in enumerate(code[::-1]):
                 found = found * np.roll(self.base[c], place + 3)
-            if len(self.words) < 8192:
-                self.words[key] = found
+            if len(self._words) < 8192:
+                self._words[code] = found
         return found
 
-    def bundle(self, x: np.ndarray) -> np.ndarray:
-        """The unit vector of a passage, given its letter numbers."""
-        total = self.trigrams[(x[:-2] * _BASE + x[1:-1]) * _BASE + x[2:]].sum(0, dtype=np.float32) if len(x) >= 3 else np.zeros(DIMENSIONS, np.float32)
-        gaps = np.flatnonzero(x == 0)
-        for a, b in zip(gaps[:-1], gaps[1:]):
-            if b - a > 1:
-                total += WORD_WEIGHT * self.word(x[a + 1 : b])
-        return total / max(float(np.linalg.norm(total)), 1e-9)
+    def bundles(self, codes: Sequence[bytes]) -> np.ndarray:
+        """The unit vectors of passages, given their letter numbers. Vectors are made for the trigrams met only."""
+        out = np.zeros((len(codes), DIMENSIONS), np.float32)
+        x = [np.frombuffer(c, np.uint8).astype(np.int32) for c in codes]
+        grams = [(c[:-2] * _BASE + c[1:-1]) * _BASE + c[2:] for c in x]
+        met, at = np.unique(np.concatenate([*grams, np.zeros(0, np.int32)]), return_inverse=True)
+        met = met.astype(np.int64)
+        vectors = self.pairs[met // _BASE] * self.base[met % _BASE]
+        for i, (code, own) in enumerate(zip(codes, np.split(at, np.cumsum([len(g) for g in grams])[:-1]) if codes else [])):
+            total = vectors[own].sum(0, dtype=np.int32).astype(np.float32)
+            for w in code.split(b"\0"):
+                if w:
+                    total += WORD_WEIGHT * self.word(w)
+            out[i] = total / max(float(np.linalg.norm(total)), 1e-9)
+        return out
+
+    def products(self, targets: np.ndarray) -> np.ndarray:
+        """For each trigram its vector's product with each target: what a sum of trigrams yields is the sum of these."""
+        pairs = self.pairs.astype(np.float32)
+        return np.stack([(pairs @ (self.base * t).T.astype(np.float32)).reshape(-1) for t in targets], 1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -138,17 +162,19 @@ def fit(passages: Sequence[tuple[str, str]]) -> np.ndarray:
     share. Wrong labels are expected: the phrases and all passages give a first fit, the passages it
     agrees with the final one."""
     space, index = Space(), {c: i for i, c in enumerate(LANGUAGES)}
-    known = [(space.bundle(letters(clean(t))), index[c]) for c, texts in PHRASES.items() for t in texts]
+    fixed = [(coded(clean(t)), index[c]) for c, texts in PHRASES.items() for t in texts]
+    known = list(zip(space.bundles([c for c, _ in fixed]), [y for _, y in fixed]))
     told: dict[bytes, dict[int, int]] = {}
-    for text, language in passages:
-        x = letters(clean(text))
+    for (text, language), times in Counter(passages).items():
+        text = clean(text)
+        x = coded(text)
         if language.startswith("pt"):
-            brazilian, european = usage(clean(text))
+            brazilian, european = usage(text)
             language = language if brazilian == european else LANGUAGES[int(brazilian > european)]
         if len(x) >= 16:
-            votes = told.setdefault(x.tobytes(), {})
-            votes[index[language]] = votes.get(index[language], 0) + 1
-    sample = [(space.bundle(np.frombuffer(k, np.int32)), max(v, key=v.get)) for k, v in told.items()]
+            votes = told.setdefault(x, {})
+            votes[index[language]] = votes.get(index[language], 0) + times
+    sample = list(zip(space.bundles(list(told)), [max(v, key=v.get) for v in told.values()]))
 
     def train(items: list[tuple[np.ndarray, int]]) -> np.ndarray:
         x, y = np.array([v for v, _ in items], np.float32), np.array([c for _, c in items])
@@ -174,76 +200,120 @@ def fit(passages: Sequence[tuple[str, str]]) -> np.ndarray:
 
 
 class Profiles:
-    """Fitted prototypes; names the language of passages."""
+    """Fitted prototypes; names the language of passages. What tasks get are the products of each trigram's vector with the
+    prototypes, a table of 39^3 rows whatever the data; those of words are computed where they are met."""
 
     def __init__(self, prototypes: np.ndarray):
         self.prototypes = prototypes.astype(np.float32)
-        self._space: Space | None = None
-        self._cache: dict[str, tuple[str, float] | None] = {}
+        self.table = np.vstack([Space().products(self.prototypes), np.zeros((1, len(prototypes)), np.float32)])
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self._space, self._numbers, self._values = None, {}, [np.zeros(len(self.prototypes), np.float32)]
 
     def __getstate__(self) -> dict:
-        return {"prototypes": self.prototypes, "_space": None, "_cache": {}}
+        return {"prototypes": self.prototypes, "table": self.table}
 
-    def cosines(self, passage: str) -> np.ndarray:
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fresh()
+
+    def _word(self, code: bytes) -> int:
+        """The number of a word, whose products stand in ``_values``."""
         if self._space is None:
             self._space = Space()
-        return self.prototypes[:-1] @ _unit(self._space.bundle(letters(passage)) - self.prototypes[-1])
-
-    def name(self, passage: str) -> tuple[str, float] | None:
-        """Language and confidence of a cleaned passage, between 0 and 1; None if it has too few words."""
-        if passage in self._cache:
-            return self._cache[passage]
-        words = re.findall(r"[^\W\d_]+", passage if passage.isupper() else _NAMED.sub(" ", passage))
-        if len(words) < (LEAST_WORDS if passage.rstrip(" \"'»”)*")[-1:] in ".!?…:;" else OPEN_WORDS):
-            out = None
-        else:
-            c = self.cosines(passage)
-            first, second = np.sort(c)[::-1][:2]
-            out = self._checked(passage, c, float(np.tanh(SHARPNESS * (first - second))))
-        if len(self._cache) > 20_000:
-            self._cache.clear()
-        self._cache[passage] = out
+        at = self._numbers[code] = len(self._values)
+        self._values.append(self.prototypes @ (WORD_WEIGHT * self._space.word(code)))
+        return at
+
+    def cosines(self, codes: Sequence[bytes]) -> np.ndarray:
+        """The cosine of each passage with each language. Vectors of different n-grams are as good as orthogonal, so a
+        passage's length is that of its counts."""
+        if len(self._values) > 300_000:
+            self._fresh()
+        n, n_tri = len(codes), len(self.table) - 1
+        sizes = np.array([len(c) for c in codes])
+        ends = np.cumsum(sizes)
+        x = np.frombuffer(b"".join(codes) + b"\0\0", np.uint8).astype(np.int32)
+        grams = (x[:-2] * _BASE + x[1:-1]) * _BASE + x[2:]
+        for back in (1, 2):
+            grams[ends - back] = n_tri  # n-grams do not reach into the next passage
+        total = np.add.reduceat(self.table[grams], ends - sizes, axis=0)
+        words, counts, number = [], np.zeros(n, np.int64), self._numbers
+        for i, c in enumerate(codes):
+            own = c[1:-1].split(b"\0") if len(c) > 2 else []
+            counts[i] = len(own)
+            words += [number.get(w) or self._word(w) for w in own]
+        of = np.repeat(np.arange(n), counts)
+        words = np.array(words, np.int64)
+        values = np.array(self._values)
+        for j in range(total.shape[1]):
+            total[:, j] += np.bincount(of, values[words, j], n)
+        squares = np.zeros(n)
+        for item, where, weight in ((grams.astype(np.int64), np.repeat(np.arange(n), sizes), 1.0), (words, of, WORD_WEIGHT**2)):
+            keys, times = np.unique(where * (1 << 32) + item, return_counts=True)
+            squares += np.bincount(keys >> 32, weight * times.astype(float) ** 2 * ((keys & 0xFFFFFFFF) != n_tri if weight == 1.0 else 1), n)
+        unit = total / np.maximum(np.sqrt(squares * DIMENSIONS), 1e-9)[:, None]
+        shared = self.prototypes[-1]
+        left = np.sqrt(np.maximum(1 - 2 * unit[:, -1] + shared @ shared, 1e-9))
+        return (unit[:, :-1] - self.prototypes[:-1] @ shared) / left[:, None]
+
+    def named(self, passages: Sequence[str]) -> list[tuple[str, float] | None]:
+        """Language and confidence between 0 and 1 of each cleaned passage; None where it has too few words. Portuguese
+        is European unless Brazilian usage leads clearly."""
+        out: list[tuple[str, float] | None] = [None] * len(passages)
+        codes, at = [], []
+        for i, p in enumerate(passages):
+            code = coded(p)
+            if code.count(b"\0") > (LEAST_WORDS if p.rstrip(" \"'»”)*")[-1:] in ".!?…:;" else OPEN_WORDS):
+                codes.append(code)
+                at.append(i)
+        for part in range(0, len(codes), CHUNK):
+            c = self.cosines(codes[part : part + CHUNK])
+            c[:, 1] -= CLEAR
+            ranked = np.sort(c, 1)
+            sure = np.tanh(SHARPNESS * (ranked[:, -1] - ranked[:, -2]))
+            for i, best, confidence in zip(at[part : part + CHUNK], c.argmax(1), sure):
+                out[i] = LANGUAGES[best], float(confidence)
         return out
 
-    def _checked(self, passage: str, c: np.ndarray, confidence: float) -> tuple[str, float]:
-        at = int(c.argmax())
-        told = voted(WORD.findall(fold(passage)), least=2.5, lead=2.0)
-        if told and not LANGUAGES[at].startswith(told):
-            own = [i for i, x in enumerate(LANGUAGES) if x.startswith(told)]
-            at, confidence = max(own, key=lambda i: c[i]), confidence / 2
-        if at <= 1:
-            brazilian, european = usage(passage)
-            if brazilian != european:
-                side = int(brazilian > european)
-            else:
-                side = int(brazilian > 0 and c[1] > c[0] or c[1] - c[0] > CLEAR)
-            at, confidence = side, confidence if side == at else confidence / 2
-        return LANGUAGES[at], confidence
+    def name(self, passage: str) -> tuple[str, float] | None:
+        return self.named([passage])[0]
 
-    def passages(self, text: str) -> list[tuple[int, int, str, float]]:
-        """Passages in one language each: start, end, language, confidence. Greetings, names and other
+    def passages(self, texts: Sequence[str]) -> list[list[tuple[int, int, str, float]]]:
+        """Passages in one language each, of each text: start, end, language, confidence. Greetings, names and other
         short pieces go with the passage before them, the first ones with the one after."""
-        text = clean(text)
-        pieces, at = [], 0
-        for s in sentences(text):
-            start = text.index(s, at)
-            at = start + len(s)
-            greeting = _GREETED.match(s)  # in one line with what follows it
-            if greeting:
-                pieces.append((start, start + greeting.end(), None))
-                start += greeting.end()
-            pieces.append((start, at, self.name(text[start:at])))
-        named = [n for _, _, n in pieces if n]
-        if not named:
+        cut: list[list[tuple[int, int, str | None]]] = []
+        said: dict[str, tuple[str, float] | None] = {}
+        texts = [clean(t) for t in texts]
+        for text in texts:
+            pieces, at = [], 0
+            for s in sentences(text):
+                start = text.index(s, at)
+                at = start + len(s)
+                greeting = _GREETED.match(s)  # in one line with what follows it
+                if greeting:
+                    pieces.append((start, start + greeting.end(), None))
+                    start += greeting.end()
+                    s = text[start:at]
+                said[s] = None
+                pieces.append((start, at, s))
+            cut.append(pieces)
+        said = dict(zip(said, self.named(list(said))))
+        return [self._joined(text, [(a, b, said[s] if s is not None else None) for a, b, s in pieces]) for text, pieces in zip(texts, cut)]
+
+    def _joined(self, text: str, pieces: list[tuple[int, int, tuple[str, float] | None]]) -> list[tuple[int, int, str, float]]:
+        first = next((found for _, _, found in pieces if found), None)
+        if first is None:
             if not re.search(r"[^\W\d_]", text):
                 return []
-            return [(0, len(text), LANGUAGES[int(self.cosines(text).argmax())], 0.0)]
+            return [(0, len(text), LANGUAGES[int(self.cosines([coded(text)])[0].argmax())], 0.0)]
         out: list[list] = []
         for start, end, found in pieces:
             if out and (found is None or out[-1][2] == found[0]):
                 out[-1][1] = end
             else:
-                out.append([start, end, (found or named[0])[0], 0.0, 0])
+                out.append([start, end, (found or first)[0], 0.0, 0])
             if found:
                 out[-1][3] += found[1] * (end - start)
                 out[-1][4] += end - start
@@ -290,7 +360,7 @@ def passages(df: DataFrame, content: str, keys: Sequence[str], profiles: Profile
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[names].copy()
-            out["passages"] = [[{"start": a, "end": b, "lang": c, "confidence": f} for a, b, c, f in profiles.passages(t)] for t in batch[RESERVED + "text"]]
+            out["passages"] = [[{"start": a, "end": b, "lang": c, "confidence": f} for a, b, c, f in found] for found in profiles.passages(batch[RESERVED + "text"].tolist())]
             yield out
 
     types = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for c, n in zip(columns, names))
