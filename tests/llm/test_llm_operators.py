@@ -114,6 +114,30 @@ def test_frequent_residue_does_not_become_prose(spark, page, kind):
     assert got == {1000 + i: kind for i in range(100)}
 
 
+HELD_OUT = (
+    ("Caro {{ destinatario_principal }},\n\nA proposta segue em anexo.", "slot"), ("Caro [Cargo do Responsável],\n\nA proposta segue em anexo.", "slot"), ("A reunião foi marcada para <<Hora da Reunião>>.", "slot"),
+    ("O valor é de ${montante_em_divida} e vence amanhã.", "slot"), ("A proposta segue em anexo.\n\n(preencher cargo da pessoa)", "slot"), ("O processo %REFERENCIA_INTERNA% foi arquivado.", "slot"), ("Estimada undefined,\n\nA proposta segue em anexo.", "slot"),
+    ("Bom dia,\n\nSed dolore nostrud magna veniam ipsum aliquip voluptate tempor elit.\n\nCumprimentos,\nRui", "filler"), ("Bom dia,\n\nqwerty asdf zxcv asdfgh qwerty jkl zxcv asdf\n\nCumprimentos,\nRui", "filler"),
+    ("Error 502: Service Temporarily Unavailable. Request ID: 77af", "notice"), ("Esta página não existe ou ocorreu um erro interno no servidor.", "notice"), ("You need to enable scripts and cookies to view this page.", "notice"),
+)
+NO_CASES = (
+    "O projeto usa a norma [2024] e o texto [ver anexo].", "Já trocámos o texto lorem ipsum da maqueta pela versão final do catálogo e enviamos a prova para aprovação.",
+    "O erro 404 que comunicou foi corrigido ontem pela nossa equipa e a página já pode ser consultada sem restrições.", "O ficheiro está em https://apoio.example/a/b e a palavra-passe segue à parte.", "O SÉCULO XX FOI O TEMA DA EXPOSIÇÃO (E DO CATÁLOGO).",
+)
+
+
+def test_residue_beyond_the_phrases():
+    prose = [_mail(i) for i in range(200)] + [t for t in NO_CASES]
+    raw = residue._joined([residue._bytes(t) for t in prose])
+    counts = residue._count(residue._inner(residue._letters(raw))), residue._count(residue._inner(residue._shapes(raw)[0]))
+    model = residue.Model(residue.ratios(counts))
+    phrases = " ".join(residue.SLOTS + residue.FILLER + residue.NOTICES)
+    assert not any(t in phrases for t, _ in HELD_OUT)
+    assert [k for k, _ in model.judge([t for t, _ in HELD_OUT])] == [k for _, k in HELD_OUT]
+    assert [k for k, _ in model.judge([f"Bom dia,\n\n{t}\n\nCumprimentos,\nEva" for t in NO_CASES])] == [None] * len(NO_CASES)
+    assert model.judge(["", None, "x", "null", "\n"]) [3][0] == "slot" and model.judge([]) == []
+
+
 # ---- repetition
 
 def _share(t, n=5):
@@ -200,10 +224,20 @@ def test_defects(answer, refusal, expected):
 def test_long_refusals():
     reasons = " ".join(f"O motivo {w} é que o texto envolve dados de outras pessoas e regras internas da empresa." for w in ("principal", "seguinte", "terceiro", "quarto", "quinto", "final"))
     long = f"Lamento, mas não posso ajudar com este pedido. {reasons}\n\nEm alternativa, pode contactar o apoio ao cliente."
-    assert len(long.split()) > pairs.SHORT and pairs.defect(long, None, None) == "refusal"
+    assert pairs.defect(long, None, None) == "refusal" and pairs.declines(long, text.fold(long))
     assert pairs.defect(f"Bom dia,\n\nLamento, mas não posso aceitar este pedido. {reasons}\n\nCumprimentos,\nEva", None, None) is None
 
 
+def test_size_is_no_switch():
+    late = "O texto descreve o caso. " * 9 + "Por isso não posso escrever este email."
+    assert pairs.defect(late, None, None) == "refusal"
+    titles = "**Assunto:** Re: AVR-1\n" * 60 + "Bom dia,\n\nCumprimentos,\nRui"
+    assert len(titles.split()) > 80 and pairs.defect(titles, PROMPT, None) == "empty"
+    long = PROMPT + " Indique o contacto do responsável pelo arquivo e refira as regras internas de conservação de documentos da empresa."
+    assert pairs.defect(long, long, None) == "copy" and pairs.defect(f"{long}\n\n{long}\n\n{long}", long, None) == "copy"
+    assert pairs.defect(f"{long}\n\nSegue em anexo a lista completa, como pediu.", long, None) is None
+
+
 @pytest.mark.parametrize("end,cut", [
     ("Segue em anexo a fatura (ref.", True), ("Confirme o texto «Pedido urgente.", True), ("Ver os anexos [um, dois;", True), ('Disse "sim, claro.', True), ("Segue a fatura (ref. 5).", False), ("Até amanhã :(", False), ('Um ecrã de 24" e outro de 27 polegadas.', False), ("a) Fatura", False),
 ])

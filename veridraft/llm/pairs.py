@@ -3,12 +3,13 @@
 The response walks the suffix automaton of its prompt's words, which gives the share of the response
 that is the prompt's own wording, in any order. Automata of refusal phrases (Aho-Corasick) find
 declined tasks, a stack of delimiters finds what was opened and never closed, and votes of stopwords
-give the languages of prompt and response. Truncation is the prefix join of ``truncation``, or a last line that ends
-inside a bracket or quotation by the stack, which that join does not judge where a mark stands at the end.
+give the languages of prompt and response. Truncation is the prefix test of ``truncation``, or a last line that ends
+inside a bracket or quotation by the stack, which that test does not judge where a mark stands at the end. Nothing
+depends on how long a text is: shares decide.
 
-Pairs are made by one equi join on the prompt's id; a prompt that a third of all answers share is
-split by adaptive execution, as prompts are unique. Rows stay in their task after that, and only
-flagged rows are looked up again.
+The responses are read once and cleaned once. Pairs are made by one equi join on the prompt's id; a prompt that a third
+of all answers share is split by adaptive execution, as prompts are unique. Defects, repetition and residue are judged in
+the same mapper, which passes on keys only.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,16 +27,19 @@ from pyspark.sql import functions as F
 from veridraft.llm import repetition, residue, truncation
 from veridraft.llm.languages import EXCLUSIVE, voted
 from veridraft.llm.text import WORD, clean, fold, sentences
-from veridraft.session import RESERVED, ship, written
+from veridraft.session import RESERVED, ship
 
 DEFECTS = ("empty", "refusal", "truncated", "copy", "language")
-#: Words in a row from which wording counts as the prompt's own, and the words a reply must have beyond it.
-COPIED_RUN, REPLY_WORDS = 4, 5
-#: Share of a response's words that a copy takes from its prompt.
-COPIED_SHARE = 0.7
-#: A text of more words than this is not empty, and no refusal if it holds a finished email; one with this share of its expected
-#: language's own stopwords is in it.
-SHORT, EXPECTED_SHARE = 80, 0.15
+#: Words in a row from which wording counts as the prompt's own.
+COPIED_RUN = 4
+#: Share of a response's words that a copy takes from its prompt, and of a sentence's words that are its own if it replies.
+COPIED_SHARE, OWN_SHARE = 0.7, 0.5
+#: Share of the sentences of a finished email that decline the task in a refusal.
+REFUSED_SHARE = 0.25
+#: A text with this share of its expected language's own stopwords is in it.
+EXPECTED_SHARE = 0.15
+#: Lines at the end in which a closing is looked for.
+TAIL = 5
 
 # How a model declines, and what it declines to do (folded).
 _DECLINES = (
@@ -109,9 +114,10 @@ class SuffixAutomaton:
                     self.link[q] = self.link[new] = clone
             last = new
 
-    def walk(self, words: list[str], run: int) -> int:
-        """How many of ``words`` lie in runs of at least ``run`` words that this sequence holds."""
-        state = size = covered = upto = 0
+    def covered(self, words: list[str], run: int) -> list[bool]:
+        """Which of ``words`` lie in runs of at least ``run`` words that this sequence holds."""
+        state = size = upto = 0
+        out = [False] * len(words)
         for i, w in enumerate(words):
             while state and w not in self.next[state]:
                 state = self.link[state]
@@ -119,17 +125,49 @@ class SuffixAutomaton:
             if w in self.next[state]:
                 state, size = self.next[state][w], size + 1
             if size >= run:
-                covered += i + 1 - max(upto, i + 1 - size)
+                for j in range(max(upto, i + 1 - size), i + 1):
+                    out[j] = True
                 upto = i + 1
-        return covered
+        return out
+
+    def walk(self, words: list[str], run: int) -> int:
+        return sum(self.covered(words, run))
+
+
+class Prompt:
+    """A prompt's words, its suffix automaton, made when it is first walked, and the language its answer should be in."""
+
+    def __init__(self, text: str):
+        self.words = WORD.findall(fold(text))
+        self.known = frozenset(self.words)
+        asked = _ASKED.search(text)
+        self.expected = asked.lastgroup if asked else voted(self.words)
 
+    @functools.cached_property
+    def automaton(self) -> SuffixAutomaton:
+        return SuffixAutomaton(self.words)
 
-@functools.lru_cache(maxsize=64)
-def _prompt(text: str) -> tuple[SuffixAutomaton, int, str | None]:
-    """A prompt's automaton, its number of words, and the language its answer should be in."""
-    words = WORD.findall(fold(text))
-    asked = _ASKED.search(text)
-    return SuffixAutomaton(words), len(words), asked.lastgroup if asked else voted(words)
+    def copied(self, text: str, said: list[str]) -> bool:
+        """Whether a response is this prompt's wording and no reply: most words are covered, and no sentence
+        is its own."""
+        if not said or sum(map(self.known.__contains__, said)) < COPIED_SHARE * len(said):  # words a run cannot hold
+            return False
+        covered = self.automaton.covered(said, COPIED_RUN)
+        if sum(covered) < COPIED_SHARE * len(said):
+            return False
+        at = 0
+        for s in sentences(text):
+            n = len(WORD.findall(fold(s)))
+            own = n - sum(covered[at : at + n])
+            if own >= COPIED_RUN and own > OWN_SHARE * n:
+                return False
+            at += n
+        return True
+
+
+@functools.lru_cache(maxsize=4096)
+def _prompt(text: str) -> Prompt:
+    return Prompt(text)
 
 
 def unclosed(text: str) -> int:
@@ -163,7 +201,7 @@ def reply_of(text: str) -> list[str]:
     lines = [x for x in lines if x and not _FENCE.match(x)]
     while lines and (_HEADING.match(lines[0]) or _PREFACE.match(lines[0]) or _GREETING.match(lines[0])):
         lines.pop(0)
-    for i in range(len(lines) - 1, max(-1, len(lines) - 5), -1):
+    for i in range(len(lines) - 1, max(-1, len(lines) - TAIL), -1):
         if _CLOSING.match(lines[i]):
             lines = lines[:i]
             break
@@ -177,56 +215,61 @@ def finished(text: str) -> bool:
     return start is not None and any(_CLOSING.match(x) for x in lines[start + 1 :] if x)
 
 
-def declines(reply: list[str], text: str) -> bool:
-    """Whether the reply of ``text`` declines the task: one of its first two sentences does so, and little
-    follows, or at least no finished email."""
+def is_empty(text: str) -> bool:
+    """Whether a text holds no sentence of a reply: the first line that is no heading or greeting settles it where it is
+    no closing either."""
+    for x in text.split("\n"):
+        x = x.strip()
+        if not x or _FENCE.match(x) or _HEADING.match(x) or _PREFACE.match(x) or _GREETING.match(x):
+            continue
+        if len(x.split(None, 2)) > 1 and not _CLOSING.match(x) and len(WORD.findall(x)) > 1:
+            return False
+        break
+    return sum(len(WORD.findall(s)) for s in reply_of(text)) < 2
+
+
+def declines(text: str, folded: str) -> bool:
+    """Whether a text declines the task: a sentence of its reply says so, and no finished email follows or
+    a good part of its sentences say so."""
     refuse, task = _refusals()
-    for s in reply[:2]:
-        folded = fold(s)
-        if any(True for _ in refuse.iter(folded)) and any(True for _ in task.iter(folded)):
-            return (len(reply) <= 4 and len(WORD.findall(text)) <= SHORT) or not finished(text)
-    return False
+    if next(refuse.iter(folded), None) is None or next(task.iter(folded), None) is None:
+        return False
+    reply = [fold(s) for s in reply_of(text)]
+    said = sum(next(refuse.iter(s), None) is not None and next(task.iter(s), None) is not None for s in reply)
+    return said > 0 and (said >= REFUSED_SHARE * len(reply) or not finished(text))
 
 
 def defect(text: str, prompt: str | None, refusal: str | None) -> str | None:
-    """The defect of one pair, truncation by the prefix join apart. Without a prompt nothing is copied, and no language is
+    """The defect of one pair, truncation by the prefix test apart. Without a prompt nothing is copied, and no language is
     expected; a null response is an empty one."""
     text = clean(text)
     if refusal and refusal.strip():
         return "refusal"
+    if is_empty(text):
+        return "empty"
     folded = fold(text)
-    said = WORD.findall(folded)
-    reply = None
-    if len(said) <= SHORT:
-        reply = reply_of(text)
-        if sum(len(WORD.findall(s)) for s in reply) < 2:  # not even a sentence
-            return "empty"
-    if reply is not None or any(True for _ in _refusals()[0].iter(folded)):
-        reply = reply_of(text) if reply is None else reply
-        if declines(reply, text):
-            return "refusal"
+    if declines(text, folded):
+        return "refusal"
     if ends_open(text):
         return "truncated"
     if not prompt:
         return None
-    automaton, size, expected = _prompt(clean(prompt))
-    if len(said) <= 2 * size:
-        copied = automaton.walk(said, COPIED_RUN)
-        if copied >= COPIED_SHARE * len(said) and len(said) - copied <= REPLY_WORDS:
-            return "copy"
-    if expected:
-        own = EXCLUSIVE[expected]
-        if sum(w in own for w in said) >= EXPECTED_SHARE * len(said):
-            return None
-        words = [WORD.findall(fold(s)) for s in (reply_of(text) if reply is None else reply)]
+    said = WORD.findall(folded)
+    asked = _prompt(clean(prompt))
+    if asked.copied(text, said):
+        return "copy"
+    expected = asked.expected
+    if expected and sum(map(EXCLUSIVE[expected].__contains__, said)) < EXPECTED_SHARE * len(said):
+        words = [WORD.findall(fold(s)) for s in reply_of(text)]
         whole = voted([w for s in words for w in s], least=3.0)
         if whole and whole != expected and not any(voted(s) == expected for s in words):
             return "language"
     return None
 
 
-def _flagged(pairs: DataFrame) -> DataFrame:
-    """Rows ``key, defect`` of the pairs ``key, text, prompt, refusal``; repetitive texts are left out unless truncated."""
+def _flagged(pairs: DataFrame, model: residue.Model) -> DataFrame:
+    """Rows ``key, defect`` of the pairs ``key, text, prompt, refusal``; residue is left out, and repetitive texts unless
+    truncated."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -234,39 +277,52 @@ def _flagged(pairs: DataFrame) -> DataFrame:
             out = batch.assign(defect=found)
             out = out[[d is not None for d in found]]
             if len(out):
-                shares = repetition.measure(out["text"].tolist())["repeated_5"].to_numpy()
-                yield out.loc[(shares < repetition.LIMIT) | (out["defect"] == "truncated").to_numpy(), ["key", "defect"]]
+                texts = ["" if t is None else t for t in out["text"]]
+                kept = (repetition.measure(texts)["repeated_5"].to_numpy() < repetition.LIMIT) | (out["defect"] == "truncated").to_numpy()
+                yield out.loc[kept & np.array([k is None for k, _ in model.judge(texts)]), ["key", "defect"]]
 
-    ship(pairs.sparkSession)
     return pairs.mapInPandas(run, f"key {pairs.schema['key'].dataType.simpleString()}, defect string")
 
 
-def _paired(responses: DataFrame, prompts: DataFrame, key: str, prompt_id: str, content: str, refusal: str, prompt_key: str, prompt_text: str) -> tuple[DataFrame, DataFrame]:
-    """The responses alone, and each with its prompt."""
-    rows = responses.select(F.col(key).alias("key"), F.col(prompt_id).alias(RESERVED + "id"), F.col(content).alias("text"), F.col(refusal).alias("refusal"))
+def _without_residue(rows: DataFrame, model: residue.Model) -> DataFrame:
+    """``key`` of the rows ``key, text`` that are no residue."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[[k is None for k, _ in model.judge(batch["text"].tolist())], ["key"]]
+
+    return rows.select("key", "text").mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}")
+
+
+def _with_prompts(rows: DataFrame, prompts: DataFrame, prompt_key: str, prompt_text: str) -> DataFrame:
     asked = prompts.select(F.col(prompt_key).alias(RESERVED + "id"), F.col(prompt_text).alias("prompt"))
-    return rows, rows.join(asked, RESERVED + "id", "left").select("key", "text", "prompt", "refusal")
+    return rows.join(asked, RESERVED + "id", "left").select("key", "text", "prompt", "refusal")
+
+
+def _responses(responses: DataFrame, key: str, prompt_id: str, content: str, refusal: str) -> DataFrame:
+    return responses.select(F.col(key).alias("key"), F.col(prompt_id).alias(RESERVED + "id"), F.col(content).alias("text"), F.col(refusal).alias("refusal"))
 
 
 def evidence(responses: DataFrame, prompts: DataFrame, key: str, prompt_id: str, content: str, refusal: str, prompt_key: str = "id", prompt_text: str = "prompt") -> DataFrame:
     """What is measured of every pair: ``copied_share`` of the response's words that lie in the prompt's own wording,
-    ``unclosed`` delimiters, ``declined``, and the languages ``expected`` and ``answered``. Without a prompt nothing is copied."""
+    ``unclosed`` delimiters and whether the last line ``ends_open``, ``declined``, and the languages ``expected`` and ``answered``. Without a prompt nothing is copied."""
     ship(responses.sparkSession)
-    _, both = _paired(responses, prompts, key, prompt_id, content, refusal, prompt_key, prompt_text)
+    both = _with_prompts(_responses(responses, key, prompt_id, content, refusal), prompts, prompt_key, prompt_text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k, t, p, r in zip(batch["key"], batch["text"], batch["prompt"], batch["refusal"]):
                 text = clean(t)
-                said = WORD.findall(fold(text))
-                automaton, _, expected = _prompt(clean(p)) if p else (None, 0, None)
-                share = automaton.walk(said, COPIED_RUN) / len(said) if automaton and said else 0.0
-                out.append((k, share, unclosed(text), bool(r and r.strip()) or declines(reply_of(text), text), expected, voted(said)))
-            yield pd.DataFrame(out, columns=["key", "copied_share", "unclosed", "declined", "expected", "answered"])
+                folded = fold(text)
+                said = WORD.findall(folded)
+                asked = _prompt(clean(p)) if p else None
+                share = asked.automaton.walk(said, COPIED_RUN) / len(said) if asked and said else 0.0
+                out.append((k, share, unclosed(text), ends_open(text), bool(r and r.strip()) or declines(text, folded), asked and asked.expected, voted(said)))
+            yield pd.DataFrame(out, columns=["key", "copied_share", "unclosed", "ends_open", "declined", "expected", "answered"])
 
     kind = both.schema["key"].dataType.simpleString()
-    return both.mapInPandas(run, f"key {kind}, copied_share double, unclosed int, declined boolean, expected string, answered string").withColumnRenamed("key", key)
+    return both.mapInPandas(run, f"key {kind}, copied_share double, unclosed int, ends_open boolean, declined boolean, expected string, answered string").withColumnRenamed("key", key)
 
 
 def broken_pairs(responses: DataFrame, prompts: DataFrame, key: str, prompt_id: str, content: str, refusal: str, prompt_key: str = "id", prompt_text: str = "prompt", model: residue.Model | None = None) -> DataFrame:
@@ -276,14 +332,12 @@ def broken_pairs(responses: DataFrame, prompts: DataFrame, key: str, prompt_id:
     null prompt can still be empty, refused or truncated. Template residue and error pages are no
     pairs. An empty table gives an empty table; only the named columns are read.
     """
-    spark = responses.sparkSession
-    ship(spark)
-    rows, pairs = _paired(responses, prompts, key, prompt_id, content, refusal, prompt_key, prompt_text)
+    digest = RESERVED + "digest"
+    given = _responses(responses, key, prompt_id, content, refusal).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = truncation.cleaned(given, "text", digest)
+    texts = truncation.distinct_texts(rows, "text", digest)
+    model = model or residue.Model(residue.ratios(residue.prose_counts(texts, "text", distinct=True)))
+    cut = _without_residue(rows.join(truncation.cut_off(texts, "text", digest), digest, "left_semi"), model).withColumn("defect", F.lit("truncated"))
     order = F.create_map(*[x for i, d in enumerate(DEFECTS) for x in (F.lit(d), F.lit(i))])
-    cut = truncation.truncated(rows, "text", ["key"]).withColumn("defect", F.lit("truncated"))
-    found = _flagged(pairs).unionByName(cut).groupBy("key").agg(F.min_by("defect", order[F.col("defect")]).alias("defect"))
-    found = written(found, "defects")  # read twice below
-    texts = rows.select("key", "text").join(found, "key")
-    model = model or residue.Model(residue.ratios(residue.prose_counts(rows, "text")))
-    pages = residue.residue(texts, "text", ["key"], model).select("key")
-    return found.join(pages, "key", "left_anti").select(F.col("key").alias(key), "defect")
+    found = _flagged(_with_prompts(rows, prompts, prompt_key, prompt_text), model).unionByName(cut)
+    return found.groupBy("key").agg(F.min_by("defect", order[F.col("defect")]).alias("defect")).select(F.col("key").alias(key), "defect")

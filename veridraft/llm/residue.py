@@ -1,15 +1,18 @@
 """Template residue and error pages: slots never filled in, filler text, error notices and demands for
 scripts where a message should be.
 
-Two character n-gram models of residue are fitted on the phrases below, one on folded letters (filler
-and notices), one on shapes (slots: letters read a or A, digits 0). The models of natural prose are
-counted over the distinct texts of the table, so what is common there weighs little, and one text weighs once
-however often it was delivered. What is residue by the phrases alone stays out of these counts, so a frequent
-page, filler or slot does not become prose, even where each copy carries another number. Each text is then scored
-in windows of likelihood ratios; windows over the threshold localise residue. An exact check of the
-localised spans follows: a span is a slot if its delimiters enclose a field's name, it is filler if
-its words are, and a notice makes the text a case where it covers most of the message's body or
-stands before it. A finished message that speaks of errors or scripts stays under that coverage.
+Character n-gram models are fitted on the phrases below, one each for filler, notices and values never filled in, on
+folded letters, and one for slots on shapes (letters read a or A, digits 0, runs of them as two), in which only n-grams
+with a delimiter speak. The models of natural prose are counted over the distinct texts of the table, so what is common
+there weighs little, and one text weighs once however often it was delivered. What is residue by the phrases alone stays
+out of these counts, so a frequent page, filler or slot does not become prose, even where each copy carries another
+number.
+
+Each text is then scored in windows of likelihood ratios; windows over the threshold localise residue, and their coverage
+decides. A slot or value needs no more than its window, as one makes a message unusable. Filler must cover most of the
+sentence it stands in; a notice most of the message's body, or much of what stands before it. A finished message that
+speaks of errors, scripts or filler stays under that coverage. Patterns serve two ends only: to keep template syntax out
+of the counts of prose, and to measure the length of a slot that was found.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ SLOTS = (
     "[Your Name]", "[NOME_CLIENTE]", "[EMPRESA]", "[inserir nome]", "[inserir data de entrega]", "[insert date]", "[O Seu Nome]", "[[nome]]",
     "[[data_entrega]]", "<<Nome>>", "<<Data de Entrega>>", "<NOME>", "<ORDER_ID>", "<inserir nome aqui>", "<inserir data de entrega aqui>",
     "«Nome»", "«Data de Entrega»", "#NOME#", "#ORDER_ID#", "@@nome@@", "@@nome_cliente@@", "________", "[________]", "[...]", "[XXXX]", "XXXX",
-    "XX/XX/XXXX", "XXX.XX €", "XXX", "(preencher nome)", "(preencher nome do cliente)", "(inserir data)", "(fill in name)",
+    "XX/XX/XXXX", "XXX.XX €", "XXX", "(preencher nome)", "(preencher nome do cliente)", "(inserir data)", "(fill in name)", "[Nome da Empresa]", "[Your Company Name]", "%%NOME%%",
 )
-VALUES = ("null", "undefined", "null\n", "undefined\n", " null.", " undefined.", " null,", " undefined,", "NaN", "null null", "undefined undefined")
+VALUES = ("\nnull\n", "\nundefined\n", "\nNaN\n", " null.", " undefined.", " NaN.", " null,", " undefined,", " NaN,", " null ", " undefined ", " NaN ", ": null\n", ": undefined\n", ": NaN\n")
 FILLER = (
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
     "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
@@ -83,16 +86,23 @@ PROSE_SHARE = 0.2
 
 #: Buckets of hashed n-grams, and the n of both models.
 BITS, N = 16, 4
-#: Windows in characters and the mean log ratio over which a window is residue: of shapes, of letters
-#: (for lone words such as null), and of letters (for sentences).
-WINDOWS, THRESHOLDS = (4, 4, 20), (0.2, 3.0, 0.8)
+#: N-grams of a window and the mean log ratio from which it is residue: of slots, of values, of filler and notices.
+WINDOWS, THRESHOLDS = (3, 3, 17), (3.85, 5.0, 1.3)
+#: N-grams of a window of letters that calls for a look at short lines, and its ratio.
+SHORT, STRIKING = 6, 2.5
 #: A window is copied from the phrases where more than this share of its n-grams is theirs.
-COPIED = 0.8
-#: A notice makes the text a case where it covers this share of what stands first, or this share of the
+COPIED = 0.9
+#: Filler covers this share of its sentence; a notice this share of what stands first, or this share of the
 #: body under a greeting.
-COVERAGE, BODY_COVERAGE = 0.25, 0.5
+LINE_COVERAGE, COVERAGE, BODY_COVERAGE = 0.7, 0.25, 0.5
 
-_SHAPES = bytes(ord("a") if 97 <= b <= 122 or b >= 0xDF and b != 0xF7 else ord("A") if 65 <= b <= 90 or b >= 0xC0 and b != 0xD7 else ord("0") if 48 <= b <= 57 else b for b in range(256))
+_SHAPES = bytes(88 if b == 88 else ord("a") if 97 <= b <= 122 or b >= 0xDF and b != 0xF7 else ord("A") if 65 <= b <= 90 or b >= 0xC0 and b != 0xD7 else ord("0") if 48 <= b <= 57 else b for b in range(256))
+#: How long a run of one shape may grow; X stands for itself, as blanks are drawn with it.
+_RUNS = np.full(256, 1 << 30)
+_RUNS[[ord(c) for c in "aA0 .-"]] = 2
+_RUNS[ord("X")], _RUNS[ord("_")] = 3, 4
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[ord(c) for c in "aA0 .,:-\n"]] = True
 
 
 def _bytes(text: str) -> bytes:
@@ -110,40 +120,70 @@ def _grams(stream: np.ndarray) -> np.ndarray:
     return (h >> np.uint32(32 - BITS)).astype(np.int32)
 
 
-def _streams(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    joined = b"\n".join(texts)
-    return np.frombuffer(joined.translate(WESTERN), np.uint8), np.frombuffer(joined.translate(_SHAPES), np.uint8)
+def _letters(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw.translate(WESTERN), np.uint8)
 
 
-def _count(stream: np.ndarray) -> np.ndarray:
-    return np.bincount(_grams(stream), minlength=1 << BITS)
+def _shapes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shapes with their runs shortened, and where in the text each stands."""
+    x = np.frombuffer(raw.translate(_SHAPES), np.uint8)
+    place = np.arange(len(x))
+    fresh = np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
+    at = np.flatnonzero(place - np.maximum.accumulate(np.where(fresh, place, 0)) < _RUNS[x])
+    return x[at], at
 
 
-def ratios(prose: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Log likelihood ratios of residue against prose, for letters and for shapes."""
-    letters, _ = _streams([_bytes(t) for t in FILLER + NOTICES + VALUES * 5])
-    _, shapes = _streams([_bytes(f" {t} ") for t in SLOTS])
-    known = _count(_streams([_bytes(t) for t in PROSE])[0])
-    known = known * (PROSE_SHARE / (1 - PROSE_SHARE) * max(1, prose[0].sum()) / known.sum())
+def _joined(texts: Sequence[bytes]) -> bytes:
+    """The texts of a batch, each between line ends."""
+    return b"\n" + b"\n".join(texts) + b"\n"
+
+
+def _count(grams: np.ndarray) -> np.ndarray:
+    return np.bincount(grams, minlength=1 << BITS)
+
+
+def _inner(stream: np.ndarray) -> np.ndarray:
+    return _grams(stream)[: max(0, len(stream) - N + 1)]
+
+
+def _of_letters(phrases: Sequence[str]) -> np.ndarray:
+    return sum(_count(_inner(_letters(_bytes(t)))) for t in phrases)
+
+
+def _of_slots() -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the slots' n-grams, and which of these hold no delimiter."""
+    out, bare = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool)
+    for t in SLOTS:
+        for framed in (f" {t} ", f"\n{t}\n", f" {t},"):
+            x, _ = _shapes(_bytes(framed))
+            plain = np.concatenate([[0], np.cumsum(_PLAIN[x])])
+            grams = _inner(x)
+            out += _count(grams)
+            bare[grams[plain[N:] - plain[:-N] == N]] = True
+    return out, bare
+
+
+def ratios(prose: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log likelihood ratios against prose of slots (over shapes), values, filler and notices (over letters)."""
+    known = _of_letters(PROSE)
+    written = prose[0] + known * (PROSE_SHARE / (1 - PROSE_SHARE) * max(1, prose[0].sum()) / known.sum())
     out = []
-    for residue, common in ((_count(letters), prose[0] + known), (_count(shapes), prose[1])):
+    slots, bare = _of_slots()
+    for residue, common in ((slots, prose[1]), (_of_letters(VALUES), prose[0]), (_of_letters(FILLER), written), (_of_letters(NOTICES), written)):
         # a bucket never met speaks for neither
         p = (residue + 0.02) / (residue.sum() + 0.02 * residue.size)
-        q = (common + 0.5) / (common.sum() + 0.5 * residue.size)
+        q = (common + 0.05) / (common.sum() + 0.05 * residue.size)
         out.append(np.where(residue > 0, np.clip(np.log(p / q), -4, 8), np.where(common > 0, -1.5, 0)).astype(np.float32))
-    return out[0], out[1]
+    out[0][bare] = np.minimum(out[0][bare], 0)
+    return np.array(out)
 
 
 def _spans(flags: np.ndarray, width: int) -> list[tuple[int, int]]:
     """Runs of flagged window starts, as spans of characters."""
-    at = np.flatnonzero(flags)
-    if not len(at):
-        return []
-    breaks = np.flatnonzero(np.diff(at) > width)
-    return [(int(at[i]), int(at[j]) + width) for i, j in zip(np.r_[0, breaks + 1], np.r_[breaks, len(at) - 1])]
+    return _spans_of(np.flatnonzero(flags), width)
 
 
-# What a slot encloses, and filler's words.
+# What a slot encloses.
 _FIELD = r"[A-ZÀ-Ý][\wÀ-ÿ]*(?: (?:d[aeo]s?|do|of|the|[A-ZÀ-Ý][\wÀ-ÿ]*)){0,4}"
 _SLOT = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\{%[^{}\n]{1,60}%\}|\$\{[^{}\n]{1,60}\}|\{(?:\d{1,2}|[A-Za-z_][\w.]{0,40})\}|%\([\w.]+\)[sd]|%[A-Z][A-Z_]{2,40}%"
@@ -152,27 +192,12 @@ _SLOT = re.compile(
     rf"|«{_FIELD}»|#[A-Z][A-Z_]{{2,40}}#|@@[\w.]+@@|\((?:preencher|inserir|insert|fill in|insira|rellenar|à remplir)[^()\n]{{1,60}}\)"
     r"|_{4,}|\bX{3,}\b|\bX{2}/X{2}/X{2,4}\b|\bX{3}[.,]X{2}\b|(?<![\"'\w.])(?:null|undefined|NaN)(?![\"'\w])"
 )
-_FILLER_WORDS = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi "
-    "aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt "
-    "mollit anim laborum asdf asdfgh qwerty zxcv jkl qwer zxcvb hjkl bla blah".split()
-)
-_FILLER_LINE = re.compile(
-    r"^\W*(?:(?:todo|tbd|fixme|xxx)\b\W.*|.*\b(?:inserir|insira|inserte|inserez|insert|escreva)\b(?=.*\b(?:texto|corpo|mensagem|mensaje|text|body|message|texte)\b).*\b(?:aqui|here|ici)\b.*|(?:your|su|votre|o seu)? ?(?:text[oe]?|message|mensagem) (?:goes )?(?:aqui|here|ici)"
-    r"|text[oe]? provis\w+\b.*|rascunho\b.*\b(?:rever|completar|enviar|envio)\b.*|texto? (?:d[e'] ?)?(?:exemplo|ejemplo|exemple|teste)|sample text.*|placeholder text.*|(?:conteudo|texto|mensagem|isto e um) ?(?:de)? teste\b.*|.*\b(?:ignorar|please ignore)|bla,? bla.*|blah,? blah.*|a completar|to be completed)\W*$"
-)
 _WORDS = re.compile(r"[^\W\d_]+")
-_CUT_SLOT = re.compile(r"\[(?:\.\.\.|…)\]\s*$")
-
-
-def _is_filler(line: str) -> bool:
-    folded = fold(line)
-    found = _WORDS.findall(folded)
-    if len(found) >= 3:
-        known = sum(w in _FILLER_WORDS or (len(w) > 1 and w == "x" * len(w)) for w in found)
-        if known >= 0.7 * len(found):
-            return True
-    return bool(_FILLER_LINE.match(folded))
+#: Marks of a cut at the end of a line that says more; they are no slots.
+_CUT_MARK = re.compile(r"(?<=\S)[ \t]*(?:\[(?:\.\.\.|…)\]|\((?:cont\.?|…)\))(?=\s*$)")
+#: A link's text stands in brackets that are no slot's.
+_LINK = re.compile(r"\[([^\[\]\n]*)\]\(([^()\n]*)\)")
+_SENTENCE = re.compile(r"[^\s](?:[^\n]*?[.!?…](?=\s)|[^\n]*)")
 
 
 def _body(text: str) -> tuple[int, int]:
@@ -192,7 +217,7 @@ def _covered(spans: list[tuple[int, int]], start: int, end: int) -> float:
     return sum(max(0, min(b, end) - max(a, start)) for a, b in spans) / size if size > 0 else 0.0
 
 
-_PHRASES = _count(_streams([_bytes(t) for t in FILLER + NOTICES])[0]) > 0
+_PHRASES = _of_letters(FILLER + NOTICES) > 0
 #: Where a slot may begin, and what no prose writes: template syntax, or a slot of the phrases. Names in
 #: brackets or guillemets may be prose, so only the table tells.
 _SLOT_START = re.compile(r"[{$%\[<@#«(]")
@@ -200,20 +225,21 @@ _TEMPLATE = re.compile(r"\{\{|\{%|\$\{|%\(|%[A-Z]|\[\[|<<|@@|#[A-Z]|[\[<(](?:ins
 _VALUE = re.compile(r"(?<![\"'\w.])(?:null|undefined|NaN)(?![\"'\w])")
 
 
-def _left_out(texts: Sequence[str], raw: Sequence[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which n-grams of letters and of shapes are residue by the phrases alone: windows copied from them that
-    make their text a case, slots in template syntax, and values never filled in."""
+def _left_out(texts: Sequence[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which characters begin n-grams of letters and of shapes that are residue by the phrases alone: windows copied from
+    them that would make their text a case, slots in template syntax, and values never filled in."""
     written, shaped = np.zeros(len(letters), bool), np.zeros(len(letters), bool)
-    width, known = WINDOWS[-1], np.concatenate([[0], np.cumsum(_PHRASES[letters])])
+    width = WINDOWS[-1]
+    known = np.concatenate([[0], np.cumsum(_PHRASES[letters])])
     hit = known[width:] - known[:-width] > COPIED * width
     upto = np.concatenate([[0], np.cumsum(hit)])
-    at = 0
-    for text, coded in zip(texts, raw):
-        size = len(coded)
-        end = at + size - width + 1
+    at = 1
+    for text in texts:
+        size = len(text)
+        end = at + size - width - N + 2
         if end > at and upto[end] > upto[at]:
-            spans = _spans(hit[at:end], width)
-            if _verdict(text, [], [], spans)[0]:
+            spans = _spans(hit[at:end], width + N - 1)
+            if _filled(text, spans) or _noticed(text, spans):
                 for a, b in spans:
                     written[at + a : at + b] = True
         for start in _SLOT_START.finditer(text):
@@ -227,24 +253,40 @@ def _left_out(texts: Sequence[str], raw: Sequence[bytes], letters: np.ndarray) -
     return written, shaped
 
 
-def prose_counts(df: DataFrame, content: str) -> tuple[np.ndarray, np.ndarray]:
+def _read(texts: Sequence[str]) -> list[str]:
+    out = []
+    for t in texts:
+        t = clean(t).strip()
+        if t[-1:] in (")", "]"):
+            t = t[:-20] + _CUT_MARK.sub("", t[-20:])
+        if "](" in t:
+            t = _LINK.sub(r"\1 (\2)", t)
+        out.append(t)
+    return out
+
+
+def prose_counts(df: DataFrame, content: str, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Counts of n-grams over all distinct texts, of letters and of shapes, without what is residue by the
-    phrases alone: two tables of 2^16 numbers. Copies are combined map-side."""
+    phrases alone: two tables of 2^16 numbers. Copies are combined map-side, unless the texts are ``distinct`` already."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            texts = [clean(t).strip() for t in batch["text"]]
-            raw = [_bytes(t) for t in texts]
-            grams = [_grams(stream) for stream in _streams(raw)]
-            for i, (found, out) in enumerate(zip(grams, _left_out(texts, raw, grams[0]))):
-                both[i] += np.bincount(found[~out], minlength=1 << BITS)
+            texts = _read(batch["text"])
+            raw = _joined([_bytes(t) for t in texts])
+            letters = _inner(_letters(raw))
+            written, shaped = _left_out(texts, letters)
+            both[0] += _count(letters[~written])
+            shapes, at = _shapes(raw)
+            at = at[: max(0, len(at) - N + 1)]
+            both[1] += _count(_inner(shapes)[~shaped[np.minimum(at, len(shaped) - 1)]])
         flat = both.reshape(-1)
         met = np.flatnonzero(flat)
         yield pd.DataFrame({"gram": met, "n": flat[met]})
 
     ship(df.sparkSession)
-    texts = spread(df.where(F.col(content).isNotNull()).select(F.col(content).alias("text"))).distinct()
+    texts = df.where(F.col(content).isNotNull()).select(F.col(content).alias("text"))
+    texts = texts if distinct else spread(texts).distinct()
     parts = texts.mapInPandas(count, "gram int, n bigint")
     both = np.zeros(2 << BITS, np.int64)
     for gram, n in parts.groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most 2^17 rows, whatever the data
@@ -252,68 +294,123 @@ def prose_counts(df: DataFrame, content: str) -> tuple[np.ndarray, np.ndarray]:
     return both[: 1 << BITS], both[1 << BITS :]
 
 
+def _filled(text: str, spans: list[tuple[int, int]]) -> bool:
+    """Whether a sentence is covered by spans of filler."""
+    for a, b in spans:
+        low, high = text.rfind("\n", 0, max(0, a)) + 1, text.find("\n", b)
+        for m in _SENTENCE.finditer(text, low, high if high >= 0 else len(text)):
+            if m.end() > a and m.start() < b and _covered(spans, m.start(), m.end()) >= LINE_COVERAGE:
+                return True
+    return False
+
+
+def _noticed(text: str, spans: list[tuple[int, int]]) -> bool:
+    """Whether spans of notices cover what stands first, or the body under a greeting."""
+    if not spans:
+        return False
+    start, end = _body(text)
+    alone = _covered(spans, start, end) >= BODY_COVERAGE
+    if not start:  # no greeting stands first
+        first = text.find("\n\n")
+        alone = alone or _covered(spans, 0, first if first > 0 else len(text)) >= COVERAGE
+    return alone and len(_WORDS.findall(text)) > 1
+
+
 class Model:
     """The fitted ratios; judges batches of texts."""
 
-    def __init__(self, tables: tuple[np.ndarray, np.ndarray]):
-        self.letters, self.shapes = tables
+    def __init__(self, tables: np.ndarray):
+        self.tables = tables
 
     def judge(self, texts: Sequence[str]) -> list[tuple[str | None, float]]:
         """For each text its kind of residue ('slot', 'filler', 'notice' or None) and the share of its
         characters in residue windows."""
-        texts = [clean(t).strip() for t in texts]
-        raw = [_bytes(t) for t in texts]
-        letters, shapes = _streams(raw)
-        totals = []
-        for table, stream in zip((self.shapes, self.letters, self.letters), (shapes, letters, letters)):
-            totals.append(np.concatenate([[0.0], np.cumsum(table[_grams(stream)], dtype=np.float64)]))
-        hits = []
-        for total, width, threshold in zip(totals, WINDOWS, THRESHOLDS):
-            hit = total[width:] - total[:-width] > threshold * width
-            hits.append((hit, np.concatenate([[0], np.cumsum(hit)])))
-        out, at = [], 0
-        for text, coded in zip(texts, raw):
-            size = len(coded)
-            found: list[list[tuple[int, int]]] = []
-            for (hit, upto), total, width, threshold in zip(hits, totals, WINDOWS, THRESHOLDS):
-                end = at + size - width + 1  # windows lie inside the text
-                if end <= at:
-                    found.append([(0, size)] if size and total[at + size] - total[at] > threshold * size else [])
-                else:
-                    found.append(_spans(hit[at:end], width) if upto[end] > upto[at] else [])
-            out.append(_verdict(text, *found))
-            at += size + 1
+        texts = _read(texts)
+        raw = _joined([_bytes(t) for t in texts])
+        shapes, places = _shapes(raw)
+        grams = _grams(_letters(raw))
+        totals = [np.concatenate([[0.0], np.cumsum(t[g], dtype=np.float64)]) for t, g in zip(self.tables, (_grams(shapes), grams, grams, grams))]
+
+        def over(total: np.ndarray, width: int, threshold: float) -> np.ndarray:
+            return np.flatnonzero(total[width:] - total[:-width] >= threshold * width)
+
+        width, threshold = WINDOWS[2], THRESHOLDS[2]
+        slots, values = places[np.minimum(over(totals[0], WINDOWS[0], THRESHOLDS[0]), len(places) - 1)], over(totals[1], WINDOWS[1], THRESHOLDS[1])
+        long = [over(t, width, threshold) for t in totals[2:]]
+        short = [over(t, SHORT, STRIKING) for t in totals[2:]]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(sizes + 1) - sizes
+        ends = starts + sizes
+
+        def within(hits: np.ndarray, reach: int) -> np.ndarray:
+            """Which hits belong to each text, as slices; windows end with the text."""
+            return np.stack([np.searchsorted(hits, starts - 1), np.searchsorted(hits, np.maximum(ends - reach, starts - 1), "right")], 1)
+
+        at_slots, at_values = within(slots, 2), within(values, WINDOWS[1] + N - 3)
+        at_long = [within(h, width + N - 1) for h in long]
+        at_short = [within(h, SHORT + N - 1) for h in short]
+        out: list[tuple[str | None, float]] = [(None, 0.0)] * len(texts)
+        struck = sum(x[:, 1] > x[:, 0] for x in (at_slots, at_values, *at_long, *at_short))
+        for i in np.flatnonzero(struck):
+            text = texts[i]
+            if not text:
+                continue
+            spans = []
+            for j in range(2):
+                a, b = at_long[j][i]
+                found = _spans_of(long[j][a:b] - starts[i], width + N - 1)
+                a, b = at_short[j][i]
+                if b > a:
+                    found += self._short_lines(text, totals[2 + j], int(starts[i]), short[j][a:b] - starts[i])
+                spans.append(sorted(found))
+            spans = [_merged(x) for x in spans]
+            shares = [_covered(x, 0, len(text)) for x in spans]
+            marked = [*slots[slice(*at_slots[i])] - starts[i], *values[slice(*at_values[i])] - starts[i]]
+            if marked:
+                out[i] = "slot", max(*shares, _slot_size(text, marked) / len(text))
+                continue
+            cases = [share for share, case in zip(shares, (_filled(text, spans[0]), _noticed(text, spans[1]))) if case]
+            kind = None if not cases else "filler" if shares[0] == max(cases) else "notice"
+            out[i] = kind, max(shares)
         return out
 
+    def _short_lines(self, text: str, total: np.ndarray, start: int, hits: np.ndarray) -> list[tuple[int, int]]:
+        """Sentences too short for a window, as wholes."""
+        out = []
+        for low in {text.rfind("\n", 0, max(0, int(h)) + 1) + 1 for h in hits}:
+            high = text.find("\n", low)
+            for m in _SENTENCE.finditer(text, low, high if high >= 0 else len(text)):
+                n = len(m[0]) - N + 1
+                if SHORT <= n < WINDOWS[2] and total[start + m.start() + n] - total[start + m.start()] >= THRESHOLDS[2] * n:
+                    out.append(m.span())
+        return out
 
-def _verdict(text: str, shaped: list[tuple[int, int]], lone: list[tuple[int, int]], written: list[tuple[int, int]]) -> tuple[str | None, float]:
-    if not written and not shaped and not lone:
-        return None, 0.0
-    share = _covered(written, 0, len(text))
-    for a, b in shaped + lone + written:
-        for m in _SLOT.finditer(text, max(0, a - 40)):
-            if m.start() > b + 40:
-                break
-            if not (_CUT_SLOT.match(text, m.start()) and "\n" not in text[max(0, m.start() - 1) : m.start()]):
-                return "slot", max(share, (m.end() - m.start()) / len(text))
-    if not written:
-        return None, share
-    start, end = _body(text)
-    for a, b in written:
-        low, high = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        for line in text[low : high if high >= 0 else len(text)].split("\n"):
-            if _is_filler(line) or any(_is_filler(s) for s in re.split(r"(?<=[.!?])\s+", line)):
-                return "filler", share
-    first = text.find("\n\n")
-    if len(_WORDS.findall(text)) < 2:
-        return None, share
-    if start > 0:  # a greeting stands first
-        alone = _covered(written, start, end) >= BODY_COVERAGE
-    else:
-        alone = _covered(written, 0, first if first > 0 else len(text)) >= COVERAGE or _covered(written, 0, end) >= BODY_COVERAGE
-    if alone:
-        return "notice", share
-    return None, share
+
+def _spans_of(at: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Window starts as spans of characters; those that touch are one."""
+    if not len(at):
+        return []
+    breaks = np.flatnonzero(np.diff(at) > width)
+    return [(int(at[i]), int(at[j]) + width) for i, j in zip(np.r_[0, breaks + 1], np.r_[breaks, len(at) - 1])]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _slot_size(text: str, marked: list[int]) -> int:
+    """The characters of the slots that windows mark, by their delimiters where they are known, else a window each."""
+    places = set()
+    for at in marked:
+        m = next((m for m in _SLOT.finditer(text, max(0, int(at) - 40), int(at) + 60) if m.end() > at), None)
+        places.update(range(*m.span()) if m else range(max(0, int(at)), min(len(text), int(at) + N)))
+    return len(places)
 
 
 def residue(df: DataFrame, content: str, keys: Sequence[str], model: Model | None = None) -> DataFrame:
@@ -321,7 +418,7 @@ def residue(df: DataFrame, content: str, keys: Sequence[str], model: Model | Non
 
     Null and empty texts hold none. Keys may be null; repeated rows come out repeated. An empty table
     gives an empty table. Only ``keys`` and ``content`` are read. The model is broadcast inside the
-    closure: two tables of 65,536 floats, whatever the size of the data.
+    closure: four tables of 65,536 floats, whatever the size of the data.
     """
     ship(df.sparkSession)
     model = model or Model(ratios(prose_counts(df, content)))

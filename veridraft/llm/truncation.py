@@ -241,12 +241,12 @@ _SAYS = "unit string, n0 bigint, n1 bigint, n2 bigint, level int, ending int, ma
 
 
 def _cleaner(content: str):
-    def cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch[content] = [clean(t) for t in batch[content]]
             yield batch
 
-    return cleaned
+    return run
 
 
 def _mapper(content: str, digest: str):
@@ -325,18 +325,21 @@ def longer_copies(units: DataFrame, asked: DataFrame) -> DataFrame:
     return both
 
 
-def truncated(df: DataFrame, content: str, keys: Sequence[str]) -> DataFrame:
-    """The ``keys`` of the rows whose text was cut off.
-
-    Null and empty texts were not cut off. ``keys`` name the row and may be null; rows that repeat
-    both key and text repeat in the result as one. An empty table gives an empty table. No other
-    column is read, so clashing names cannot occur. Whole texts are read, however long.
-    """
+def cleaned(df: DataFrame, content: str, digest: str) -> DataFrame:
+    """``df`` with its texts cleaned and their digests, written once. Null texts are left out."""
     ship(df.sparkSession)
-    names, text, digest = [f"{RESERVED}k{i}" for i in range(len(keys))], RESERVED + "text", RESERVED + "digest"
-    narrow = df.where(F.col(content).isNotNull()).select(F.col(content).alias(text), *[F.col(k).alias(n) for n, k in zip(names, keys)])
-    rows = written(spread(narrow).mapInPandas(_cleaner(text), narrow.schema), "texts").withColumn(digest, F.md5(text))
-    says = written(rows.select(text, digest).distinct().mapInPandas(_mapper(text, digest), _SAYS), "says")
+    texts = spread(df.where(F.col(content).isNotNull()))
+    return written(texts.mapInPandas(_cleaner(content), texts.schema), "texts").withColumn(digest, F.md5(content))
+
+
+def distinct_texts(rows: DataFrame, content: str, digest: str) -> DataFrame:
+    """Each different cleaned text once, with its digest, written once."""
+    return written(rows.select(content, digest).distinct(), "distinct")
+
+
+def cut_off(texts: DataFrame, content: str, digest: str) -> DataFrame:
+    """``digest`` of the distinct texts that were cut off."""
+    says = written(texts.select(content, digest).mapInPandas(_mapper(content, digest), _SAYS), "says")
     asked = says.where("level IS NOT NULL")
     own = asked.select("unit", *[F.col(n).alias("own" + n) for n in ("n0", "n1", "n2")], "level", "ending", "marked", "text")
     met = own.join(longer_copies(says.where("level IS NULL"), asked.select("unit")), "unit")  # counts are unique by unit
@@ -348,5 +351,17 @@ def truncated(df: DataFrame, content: str, keys: Sequence[str]) -> DataFrame:
     cut = (longer > 0) & (same <= SHARE * (same + longer))
     known = met.select("text", "level", cut.alias("cut"), (F.col("longer") + sum(others) > 0).alias("known"))
     verdict = known.where("known").groupBy("text").agg(F.min_by("cut", "level").alias("cut"))
-    found = verdict.where("cut").select(F.col("text").alias(digest))
+    return verdict.where("cut").select(F.col("text").alias(digest))
+
+
+def truncated(df: DataFrame, content: str, keys: Sequence[str]) -> DataFrame:
+    """The ``keys`` of the rows whose text was cut off.
+
+    Null and empty texts were not cut off. ``keys`` name the row and may be null; rows that repeat
+    both key and text repeat in the result as one. An empty table gives an empty table. No other
+    column is read, so clashing names cannot occur. Whole texts are read, however long.
+    """
+    names, text, digest = [f"{RESERVED}k{i}" for i in range(len(keys))], RESERVED + "text", RESERVED + "digest"
+    rows = cleaned(df.select(F.col(content).alias(text), *[F.col(k).alias(n) for n, k in zip(names, keys)]), text, digest)
+    found = cut_off(rows.select(text, digest).distinct(), text, digest)
     return rows.join(found, digest, "left_semi").select(*[F.col(n).alias(k) for n, k in zip(names, keys)]).distinct()
