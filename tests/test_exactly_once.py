@@ -101,3 +101,18 @@ def test_registered_whole_rows(spark):
     named = rows.where("id IS NOT NULL AND model IS NOT NULL")
     assert sorted(map(tuple, named.select("tab", "id", "model", "row_seq").collect())) == sorted(map(tuple, kept.select("tab", "id", "model", "row_seq").collect()))
     assert "content" in rows.columns
+
+
+def test_versions_are_cleaned_and_compacted(spark, tmp_path, monkeypatch):
+    from veridraft.operators import exactly_once
+
+    monkeypatch.setattr(exactly_once, "COMPACT", 3)
+    store = SeenStore(spark, f"file://{tmp_path}/seen", shards=2)
+    for n in range(6):
+        ids = spark.createDataFrame([(n, f"i{n}"), (n, "i0"), (n, f"j{n}")], "seq bigint, id string")
+        again = [r["id"] for r in store.ingest(ids, ["id"], ["seq"]).repeated().collect()]
+        assert again == ["i0"]
+    assert store.dictionary().count() == 12 and len(store.parts) < 3
+    versions = sorted(p.name for p in (tmp_path / "seen").iterdir() if p.name.startswith("v"))
+    assert "v1" not in versions and {"v5", "v6"} <= set(versions)
+    assert SeenStore(spark, f"file://{tmp_path}/seen").bitmaps().select(F.sum(F.bitmap_count("bits"))).head()[0] == 12

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +14,12 @@ WORD = r"[\p{L}\p{N}_]+"
 WF_WORD = r"[\p{L}\p{N}_\-]+"
 CONTRAST_WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?:['’\-][A-Za-zÀ-ÖØ-öø-ÿ]+)*"
 LANGUAGE_WORD = r"[A-Za-zÀ-ÿ]+"
+SPELLED_WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ][A-Za-zÀ-ÖØ-öø-ÿ'-]{2,}"
+SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*(?=://)"
 EMAIL = r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-URL = r"(?:https?|ftp)://[^\s<>()]+|www\.[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?:/[^\s<>()]*)?"
-NUMERIC_ID = r"\+?\d[\d .:/()\-]{2,}\d|[A-Z]{1,8}[-/]?\d{2,}[A-Z0-9/-]*"
+URL = r"(?i)(?:https?|ftp)://[^\s<>()]+|www\.[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?:/[^\s<>()]*)?"
+NUMERIC_BODY = r"(?:\+?\d[\d .:/()\-]{2,}\d|[A-Z]{1,8}[-/]?\d{2,}[A-Z0-9/-]*|\d{4}[-/]\d{1,2}[-/]\d{1,4})"
+NUMERIC_ID = r"(?<![\p{L}\p{N}_])" + NUMERIC_BODY + r"(?![\p{L}\p{N}_])"
 HEADER = r"^\s*[*_~`]{0,3}[A-Za-z][A-Za-z0-9-]{1,50}\s*:.*$"
 CAPITALS = r"^[A-ZÀÁÂÃÄÅÆÇ-ÖØ-Ý]{5,}$"
 SHOUTING = r"!{2,}|\?{2,}|(?:!\s*){3,}"
@@ -26,10 +31,6 @@ LOWER_START = r"[.!?]\s+[a-zà-öø-ÿ]"
 GREETING = r"^\s*[A-ZÀ-Ü][^\n]{2,70}[,:][ \t]*$"
 CONTACT = r"\+?\d[\d .:/()\-]{6,}"
 MID_END = r"[.!?]\s+[\p{L}\p{N}_]"
-_FROM = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
-_TO = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -58,8 +59,15 @@ def contrast_tokens(c: Column | str) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))
 
 
+def _folded(words: pd.Series) -> pd.Series:
+    strip = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn")
+    return words.map(lambda w: None if w is None else w if w.isascii() else strip(w))
+
+
 def fold_diacritics(c: Column | str) -> Column:
-    return F.translate(_col(c), _FROM, _TO)
+    """Letters without their marks, by decomposition; in Arrow batches, as the engine has no normal forms. For words, not
+    for texts."""
+    return F.pandas_udf(_folded, "string")(_col(c))
 
 
 def masked(c: Column | str) -> Column:
@@ -70,6 +78,17 @@ def masked(c: Column | str) -> Column:
     return out
 
 
+def scoring_text(c: Column | str) -> Column:
+    """A text without the leading paragraphs in which every line is a header; the text itself where nothing else is left."""
+    body = let(paragraphs(c), lambda p: F.array_join(without_headers(p), "\n\n"))
+    return let(body, lambda b: F.when(b != "", b).otherwise(F.regexp_replace(_col(c), r"^\s+|\s+$", "")))
+
+
+def without_fixture_headers(c: Column | str) -> Column:
+    """A calibration text without its leading header lines and the blank lines after them; blank lines alone go too."""
+    return F.regexp_replace(F.regexp_replace(_col(c), r"^(?:[ \t]*\n)?(?:[ \t]*[A-Za-z][A-Za-z0-9-]{1,50}[ \t]*:[^\n]*(?:\n|$))+(?:[ \t]*\n)*", ""), r"^\n+|\n+$", "")
+
+
 def is_header(line: Column) -> Column:
     return line.rlike(HEADER)
 
@@ -113,9 +132,13 @@ def error_summary(c: Column | str, limit: int = 300) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)
 
 
-def retry_after(c: Column | str) -> Column:
-    """Delta seconds of a Retry-After header, not below 0; NULL for what is no number."""
+def retry_after(c: Column | str, now: Column | None = None) -> Column:
+    """Seconds of a Retry-After header, not below 0, given as seconds or as an HTTP date (seconds from ``now``, epoch
+    seconds); NULL for what is neither."""
     x = _col(c).try_cast("double")
+    date = F.regexp_extract(_col(c), r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    at = F.unix_timestamp(F.try_to_timestamp(date, F.lit("dd MMM yyyy HH:mm:ss"))).cast("double")
+    x = F.coalesce(x, at - (F.unix_timestamp().cast("double") if now is None else now))
     return F.when(x < 0, 0.0).otherwise(x)
 
 

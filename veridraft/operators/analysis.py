@@ -67,8 +67,9 @@ _SAID = "category string, urgency string, action_required boolean, sentiment str
 
 def matched(truth: DataFrame, results: DataFrame) -> DataFrame:
     """Each model's first answer to each id, beside the truth where there is one."""
-    answers = first_of(results.withColumn("id", read_id("id")).where("id IS NOT NULL"), ["model", "id"], "row_seq")
-    said = answers.select("model", "id", "status", "error", "is_valid_schema", "parse_repaired", F.from_json("parsed", _SAID).alias("said"))
+    fields = ["model", "id", "status", "error", "is_valid_schema", "parse_repaired"]
+    parsed = results.withColumn("id", read_id("id")).where("id IS NOT NULL").select("row_seq", *fields, F.from_json("parsed", _SAID).alias("said"))
+    said = first_of(parsed, ["model", "id"], "row_seq", columns=[*fields, "said"])
     return said.join(truth.select("id", "ground_truth", F.lit(True).alias("asked")), "id", "left")
 
 
@@ -84,7 +85,9 @@ def score(truth: DataFrame, results: DataFrame) -> DataFrame:
 
     requested = F.lit(truth.count())
     aggs = [(requested - F.count_if(asked)).alias("missing"), F.count_if("failed").alias("failed"), F.count_if("scored").alias("scored")]
-    aggs += [rate(F.coalesce(F.col("is_valid_schema"), F.lit(False))).alias("schema_pct"), rate(F.col("parse_repaired")).alias("repaired_pct")]
+    valid = F.coalesce(F.col("is_valid_schema"), F.lit(False))
+    aggs += [rate(valid).alias("schema_pct"), rate(valid & ~F.col("parse_repaired")).alias("schema_raw_pct"), rate(F.col("parse_repaired")).alias("repaired_pct")]
+    aggs += [F.count_if(F.col("scored") & F.col("parse_repaired").isNotNull()).alias("n_repaired")]
     aggs += [rate(F.col(f"ground_truth.{c}").eqNullSafe(F.col(f"said.{c}"))).alias(f"{c}_pct") for c in COMPARED]
     aggs += [F.round(F.avg(F.when(F.col("scored"), entity_f1(F.col("ground_truth.key_entities"), F.col("said.key_entities")))), 4).alias("entity_f1")]
     return rows.groupBy("model").agg(requested.alias("requested"), *aggs)

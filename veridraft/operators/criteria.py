@@ -8,7 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridraft.functions.text import LANGUAGE_WORD
+from veridraft.functions.text import CONTRAST_WORD
+from veridraft.session import RESERVED
 
 GROUPS = ("required_facts", "required_actions", "forbidden_changes", "forbidden_facts")
 SCORED = ("required_actions", "required_facts", "forbidden_changes")
@@ -37,7 +38,7 @@ MARK = "\x01"
 
 def flattened(document: str) -> list[tuple]:
     """Rows of CRITERIA from a constraint document; every group must be a list of objects and every scored
-    pattern must compile, here and in Java's engine."""
+    pattern must compile."""
     data = json.loads(document)
     if not isinstance(data, dict):
         raise ValueError("constraints must be an object")
@@ -66,7 +67,25 @@ def flattened(document: str) -> list[tuple]:
 
 
 def criteria_frame(spark: SparkSession, document: str) -> DataFrame:
-    return spark.createDataFrame(flattened(document), CRITERIA)
+    """A constraint document as a table. Patterns must compile in Java's engine too, which evaluates them."""
+    rows = flattened(document)
+    java = spark.sparkContext._jvm.java.util.regex.Pattern
+    for task, group, name, pattern, _ in rows:
+        if group in SCORED:
+            try:
+                java.compile("(?iu)(?:" + pattern + ")")
+            except Exception as e:
+                raise ValueError(f"{task}.{group}.{name}: {pattern!r} is no pattern of Java's engine") from e
+    return spark.createDataFrame(rows, CRITERIA)
+
+
+def read_criteria(spark: SparkSession, path: str) -> DataFrame:
+    """The constraints in a document; a missing file is a table without rows."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], CRITERIA)
+    return criteria_frame(spark, "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # one document
 
 
 def negated(prefix: Column) -> Column:
@@ -86,20 +105,20 @@ def negated(prefix: Column) -> Column:
     )
 
 
-def clause_prefixes(text: Column, pattern: str) -> Column:
+def clause_prefixes(text: Column, pattern: Column | str) -> Column:
     """For each match of ``pattern`` the rest of its clause before it, with spaces collapsed."""
-    cut = F.split(F.regexp_replace(text, f"(?iu)(?:{pattern})", MARK + "$0"), MARK)
+    given = F.lit(pattern) if isinstance(pattern, str) else pattern
+    cut = F.split(F.regexp_replace(text, F.concat(F.lit("(?iu)(?:"), given, F.lit(")")), F.lit(MARK + "$0")), MARK)
     n = F.size(cut) - 1
     at = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     before = F.transform(at, lambda i: F.array_join(F.slice(cut, F.lit(1), i), ""))
     return F.transform(before, lambda b: F.trim(F.regexp_replace(F.regexp_extract(b, r"[^.!?;,:]*$", 0), r"\s+", " ")))
 
 
-def affirmed(text: Column, pattern: str) -> Column:
-    """Whether some match of ``pattern`` stands in a clause that does not deny it."""
-    if not pattern:
-        return F.lit(False)
-    return F.exists(clause_prefixes(text, pattern), lambda p: ~negated(p))
+def affirmed(text: Column, pattern: Column | str) -> Column:
+    """Whether some match of ``pattern`` stands in a clause that does not deny it; an empty pattern matches nothing."""
+    given = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.when(given != "", F.exists(clause_prefixes(text, given), lambda p: ~negated(p))).otherwise(False)
 
 
 def placeholders(text: Column, source: Column | None = None) -> Column:
@@ -112,44 +131,43 @@ def placeholders(text: Column, source: Column | None = None) -> Column:
     return F.array_distinct(slots)
 
 
-def evaluated(rows: DataFrame, criteria: list[tuple], key: str, task: str, text: str) -> DataFrame:
-    """``key, task_id, grp, criterion_id, met`` of every row and criterion of its task. ``criteria`` is a small
-    list on the driver: each pattern becomes an expression of its own, nothing is joined."""
-    tests = [
-        F.when(F.col(task) == t, F.struct(F.lit(g).alias("grp"), F.lit(c).alias("criterion_id"), affirmed(F.coalesce(F.col(text), F.lit("")), p).alias("met")))
-        for t, g, c, p, _ in criteria if g in SCORED
-    ]
-    if not tests:
-        return rows.select(F.col(key), F.col(task).alias("task_id"), F.lit("").alias("grp"), F.lit("").alias("criterion_id"), F.lit(False).alias("met")).limit(0)
-    return rows.select(key, F.col(task).alias("task_id"), F.explode(F.array_compact(F.array(*tests))).alias("c")).select(key, "task_id", "c.*")
+def _joined(rows: DataFrame, own: DataFrame, key: str, task: str, *columns: str) -> DataFrame:
+    """Every row with each criterion of its task, one row each; a task without criteria has none. The table of criteria may
+    grow: Spark broadcasts it only under its own size limit, and patterns are evaluated where they meet their rows, so a
+    row meets those of its own task alone."""
+    spec = own.where(F.col("grp").isin(*SCORED)).select(F.col("task_id").alias(RESERVED + "task"), "grp", "criterion_id", "pattern", "ord")
+    given = rows.select(F.col(key).alias(RESERVED + "key"), F.col(task).alias(RESERVED + "task"), *[F.col(c).alias(RESERVED + c) for c in columns])
+    return given.join(spec, RESERVED + "task")
 
 
-def adherence(rows: DataFrame, criteria: list[tuple], key: str, task: str, text: str, source: str) -> DataFrame:
-    """``key``, ``instruction_adherence_pct`` and ``semantic_preservation_pct``. A blank text scores 0; without
-    criteria there is no score. Forbidden changes count as met where they are not affirmed."""
+def evaluated(rows: DataFrame, own: DataFrame, key: str, task: str, text: str) -> DataFrame:
+    """``key, task_id, grp, criterion_id, met`` of every row and criterion of its task. ``own``: a table of CRITERIA."""
+    met = affirmed(F.coalesce(RESERVED + text, F.lit("")), F.col("pattern"))
+    return _joined(rows, own, key, task, text).select(F.col(RESERVED + "key").alias(key), F.col(RESERVED + "task").alias("task_id"), "grp", "criterion_id", met.alias("met"))
+
+
+def adherence(rows: DataFrame, own: DataFrame, key: str, task: str, text: str, source: str) -> DataFrame:
+    """``key``, ``instruction_adherence_pct`` and ``semantic_preservation_pct`` of each ``key`` (unique). A blank text scores 0;
+    without criteria there is no score. A slot that is left in, or of the source that is filled, counts as an action.
+    Facts and forbidden changes count even where their pattern is empty: such a fact is never met, such a change
+    never made; forbidden changes count as met where they are not affirmed."""
+    met = affirmed(F.coalesce(RESERVED + text, F.lit("")), F.col("pattern"))
+    each = _joined(rows, own, key, task, text).select(F.col(RESERVED + "key").alias("key"), "grp", F.col("pattern") != "", met.alias("met")).toDF("key", "grp", "stated", "met")
+    action, fact, change = ((F.col("grp") == g) for g in SCORED)
+    sums = each.groupBy("key").agg(F.count_if(action & F.col("stated")).alias("actions"), F.count_if(action & F.col("stated") & F.col("met")).alias("done"), F.count_if(fact | change).alias("facts"), F.count_if((fact & F.col("met")) | (change & ~F.col("met"))).alias("kept"))
     x = F.coalesce(F.col(text), F.lit(""))
-    blank = F.trim(x) == ""
     slots = F.size(placeholders(x, F.col(source)))
     offered = F.coalesce(F.col(source).rlike(SOURCE_SLOT), F.lit(False))
-    zero = F.lit(0)
-    passed, total, kept, facts = F.when((slots == 0) & offered, 1).otherwise(0), F.when((slots > 0) | offered, 1).otherwise(0), zero, zero
-    for t, g, _, p, _ in criteria:
-        own = F.col(task).eqNullSafe(F.lit(t))
-        met = affirmed(x, p)
-        if g == "required_actions" and p:
-            passed, total = passed + F.when(own & met, 1).otherwise(0), total + F.when(own, 1).otherwise(0)
-        elif g == "required_facts":
-            kept, facts = kept + F.when(own & met, 1).otherwise(0), facts + F.when(own, 1).otherwise(0)
-        elif g == "forbidden_changes":
-            kept, facts = kept + F.when(own & ~met, 1).otherwise(0), facts + F.when(own, 1).otherwise(0)
-    counted = rows.select(F.col(key), blank.alias("blank"), passed.alias("passed"), total.alias("total"), kept.alias("kept"), facts.alias("facts"))
-    pct = lambda a, b: F.when(F.col("blank"), 0.0).when(F.col(b) > 0, F.round(100.0 * F.col(a) / F.col(b), 1))
-    return counted.select(key, pct("passed", "total").alias("instruction_adherence_pct"), pct("kept", "facts").alias("semantic_preservation_pct"))
+    given = rows.select(F.col(key).alias("key"), (F.regexp_replace(x, r"\s+", "") == "").alias("blank"), F.when((slots == 0) & offered, 1).otherwise(0).alias("filled"), F.when((slots > 0) | offered, 1).otherwise(0).alias("asked"))
+    both = given.join(sums, "key", "left").fillna(0, ["actions", "done", "facts", "kept"])
+    pct = lambda a, b: F.when(F.col("blank"), 0.0).when(b > 0, F.round(100.0 * a / b, 1))
+    return both.select(F.col("key").alias(key), pct(F.col("done") + F.col("filled"), F.col("actions") + F.col("asked")).alias("instruction_adherence_pct"), pct(F.col("kept"), F.col("facts")).alias("semantic_preservation_pct"))
 
 
 def echo_vocabulary(criteria: DataFrame) -> DataFrame:
-    """``task_id, word``: words of three letters or more in a task's patterns, which its answers may echo."""
-    words = F.explode(F.regexp_extract_all(F.lower("pattern"), F.lit(LANGUAGE_WORD), F.lit(0))).alias("word")
+    """``task_id, word``: words of three letters or more in a task's patterns, hyphens and apostrophes inside kept, which its
+    answers may echo."""
+    words = F.explode(F.transform(F.regexp_extract_all("pattern", F.lit(CONTRAST_WORD), F.lit(0)), lambda w: F.lower(F.btrim(w, F.lit("-'’"))))).alias("word")
     return criteria.select("task_id", words).where(F.length("word") >= 3).distinct()
 
 
@@ -168,8 +186,7 @@ def broad_criteria(criteria: DataFrame) -> DataFrame:
     return criteria.where(required).select("task_id", "criterion_id", bare.alias("bare_alternative")).where("bare_alternative IS NOT NULL")
 
 
-def floor_violations(spark: SparkSession, criteria: list[tuple], control: str) -> DataFrame:
+def floor_violations(own: DataFrame, control: str) -> DataFrame:
     """Required criteria that a constant reply without content meets; there should be none."""
-    one = spark.createDataFrame([(control,)], "reply string")
-    tests = [F.struct(F.lit(t).alias("task_id"), F.lit(g).alias("grp"), F.lit(c).alias("criterion_id"), affirmed(F.col("reply"), p).alias("met")) for t, g, c, p, _ in criteria if g in ("required_actions", "required_facts")]
-    return one.select(F.explode(F.array(*tests)).alias("c")).select("c.*").where("met").drop("met")
+    required = own.where(F.col("grp").isin("required_actions", "required_facts"))
+    return required.where(affirmed(F.lit(control), F.col("pattern"))).select("task_id", "grp", "criterion_id")

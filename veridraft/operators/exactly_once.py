@@ -12,6 +12,10 @@ for each (shard, bucket of codes), stored in zstd-compressed Parquet. For each b
    by a single rename. A batch that fails before the rename leaves the old version current and can
    be repeated.
 
+A batch meets the dictionary in an inner join, in which a small batch is broadcast (under Spark's own size limit) and the
+dictionary is only read; a large one is shuffled with it. Every ``COMPACT`` batches the parts of the dictionary become one;
+what neither the current version nor the one before it needs, which a reader may still hold, is removed.
+
 State and its shuffles hold identifiers and order columns only. Where whole rows are asked for
 (``deduplicate``), one row of each identifier is chosen by an aggregate over the batch.
 """
@@ -39,6 +43,10 @@ def read_id(column: Column | str) -> Column:
     return F.when(text != "", text)
 
 
+#: Parts of the dictionary from which they are made one.
+COMPACT = 16
+
+
 @dataclass
 class BatchResult:
     """One batch: ``groups`` has a row for each identifier of the batch with its code, copies, first
@@ -75,7 +83,10 @@ class SeenStore:
             self.version, self.shards, self.parts = state["version"], state["shards"], state["dictionary"]
 
     def dictionary(self) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in self.parts]) if self.parts else None
+        return self._read(self.parts) if self.parts else None
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts])
 
     def bitmaps(self) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.path}/v{self.version}/bitmaps") if self.version else None
@@ -103,7 +114,8 @@ class SeenStore:
             coded = groups.withColumn(CODE, (F.row_number().over(within) - 1).cast("long")).withColumn(SEEN, F.lit(False))
         else:
             tops = old.groupBy(SHARD).agg(F.max(CODE).alias(RESERVED + "top"))
-            joined = groups.join(old.select(*keys, F.col(CODE).alias(RESERVED + "old")), list(keys), "left").join(tops, SHARD, "left")
+            known = old.select(*keys, F.col(CODE).alias(RESERVED + "old")).join(groups.select(*keys), list(keys))
+            joined = groups.join(known, list(keys), "left").join(tops, SHARD, "left")
             fresh = F.col(RESERVED + "old").isNull()
             rank = F.row_number().over(Window.partitionBy(SHARD, fresh).orderBy(*keys))
             coded = joined.withColumn(CODE, F.coalesce(RESERVED + "old", F.coalesce(RESERVED + "top", F.lit(-1)) + rank).cast("long"))
@@ -119,16 +131,35 @@ class SeenStore:
         if self.version:
             fresh_bits = self.bitmaps().unionByName(fresh_bits).groupBy(SHARD, BUCKET).agg(F.bitmap_or_agg("bits").alias("bits"))
         fresh_bits.write.option("compression", "zstd").parquet(f"{target}/bitmaps")
-        self._pending = version, [*self.parts, f"v{version}/dictionary"]
+        parts = [*self.parts, f"v{version}/dictionary"]
+        if len(parts) >= COMPACT:
+            self._read(parts).write.option("compression", "zstd").parquet(f"{target}/compacted")
+            parts = [f"v{version}/compacted"]
+        self._pending = version, parts
         if commit:
             self.commit()
         return BatchResult(coded.select(*keys, SHARD, CODE, COPIES, FIRST, SEEN), keys, order)
 
+    def _clean(self, kept: set[str]) -> None:
+        """Removes what neither the current version nor the one before it needs; ``kept``: parts of either's dictionary."""
+        fs, root, _ = _fs(self.spark, self.path)
+        for status in fs.listStatus(root):  # a folder for each version that still holds something
+            name = status.getPath().getName()
+            if not name.startswith("v") or not name[1:].isdigit() or int(name[1:]) >= self.version - 1:
+                continue
+            for child in fs.listStatus(status.getPath()):
+                if f"{name}/{child.getPath().getName()}" not in kept:
+                    fs.delete(child.getPath(), True)
+            if not fs.listStatus(status.getPath()):
+                fs.delete(status.getPath(), True)
+
     def commit(self) -> None:
         """Make the last batch's state current."""
         if self._pending:
+            before = set(self.parts)
             self._commit(*self._pending)
             self._pending = None
+            self._clean(before | set(self.parts))
 
     def _commit(self, version: int, parts: list[str]) -> None:
         fs, current, jvm = _fs(self.spark, f"{self.path}/CURRENT")

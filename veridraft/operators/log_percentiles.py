@@ -97,3 +97,39 @@ def percentiles(sketched: DataFrame, by: Sequence[str], qs: Sequence[float] = PE
         x = lo + (hi - lo) * (rank - F.floor(rank))
         out.append((F.round(x, decimals) if decimals is not None else x).alias(f"p{q:g}".replace(".", "_")))
     return found.select(*out, F.lit(error).alias("relative_error"))
+
+
+def exact_percentiles(df: DataFrame, value: str, by: Sequence[str], qs: Sequence[float] = PERCENTILES, error: float = DEFAULT_ERROR) -> DataFrame:
+    """``by, p<q>``: exact interpolated percentiles of each group's valid values, in two passes. The sketch says in which
+    buckets the order statistics lie and how many values come before; only values of those buckets, about one in a hundred of
+    a group, are then counted and ordered, so no task holds a group's values however hot it is. Groups without values have
+    no row; null groups are groups."""
+    named = [F.col(c).alias(f"{RESERVED}g{i}") for i, c in enumerate(by)]
+    groups = [f"{RESERVED}g{i}" for i in range(len(by))]
+    x = F.col(value).cast("double")
+    rows = df.where(valid_measure(value)).select(*named, x.alias("v"), bucket_of(value, error).alias(BUCKET))
+    counts = rows.groupBy(*groups, BUCKET).agg(F.count(F.lit(1)).alias(COUNT))
+    upto = F.sum(COUNT).over(Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.select(*groups, BUCKET, COUNT, upto.alias("upto"), F.sum(COUNT).over(Window.partitionBy(*groups)).alias("total"))
+    ranks = [f((F.col("total") - 1) * F.lit(q / 100)) for q in qs for f in (F.floor, F.ceil)]
+    holds = [(r >= F.col("upto") - F.col(COUNT)) & (r < F.col("upto")) for r in ranks]
+    some = holds[0]
+    for h in holds[1:]:
+        some = some | h
+    wanted = ranked.where(some).select(*groups, BUCKET, (F.col("upto") - F.col(COUNT)).alias("before"), "total")
+    same = [F.col("w." + g).eqNullSafe(F.col("r." + g)) for g in groups] + [F.col("w." + BUCKET) == F.col("r." + BUCKET)]
+    met = rows.alias("r").join(wanted.alias("w"), same).select(*["r." + g for g in groups], "r." + BUCKET, "v", "before", "total")
+    values = met.groupBy(*groups, BUCKET, "before", "total", "v").agg(F.count(F.lit(1)).alias("n"))
+    end = F.col("before") + F.sum("n").over(Window.partitionBy(*groups, BUCKET).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = values.withColumn("end", end)
+    aggs = []
+    for i, q in enumerate(qs):
+        rank = (F.col("total") - 1) * F.lit(q / 100)
+        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            aggs.append(F.max(F.when((at >= F.col("end") - F.col("n")) & (at < F.col("end")), F.col("v"))).alias(f"{side}{i}"))
+    found = placed.groupBy(*groups).agg(F.max("total").alias("total"), *aggs)
+    out = [F.col(g).alias(c) for g, c in zip(groups, by)]
+    for i, q in enumerate(qs):
+        rank = (F.col("total") - 1) * F.lit(q / 100)
+        out.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (rank - F.floor(rank))).alias(f"p{q:g}".replace(".", "_")))
+    return found.select(*out)

@@ -19,22 +19,25 @@ from veridraft.session import ship
 def rescored(rows: DataFrame) -> DataFrame:
     """Successful rows with content get new defect scores, Portuguese ones also new fidelity and compliance;
     all other rows pass unchanged. Row order and other columns stay."""
-    fresh = successful() & (F.trim(F.coalesce("content", F.lit(""))) != "")
+    fields = rows.select("dialect_evaluation.violations").schema[0].dataType.elementType.names
+    scores = quality.defect_scores(rows, "content")
+    fresh = successful() & F.col("defect_score").isNotNull()
     words = F.size(T.matches("content", T.WF_WORD))
     violations = F.col("dialect_evaluation.violations")
-    fidelity, graded = dialect.fidelity(violations, words), dialect.graded(violations, words)
+    fidelity, graded = dialect.fidelity(violations, words, fields), dialect.graded(violations, words, fields)
     spoken = fresh & portuguese() & violations.isNotNull()
-    return rows.withColumns(
+    changed = scores.withColumns(
         {
-            "wq_defect_only_score": F.when(fresh, quality.defect_score("content")).otherwise(F.col("wq_defect_only_score")),
+            "wq_defect_only_score": F.when(fresh, F.col("defect_score")).otherwise(F.col("wq_defect_only_score")),
             "wf_score": F.when(spoken, fidelity["wf_score"]).otherwise(F.col("wf_score")),
             "ptpt_compliance_pct": F.when(spoken, graded["ptpt_compliance_pct"]).otherwise(F.col("ptpt_compliance_pct")),
             "ptpt_compliance_graded_pct": F.when(spoken, graded["ptpt_compliance_graded_pct"]).otherwise(F.col("ptpt_compliance_graded_pct")),
         }
     )
+    return changed.select(*rows.columns)
 
 
-def refreshed(rows: DataFrame, own: list[tuple], task: str, source: str) -> DataFrame:
+def refreshed(rows: DataFrame, own: DataFrame, task: str, source: str) -> DataFrame:
     """Rows with adherence and preservation computed anew from the criteria of their tasks."""
     new = criteria.adherence(rows, own, "row_seq", task, "content", source)
     kept = rows.drop("instruction_adherence_pct", "semantic_preservation_pct")

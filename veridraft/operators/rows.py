@@ -89,10 +89,10 @@ def repeated_ids(rows: DataFrame, by: list[str]) -> DataFrame:
     return keyed.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def first_of(rows: DataFrame, by: list[str], order: str, last: bool = False) -> DataFrame:
-    """One row for each key: the first, or the last, by ``order``. An aggregate, so hot keys combine
-    before they are moved."""
-    whole = F.struct(*[F.col(c) for c in rows.columns])
+def first_of(rows: DataFrame, by: list[str], order: str, last: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """One row for each key: the first, or the last, by ``order``, with the ``columns`` asked for (all by default). An aggregate,
+    so hot keys combine before they are moved; what is not asked for is not read."""
+    whole = F.struct(*[F.col(c) for c in columns or rows.columns])
     pick = F.max_by(whole, order) if last else F.min_by(whole, order)
     return rows.groupBy(*[F.col(c).alias(RESERVED + c) for c in by]).agg(pick.alias(RESERVED + "row")).select(RESERVED + "row.*")
 

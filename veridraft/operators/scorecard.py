@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridraft.operators.log_percentiles import valid_measure
+from veridraft.operators.log_percentiles import PERCENTILES, exact_percentiles, valid_measure
 from veridraft.operators.rows import portuguese, recorded_cost, successful
+from veridraft.session import RESERVED
 
 #: (metric, column, over Portuguese rows only)
 MEANS = (
@@ -19,8 +20,9 @@ LISTED = ("instruction_adherence_pct", "semantic_preservation_pct", "euptvid_pro
 
 
 def scorecard(rows: DataFrame, prices: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each group, in one aggregate. Percentiles are exact and interpolated; over too many
-    values for that use ``log_percentiles``."""
+    """One row for each group, in one aggregate and, for the percentiles, which are exact and interpolated, two passes that
+    never gather a group's values. ``repetition_pct`` is NULL where rows carry no count of repetitions."""
+    counted = rows.schema["writing_quality"].dataType.names
     base = recorded_cost(prices, rows).withColumn("ok", successful()).withColumn("pt", F.col("ok") & portuguese())
 
     def mean(column, when="ok"):
@@ -46,14 +48,19 @@ def scorecard(rows: DataFrame, prices: DataFrame, by: list[str]) -> DataFrame:
         mean(F.when(violations >= 0, violations), "pt").alias("avg_ptbr_violations_per_email"), some(F.when(violations >= 0, violations), "pt").alias("n_avg_ptbr_violations_per_email"),
         mean(leaks, "pt").alias("avg_wf_penalty_per_email"), some(leaks, "pt").alias("n_avg_wf_penalty_per_email"), tool.alias("languagetool_available"),
         F.when(tool, mean(wq["grammar_error_count"])).alias("avg_grammar_errors_per_email"), F.when(tool, some(wq["grammar_error_count"])).otherwise(0).alias("n_avg_grammar_errors_per_email"),
-        mean(wq["spelling_error_count"]).alias("avg_spelling_errors_per_email"), share(wq["structural_issue_count"] > 0).alias("structural_failures_pct"), share(wq["style_issue_count"] > 0).alias("style_failures_pct"),
+        mean(wq["spelling_error_count"]).alias("avg_spelling_errors_per_email"), share(wq["structural_issue_count"] > 0).alias("structural_failures_pct"), some(wq["structural_issue_count"]).alias("n_structural_failures_pct"), some(wq["spelling_error_count"]).alias("n_avg_spelling_errors_per_email"),
+        (share(wq["repetition_count"] > 0) if "repetition_count" in counted else F.lit(None).cast("double")).alias("repetition_pct"), (some(wq["repetition_count"]) if "repetition_count" in counted else F.lit(0).cast("bigint")).alias("n_repetition_pct"),
         F.count_distinct(F.when(F.col("ok"), wq["wq_evaluator_version"])).alias("versions"), F.max(F.when(F.col("ok"), wq["wq_evaluator_version"])).alias("version"),
-        *[F.expr(f"percentile(CASE WHEN ok AND latency_ms >= 0 AND latency_ms < double('inf') THEN latency_ms END, {p / 100})").alias(f"latency_p{p}_ms") for p in (50, 90, 95, 99)],
+        F.count(F.when(F.col("ok") & valid_measure("latency_ms"), 1)).alias("n_latency_ms"),
         (F.greatest(F.lit(0.0), F.max(F.when(timed, F.col("finished_at"))) - F.min(F.when(timed, F.col("started_at")))) * 1000).alias("observed_wall_ms"),
         F.sum(F.when(F.col("ok"), F.coalesce("prompt_tokens", F.lit(0)))).alias("prompt_tokens"), F.sum(F.when(F.col("ok"), F.coalesce("completion_tokens", F.lit(0)))).alias("completion_tokens"),
         some(F.col("cost")).alias("known_cost_samples"), F.count_if(F.col("ok") & F.col("cost").isNull()).alias("unknown_cost_samples"), F.sum(F.when(F.col("ok"), F.col("cost"))).alias("known_cost"), mean(F.col("cost")).alias("mean_cost"),
     ]
     card = base.groupBy(*by).agg(*aggs)
+    took = exact_percentiles(base.where("ok").select(*by, "latency_ms"), "latency_ms", by)
+    took = took.select(*[F.col(c).alias(RESERVED + c) for c in by], *[F.col(f"p{p}").alias(f"latency_p{p}_ms") for p in PERCENTILES])
+    on = [F.col(c).eqNullSafe(F.col(RESERVED + c)) for c in by]
+    card = card.join(took, on, "left").drop(*[RESERVED + c for c in by])
     minutes = F.nullif(F.col("observed_wall_ms"), F.lit(0.0)) / 60000
     known = F.col("unknown_cost_samples") == 0
     return card.select(
@@ -68,8 +75,9 @@ def scorecard(rows: DataFrame, prices: DataFrame, by: list[str]) -> DataFrame:
 
 
 def denominators(card: DataFrame, by: list[str]) -> DataFrame:
-    """The counts behind each metric as rows."""
-    names = [c for c in card.columns if c.startswith("n_")]
+    """The counts behind each metric as rows: 17 for each group."""
+    card = card.withColumn("n_cost_usd", F.col("known_cost_samples"))
+    names = [c for c in card.columns if c.startswith("n_") and c != "n_avg_spelling_errors_per_email"]
     pairs = F.explode(F.map_from_arrays(F.array(*[F.lit(n[2:]) for n in names]), F.array(*[F.col(n) for n in names]))).alias("metric", "n")
     return card.select(*by, pairs)
 

@@ -109,11 +109,11 @@ TASK_BYTES = 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it comes from a few small files, which would leave most of them idle; any
-    larger input, and any of as many files as half the cores, stays as it is read."""
+    """``df`` over all cores where it is small and comes in few partitions, which would leave most of them idle; any
+    larger input stays as it is read. Sizes are the optimizer's, so no list of files comes to the driver."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    if not 0 < files < cores / 2:
+    execution = df._jdf.queryExecution()
+    if int(str(execution.optimizedPlan().stats().sizeInBytes())) >= cores * TASK_BYTES:
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * TASK_BYTES else df
+    few = execution.toRdd().getNumPartitions() < cores / 2
+    return df.repartition(cores) if few else df

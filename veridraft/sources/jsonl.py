@@ -44,6 +44,11 @@ def read_dictionary(spark: SparkSession, path: str, variant: str) -> DataFrame:
     return words.select(F.lit(variant).alias("variant"), F.lower("form").alias("form"), fold_diacritics(F.lower("form")).alias("folded"))
 
 
+def read_schemes(path: str) -> list[str]:
+    """Names of protocols from a file, one or more a line."""
+    return sorted({w.lower() for w in Path(path).read_text(encoding="utf-8").split()})
+
+
 def price_rows(listing: list[dict]) -> list[tuple]:
     """``model, prompt_price_per_1k, completion_price_per_1k, context_length`` from a provider's listing of
     prices a token; what is negative or no number is unknown."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "1"
+# The keys of a manifest.
 REQUIRED = (
     "manifest_version", "artifact_schema_version", "artifact_kind", "artifact_id", "result_path", "result_sha256", "row_count", "created_at_utc", "benchmark_version", "model",
     "input_hashes", "evaluator_versions", "resource_hashes", "dependency_versions", "parameters", "command",
@@ -68,7 +69,7 @@ def load_manifest(result: str | Path) -> dict:
     return manifest
 
 
-#: Fields in which runs must agree to be compared.
+# Fields in which runs must agree to be compared.
 COMPARED = ("artifact_kind", "benchmark_version", "input_hashes", "evaluator_versions", "resource_hashes", "parameters")
 
 
