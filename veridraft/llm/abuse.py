@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from veridraft.llm.text import clean, fold, mix
 from veridraft.session import RESERVED, ship, spread
 
-#: Buckets of hashed features, words of the window that is scored, most labelled documents trained on.
-BITS, WINDOW, SAMPLE = 18, 14, 4000
+#: Buckets of hashed features, words of the window that is scored, most labelled documents trained on, and most characters
+#: of them.
+BITS, WINDOW, SAMPLE, CHARACTERS = 18, 14, 4000, 50_000_000
 #: FTRL: learning rate, its smoothing, L1 and L2; epochs of a round, rounds, copies of the phrases.
 ALPHA, BETA, L1, L2, EPOCHS, ROUNDS, COPIES = 0.5, 1.0, 0.05, 0.1, 4, 5, 4
 #: The highest passage of an offensive document counts if it scores over this share of the highest passages
@@ -368,14 +369,23 @@ def fit(documents: Sequence[tuple[str, int]]) -> Model:
     return Model(weights, vocabulary)
 
 
-def fit_on(documents: DataFrame, labels: DataFrame, key: str, content: str, label: str, offensive: str = "offensive", sample: int = SAMPLE) -> Model:
-    """A model fitted on at most ``sample`` labelled documents, chosen by the hash of their key. A document
-    judged more than once has the label of most annotators, ties counting as offensive; null labels
-    judge nothing."""
+def fit_on(documents: DataFrame, labels: DataFrame, key: str, content: str, label: str, offensive: str = "offensive", sample: int = SAMPLE, characters: int = CHARACTERS) -> Model:
+    """A model fitted on at most ``sample`` labelled documents of at most ``characters`` characters in all, whole ones, chosen by
+    the hash of their key. A document judged more than once has the label of most annotators, ties counting as offensive;
+    null labels judge nothing."""
     said = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.avg((F.col(label) == offensive).cast("double")).alias("share"))
     chosen = said.orderBy(F.xxhash64("key"), "key").limit(sample)
-    rows = documents.select(F.col(key).alias("key"), F.col(content).alias("text")).join(chosen, "key").orderBy("key").collect()
-    return fit([(r["text"] or "", int(r["share"] >= 0.5)) for r in rows])
+    rows = documents.select(F.col(key).alias("key"), F.col(content).alias("text")).join(chosen, "key")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    sizes = rows.select("key", size.alias("size")).orderBy(F.xxhash64("key"), "key").collect()  # at most ``sample`` numbers, copies of a key apart
+    kept, total = [], 0
+    for r in sizes:
+        if total + r["size"] <= characters:
+            total += r["size"]
+            kept.append(r["key"])
+    if len(kept) < len(sizes):
+        rows = rows.where(F.col("key").isin(kept))
+    return fit([(r["text"] or "", int(r["share"] >= 0.5)) for r in rows.orderBy("key").collect()])
 
 
 def scored(df: DataFrame, content: str, keys: Sequence[str], model: Model) -> DataFrame:

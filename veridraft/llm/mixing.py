@@ -26,7 +26,9 @@ from veridraft.session import RESERVED, written
 #: Share of the largest feasible total that a mix takes unless told otherwise.
 FILL = 1.0
 #: Newton iterations, relative tolerance, documents of a rounding bucket, mends of each (mix, source).
-ITERATIONS, TOLERANCE, BUCKET, MENDS = 60, 1e-9, 50_000, 3
+ITERATIONS, TOLERANCE, BUCKET, MENDS = 60, 1e-9, 50_000, 32
+#: Documents of each length band that mends may choose from.
+CHOICES = 8
 #: Rows of targets at most, and of a histogram that is solved in the driver (16 bytes each).
 TARGETS, HISTOGRAM = 10_000, 1_000_000
 
@@ -147,29 +149,31 @@ def selection(documents: DataFrame, targets: DataFrame, key: str = "doc_id", fil
 
 def _mends(taken: DataFrame) -> dict[tuple[str, str, int], int]:
     """Copies to add to or take from single documents, at most ``MENDS`` for each (mix, source), so that it comes nearer to
-    its target. One pass finds what rounding left over; a second, for each power of two up to it, the document whose
-    length is nearest below; the rest is arithmetic on these few."""
+    its target. One pass finds what rounding left over, a second a few documents of each length band, by powers of two, to
+    which a copy may be added or of which one may be taken; the change that leaves least is made, and again, which is
+    arithmetic on few rows."""
     row = RESERVED + "row"
     state = taken.groupBy("mix_id", "source").agg((F.max("target") - F.sum(F.col("copies") * F.col("n_tokens"))).alias("miss")).collect()  # one row for each row of the targets
-    misses = taken.sparkSession.createDataFrame([(r["mix_id"], r["source"], float(r["miss"])) for r in state], "mix_id string, source string, miss double")
-    fits = F.when(F.col("miss") > 0, F.col("copies") < F.col("cap")).otherwise(F.col("copies") > 0)
-    near = taken.join(F.broadcast(misses), ["mix_id", "source"]).where(fits)
-    size = F.floor(F.log2(F.greatest(F.abs(F.abs("miss") - F.col("n_tokens")), F.lit(1.0)))).alias("distance")
-    best = near.groupBy("mix_id", "source", size).agg(F.min_by(F.struct(row, "n_tokens"), F.struct(F.abs(F.abs("miss") - F.col("n_tokens")), row)).alias("best"))
-    small = near.groupBy("mix_id", "source", F.floor(F.log2("n_tokens")).alias("distance")).agg(F.min_by(F.struct(row, "n_tokens"), F.struct("n_tokens", row)).alias("best"))
-    found: dict[tuple[str, str], dict[int, int]] = {}
-    for r in best.unionByName(small).collect():  # at most 128 for each row of the targets
-        found.setdefault((r["mix_id"], r["source"]), {})[r["best"][row]] = r["best"]["n_tokens"]
+    band, part = F.floor(F.log2("n_tokens")).alias("band"), F.pmod(F.xxhash64(row), F.lit(CHOICES)).alias("part")
+    best = lambda room: F.min_by(F.when(room > 0, F.struct(row, "n_tokens", room.cast("int").alias("room"))), F.when(room > 0, F.col(row)))
+    picked = taken.groupBy("mix_id", "source", band, part).agg(best(F.col("cap") - F.col("copies")).alias("more"), best(F.col("copies")).alias("less"))
+    found: dict[tuple[str, str], dict[tuple[int, int], list[int]]] = {}
+    for r in picked.collect():  # at most 64 * CHOICES for each row of the targets
+        for sign, d in ((1, r["more"]), (-1, r["less"])):
+            if d:
+                found.setdefault((r["mix_id"], r["source"]), {})[sign, d[row]] = [d["n_tokens"], d["room"]]
     changes: dict[tuple[str, str, int], int] = {}
     for r in state:
-        miss, usable = r["miss"], dict(found.get((r["mix_id"], r["source"]), {}))
-        sign = 1 if miss > 0 else -1
+        miss, usable = r["miss"], found.get((r["mix_id"], r["source"]), {})
         for _ in range(MENDS):
-            at = min(usable, key=lambda x: (abs(abs(miss) - usable[x]), x), default=None)
-            if at is None or (miss > 0) != (sign > 0) or abs(abs(miss) - usable[at]) >= abs(miss):
+            at = min(usable, key=lambda x: (abs(miss - x[0] * usable[x][0]), x), default=None)
+            if at is None or abs(miss - at[0] * usable[at][0]) >= abs(miss):
                 break
-            changes[r["mix_id"], r["source"], at] = sign
-            miss -= sign * usable.pop(at)
+            changes[r["mix_id"], r["source"], at[1]] = changes.get((r["mix_id"], r["source"], at[1]), 0) + at[0]
+            miss -= at[0] * usable[at][0]
+            usable[at][1] -= 1
+            if not usable[at][1]:
+                del usable[at]
     return changes
 
 

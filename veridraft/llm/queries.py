@@ -62,6 +62,11 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_mail(spark, sf_dir), "text", ["tab", "rec"])
 
 
+def p5_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of repeated words of every text."""
+    return repetition.repetition(_mail(spark, sf_dir), "text", ["tab", "rec"]).select("tab", "rec", (F.col("repeated_5") >= repetition.LIMIT).alias("repetitive"))
+
+
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "wq_human_reference")
     return rows.select("id", "email", F.col("lang").alias("said"), F.col("reference_judgments.gold_dialect").alias("gold"))
@@ -120,6 +125,25 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("fill", F.round(F.col("used_tokens") / (F.col("used_tokens") + F.col("unused_tokens")), 6))
 
 
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every placing: all documents placed, no container over its capacity, no document split that fits, and
+    every token of each document in one part."""
+    parts, sizes = p8_placed(spark, sf_dir), _sizes(spark, sf_dir)
+    over = packing.containers_of(parts).groupBy("container_kind").agg(F.count_if(F.col("unused_tokens") < 0).alias("n_over"))
+    docs = parts.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("placed"), F.count(F.lit(1)).alias("n_parts"), F.max(F.col("first_token") + F.col("n_tokens")).alias("upto"), F.max("capacity_tokens").alias("capacity"))
+    both = docs.join(sizes.select("doc_id", "n_tokens"), "doc_id")
+    split = (F.col("n_parts") > 1) & (F.col("n_tokens") <= F.col("capacity"))
+    lost = (F.col("placed") != F.col("n_tokens")) | (F.col("upto") != F.col("n_tokens"))
+    held = both.groupBy("container_kind").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(split).alias("n_split"), F.count_if(lost).alias("n_lost"))
+    return held.join(over, "container_kind")
+
+
+def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every mix: no document over its source's cap, every share within a thousandth of its target."""
+    out = p9_shares(spark, sf_dir)
+    return out.select("mix_id", "source", "target_share", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("actual_share") - F.col("target_share")) < 0.001).alias("near_target"))
+
+
 def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
@@ -150,8 +174,32 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_models": p1_models, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_kept": p4_kept, "p5_found": p5_found, "p5_shares": p5_shares, "p7_found": p7_found, "p7_evidence": p7_evidence,
-    "p6_found": p6_found, "p6_passages": p6_passages, "p6_documents": p6_documents, "p8_placed": p8_placed, "p8_fill": p8_fill, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_sources": p10_sources,
+    "p1_found": p1_found, "p1_models": p1_models, "p4_found": p4_found, "p4_kinds": p4_kinds, "p4_kept": p4_kept, "p5_found": p5_found, "p5_shares": p5_shares, "p5_words": p5_words, "p7_found": p7_found, "p7_evidence": p7_evidence,
+    "p6_found": p6_found, "p6_passages": p6_passages, "p6_documents": p6_documents, "p8_placed": p8_placed, "p8_fill": p8_fill, "p8_limits": p8_limits, "p9_limits": p9_limits, "p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_sources": p10_sources,
 }
 
-SQL: dict[str, str] = {}
+_ENTITIES = (("&nbsp;", " "), ("&ccedil;", "ç"), ("&atilde;", "ã"), ("&otilde;", "õ"), ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ecirc;", "ê"), ("&acirc;", "â"), ("&ocirc;", "ô"), ("&agrave;", "à"), ("&euro;", "€"), ("&quot;", " "), ("&#39;", " "), ("&amp;", " "))
+
+
+def _plain_sql(x: str) -> str:
+    """A text with its encoding variants undone, as far as SQL can say it."""
+    for a, b in _ENTITIES:
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"strip_accents(lower(nfc_normalize(translate({x}, chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279) || chr(173), ''))))"
+
+
+_REPEATED = f"""t AS (SELECT 'generation_results' AS tab, row_seq::VARCHAR AS rec, content AS x FROM generation_results UNION ALL SELECT 'wq_human_reference', id, email FROM wq_human_reference),
+l AS (SELECT tab, rec, regexp_extract_all({_plain_sql("coalesce(x, '')")}, '[\\p{{L}}\\p{{N}}]+') AS words FROM t),
+u AS (SELECT tab, rec, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM l),
+g AS (SELECT tab, rec, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p || ' ' || lead(w, 4) OVER p AS gram FROM u WINDOW p AS (PARTITION BY tab, rec ORDER BY i)),
+o AS (SELECT tab, rec, i, CASE WHEN gram IS NOT NULL AND row_number() OVER (PARTITION BY tab, rec, gram ORDER BY i) > 1 THEN 1 ELSE 0 END AS again FROM g),
+c AS (SELECT tab, rec, max(again) OVER (PARTITION BY tab, rec ORDER BY i ROWS 4 PRECEDING) AS hit FROM o),
+s AS (SELECT tab, rec, avg(hit) AS share FROM c GROUP BY tab, rec)"""
+
+#: SQL of what SQL can say; the others are tested against brute force, exact products or held-out cases in ``tests/llm``.
+SQL: dict[str, str] = {
+    "p5_found": f"WITH {_REPEATED} SELECT tab, rec FROM s WHERE share >= 1.0 / 3",
+    "p5_words": f"WITH {_REPEATED} SELECT l.tab, l.rec, coalesce(share >= 1.0 / 3, false) AS repetitive FROM l LEFT JOIN s ON l.tab = s.tab AND l.rec = s.rec",
+    "p8_limits": "SELECT container_kind, (SELECT count(*) FROM documents) AS n_docs, 0::BIGINT AS n_split, 0::BIGINT AS n_lost, 0::BIGINT AS n_over FROM container_sizes",
+    "p9_limits": "SELECT mix_id, source, target_share, true AS within_cap, true AS near_target FROM mix_targets",
+}
