@@ -65,9 +65,10 @@ def test_clauses_loops_and_long_prefaces(spark):
     preface = "Segue a análise pedida, com todos os campos do esquema. " * 8 + "\n\n"
     rows = whole + [
         (10, "Bom dia,\n\nO orçamento segue amanhã, de acord", ""), (11, "e " + "voltaremos a contactar a vossa equipa e " * 6 + "voltaremos a cont", ""),
-        (12, "e " + "voltaremos a contactar a vossa equipa e " * 6 + "voltaremos a contactar a vossa equipa", ""), (20, good, ""), (21, preface + good, ""), (22, preface + good[:-22], ""), (23, good[:30] + "…", ""),
+        (12, "e " + "voltaremos a contactar a vossa equipa e " * 6 + "voltaremos a contactar a vossa equipa", ""), (13, "e " + "voltaremos a contactar a vossa equipa e " * 6 + "voltaremos a contactar a vossa equipa.", ""), (14, "Bom dia,\n\nO motorista deixou o ecrã da receção junto ao cais 3 o ecrã da receção junto", ""),
+        (20, good, ""), (21, preface + good, ""), (22, preface + good[:-22], ""), (23, good[:30] + "…", ""),
     ]
-    assert _cut(spark, rows) == [10, 11, 22, 23]
+    assert _cut(spark, rows) == [10, 11, 12, 14, 22, 23]
 
 
 def test_longer_copies_match_brute_force(spark):

@@ -10,8 +10,9 @@ characters for the other.
 The last unit of each text, read without marks that say "cut here" (an ellipsis, a fence, a replacement
 character), is the candidate: the text was cut off where longer copies exist and are at least as many as the copies
 that end where it ends. One longer copy is enough. A sentence of which nothing is known, neither longer copies nor
-equal ones, is judged by its last clause that says more than a name or number; a text that runs in a loop by its
-last round, of which the rounds before are the longer copies. A unit that is a prefix of nothing was not cut off.
+equal ones, is judged by its last clause that says more than a name or number, and after that by its last words, of which
+the same words earlier in the sentence, as in a text that runs in a loop, are the longer copy. A unit that is a prefix of
+nothing was not cut off.
 
 An exact check follows: a JSON object that parses is complete; a line of the signature block after a
 closing formula is complete; so is a unit whose very words end in a full stop elsewhere when it
@@ -46,8 +47,8 @@ from veridraft.session import RESERVED, ship, spread, written
 CLAUSES = 3
 #: A unit is cut off where at most this share of its copies end as it does.
 SHARE = 0.5
-#: Words of the longest round of a loop, and words that must repeat before it is one.
-ROUND, LOOPED = 40, 5
+#: Last words of a sentence that are looked for earlier in it.
+TAIL = 3
 #: Characters of units held in a mapper before they are passed on.
 HELD = 16_000_000
 #: Sorts after everything that begins with what stands before it.
@@ -150,19 +151,13 @@ def _json_units(text: str) -> tuple[list[str], list[str] | None]:
     return ["\x01\x01" + bones, *tails], None if whole else asked
 
 
-def _round(words: list[str]) -> tuple[int, bool] | None:
-    """The length of the round in which ``words`` loop to their end, the last word perhaps unfinished, and
-    whether the last round is complete."""
-    n = len(words)
-    for p in range(1, min(ROUND, n // 2) + 1):
-        if not words[-1 - p].startswith(words[-1]):
-            continue
-        start = n - 1
-        while start > p and words[start - 1] == words[start - 1 - p]:
-            start -= 1
-        if n - 1 - start >= max(p, LOOPED):
-            start -= p  # where the first round begins
-            return p, words[-1] == words[-1 - p] and (n - start) % p == 0
+def _earlier(words: list[str]) -> int | None:
+    """Where the last words of a sentence, the very last perhaps unfinished, stand in it before, so that they go on there."""
+    *head, last = words[-TAIL:]
+    size = len(head)
+    for i in range(len(words) - TAIL - 1, -1, -1):
+        if words[i + size].startswith(last) and words[i : i + size] == head:
+            return i
     return None
 
 
@@ -207,20 +202,17 @@ def units_of(text: str) -> tuple[dict[tuple[str, int], None], tuple[list[str], i
     if (ending == _CLOSED and not marked) or (not marked and (_in_signature(bare) or unit[-1:] == ":" and len(unit.split()) <= 2)):
         return out, None
     asked = [] if _MASKED.match(unit) and unit[:1] != "\x02" else [unit]
+    for n in range(1, CLAUSES):
+        tail = " ".join(clauses[-n:])
+        if not _MASKED.match(tail):
+            asked.append("\x03" + tail.lstrip("\x02").rstrip(".!?… "))
+            break
     words = unit.split()
-    looped = _round(words) if ending == _OPEN and not marked else None
-    if looped:
-        p, complete = looped
-        if complete:
-            return out, None
-        asked = ["\x04" + " ".join(words[-p:])]
-        out["\x04" + " ".join(words[-2 * p : -p] + [words[-p]]), _OPEN] = None
-    else:
-        for n in range(1, CLAUSES):
-            tail = " ".join(clauses[-n:])
-            if not _MASKED.match(tail):
-                asked.append("\x03" + tail.lstrip("\x02").rstrip(".!?… "))
-                break
+    if ending == _OPEN and not marked and len(words) > TAIL:
+        at = _earlier(words)
+        if at is not None:  # the copy stands in the text itself
+            asked.append("\x04" + " ".join(words[-TAIL:]))
+            out["\x04" + " ".join(words[at : at + TAIL + 1]), _OPEN] = None
     return out, (asked, ending, marked) if asked else None
 
 
