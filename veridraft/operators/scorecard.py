@@ -57,7 +57,7 @@ def scorecard(rows: DataFrame, prices: DataFrame, by: list[str]) -> DataFrame:
         some(F.col("cost")).alias("known_cost_samples"), F.count_if(F.col("ok") & F.col("cost").isNull()).alias("unknown_cost_samples"), F.sum(F.when(F.col("ok"), F.col("cost"))).alias("known_cost"), mean(F.col("cost")).alias("mean_cost"),
     ]
     card = base.groupBy(*by).agg(*aggs)
-    took = exact_percentiles(base.where("ok").select(*by, "latency_ms"), "latency_ms", by)
+    took = exact_percentiles(rows.where(successful()).select(*by, "latency_ms"), "latency_ms", by)
     took = took.select(*[F.col(c).alias(RESERVED + c) for c in by], *[F.col(f"p{p}").alias(f"latency_p{p}_ms") for p in PERCENTILES])
     on = [F.col(c).eqNullSafe(F.col(RESERVED + c)) for c in by]
     card = card.join(took, on, "left").drop(*[RESERVED + c for c in by])
