@@ -29,6 +29,11 @@ def test_variants_read_alike():
     assert text.fold("Ж é") == "ж e" and text.clean(None) == ""
 
 
+@given(st.text(alphabet=st.characters(codec="cp1252"), max_size=60) | st.text(max_size=20))
+def test_words_are_runs_of_letters_and_digits(t):
+    assert text.folded_words(text.clean(t)) == text.WORD.findall(text.fold(text.clean(t)))
+
+
 # ---- truncation
 
 def _cut(spark, rows):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from veridraft.llm import repetition, residue, truncation
 from veridraft.llm.languages import EXCLUSIVE, voted
-from veridraft.llm.text import WORD, clean, fold, sentences
+from veridraft.llm.text import WORD, clean, fold, folded_words, sentences
 from veridraft.session import RESERVED, ship
 
 DEFECTS = ("empty", "refusal", "truncated", "copy", "language")
@@ -138,7 +138,7 @@ class Prompt:
     """A prompt's words, its suffix automaton, made when it is first walked, and the language its answer should be in."""
 
     def __init__(self, text: str):
-        self.words = WORD.findall(fold(text))
+        self.words = folded_words(text)
         self.known = frozenset(self.words)
         asked = _ASKED.search(text)
         self.expected = asked.lastgroup if asked else voted(self.words)
@@ -157,7 +157,7 @@ class Prompt:
             return False
         at = 0
         for s in sentences(text):
-            n = len(WORD.findall(fold(s)))
+            n = len(folded_words(s))
             own = n - sum(covered[at : at + n])
             if own >= COPIED_RUN and own > OWN_SHARE * n:
                 return False
@@ -254,13 +254,13 @@ def defect(text: str, prompt: str | None, refusal: str | None) -> str | None:
         return "truncated"
     if not prompt:
         return None
-    said = WORD.findall(folded)
+    said = folded_words(text)
     asked = _prompt(clean(prompt))
     if asked.copied(text, said):
         return "copy"
     expected = asked.expected
     if expected and sum(map(EXCLUSIVE[expected].__contains__, said)) < EXPECTED_SHARE * len(said):
-        words = [WORD.findall(fold(s)) for s in reply_of(text)]
+        words = [folded_words(s) for s in reply_of(text)]
         whole = voted([w for s in words for w in s], least=3.0)
         if whole and whole != expected and not any(voted(s) == expected for s in words):
             return "language"
@@ -315,7 +315,7 @@ def evidence(responses: DataFrame, prompts: DataFrame, key: str, prompt_id: str,
             for k, t, p, r in zip(batch["key"], batch["text"], batch["prompt"], batch["refusal"]):
                 text = clean(t)
                 folded = fold(text)
-                said = WORD.findall(folded)
+                said = folded_words(text)
                 asked = _prompt(clean(p)) if p else None
                 share = asked.automaton.walk(said, COPIED_RUN) / len(said) if asked and said else 0.0
                 out.append((k, share, unclosed(text), ends_open(text), bool(r and r.strip()) or declines(text, folded), asked and asked.expected, voted(said)))

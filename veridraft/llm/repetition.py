@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridraft.llm.text import WORD, clean, fold, mix
+from veridraft.llm.text import clean, fold, folded_words, mix
 from veridraft.session import RESERVED, ship, spread
 
 #: Lengths of n-grams in words; the first decides.
@@ -63,8 +63,8 @@ def _measure(texts: Sequence[str]) -> pd.DataFrame:
     numbers: list[int] = []
     sizes, lengths, counts, lines, line_sizes, line_counts = [], [], [], [], [], []
     for text in texts:
-        folded = fold(clean(text))
-        found = WORD.findall(folded)
+        text = clean(text)
+        folded, found = fold(text), folded_words(text)
         for w in found:
             numbers.append(known.setdefault(w, len(known) + 1))
         lengths.extend(map(len, found))

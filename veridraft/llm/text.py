@@ -74,9 +74,21 @@ def fold_masked(text: str) -> str:
         return _DIGIT.sub("0", fold(text))
 
 
+#: The same, with a space for whatever is no letter or digit.
+_WESTERN_WORDS = bytes(b if bytes([b]).decode("cp1252", "replace").isalnum() else 32 for b in WESTERN)
+
+
+def folded_words(text: str) -> list[str]:
+    """Folded runs of letters and digits of a cleaned text."""
+    try:
+        return text.encode("cp1252").translate(_WESTERN_WORDS).decode("cp1252").split()
+    except UnicodeError:
+        return WORD.findall(fold(text))
+
+
 def words(text: str) -> list[str]:
     """Folded runs of letters and digits."""
-    return WORD.findall(fold(clean(text)))
+    return folded_words(clean(text))
 
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)*]*\s+|\s*\n\s*")
