@@ -99,6 +99,9 @@ def _sentences(body: str) -> list[str]:
 
 def _without(marks: re.Pattern, text: str) -> str:
     """``text`` without the marks at its end; only the end is searched."""
+    last = text[-1:]
+    if last.isalnum() or last in ",:;!?" or last == "." and text[-2:-1] != ".":
+        return text  # no mark ends so
     while True:
         tail = text[-60:]
         bare = marks.sub("", tail)
