@@ -727,6 +727,8 @@ def _affirmed_sql(x: str, pattern: str) -> str:
     return f"len(list_filter(range(1, len({cut})), lambda i: NOT ({_negated_sql(clause)}))) > 0"
 
 
+#: A slot and, where it is a link's text, the bracket after it.
+_SLOT_OPEN = criteria.SLOT + r"\(?"
 _MET = f"{_CRITERIA}, met AS (SELECT row_seq, c.task_id, c.grp, c.criterion_id, {_affirmed_sql('x', 'pattern')} AS met FROM t JOIN crit c ON t.task_id = c.task_id WHERE c.grp <> 'forbidden_facts')"
 
 
@@ -737,7 +739,7 @@ def criteria_met(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_MET}, n AS (SELECT row_seq, count_if(grp = 'required_actions') AS actions, count_if(grp = 'required_actions' AND met) AS done, count_if(grp <> 'required_actions') AS facts,
  count_if((grp = 'required_facts' AND met) OR (grp = 'forbidden_changes' AND NOT met)) AS kept FROM met GROUP BY row_seq),
-s AS (SELECT row_seq, x, prompt, list_filter(regexp_extract_all(x, {q(criteria.SLOT + '\(?')}), lambda z: NOT ends_with(z, '(')) || list_filter(regexp_extract_all(coalesce(prompt, ''), {q(criteria.SOURCE_SLOT)}), lambda z: contains(x, z)) AS slots,
+s AS (SELECT row_seq, x, prompt, list_filter(regexp_extract_all(x, {q(_SLOT_OPEN)}), lambda z: NOT ends_with(z, '(')) || list_filter(regexp_extract_all(coalesce(prompt, ''), {q(criteria.SOURCE_SLOT)}), lambda z: contains(x, z)) AS slots,
  coalesce(regexp_matches(prompt, {q(criteria.SOURCE_SLOT)}), false) AS offered FROM t),
 u AS (SELECT s.row_seq, x, coalesce(done, 0) + (len(slots) = 0 AND offered)::INT AS done, coalesce(actions, 0) + (len(slots) > 0 OR offered)::INT AS actions, coalesce(kept, 0) AS kept, coalesce(facts, 0) AS facts FROM s LEFT JOIN n ON s.row_seq = n.row_seq)
 SELECT row_seq, CASE WHEN regexp_replace(x, '\\s+', '', 'g') = '' THEN 0.0 WHEN actions > 0 THEN round(100.0 * done / actions, 1) END AS instruction_adherence_pct,
